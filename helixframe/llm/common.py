@@ -79,3 +79,11 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) ->
     over = F.col(n) > max(1, total // HOT_SHARE)
     hot, cold = right.where(over).drop(n), right.where(~over).drop(n)
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+#: Rows of an Arrow batch, so that a Python worker holds few texts at a time.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
