@@ -89,7 +89,8 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _fly(pdf: pd.DataFrame, block: str, last: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["order", "size", "p"], kind="stable", ignore_index=True)
+    # large documents fly first, so that those left for the landing are small
+    pdf = pdf.sort_values(["size", "order", "p"], ascending=[False, True, True], kind="stable", ignore_index=True)
     seed = [SEED, int(pdf["rank"].iat[0]), int(pdf[block].iat[0]), int(last)]
     p = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), np.random.default_rng(seed))
     pdf["p"] = landing(p, pdf["size"].to_numpy(dtype=float)) if last else p

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import fingerprints, hilbert_shards, mixing, packing, pii, quality_rules, recurrent_lm, simhash_dedup, toxicity
 
 _ALL = {
+    "op1_fingerprints": fingerprints,
+    "op3_pii": pii,
+    "op4_simhash_dedup": simhash_dedup,
     "op5_quality_rules": quality_rules,
+    "op6_toxicity": toxicity,
+    "op7_mixing": mixing,
+    "op8_packing": packing,
+    "op9_recurrent_lm": recurrent_lm,
+    "op10_hilbert_shards": hilbert_shards,
 }
 
 QUERIES = {name: module.query for name, module in _ALL.items()}
