@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, hilbert_shards, mixing, packing, pii, quality_rules, recurrent_lm, simhash_dedup, toxicity
+from . import fingerprints, hilbert_shards, mixing, packing, pii, quality_rules, recurrent_lm, simhash_dedup, toxicity, url_templates
 
 _ALL = {
     "op1_fingerprints": fingerprints,
+    "op2_url_templates": url_templates,
     "op3_pii": pii,
     "op4_simhash_dedup": simhash_dedup,
     "op5_quality_rules": quality_rules,
