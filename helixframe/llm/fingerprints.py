@@ -32,54 +32,56 @@ def _terms(text: Column) -> Column:
     return C.let(
         C.words(text),
         lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(w) < SHINGLE, F.array(F.xxhash64(w)))
-        .otherwise(
-            F.slice(
-                F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])),
-                F.lit(1),
-                F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0)),
-            )
-        ),
+        .when(F.size(w) <= SHINGLE, F.array(F.xxhash64(w)))
+        .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))),
     )
 
 
-def _uniforms(h: Column, seed: int) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from one hash."""
-    g = F.xxhash64(h, F.lit(seed))
-    half = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * F.lit(2.0**-32)
-    return half(g), half(F.shiftrightunsigned(g, 32))
+def _halves(g: Column) -> Column:
+    """Product of two numbers in (0, 1) made from one hash."""
+    return (g.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * (F.shiftrightunsigned(g, 32) + F.lit(0.5)) * F.lit(2.0**-64)
 
 
-def _bid(h: Column, w: Column) -> Column:
-    """lane, bid and sample of a term of weight w in one number: lanes apart, then the lowest bid first."""
+def _draws(h: Column) -> tuple[Column, Column, Column]:
+    """r, ln c and b of a term. b comes from bits 7 to 38 of its hash; bits 0 to 6 are the lane's."""
+    b = (F.shiftrightunsigned(h, 7).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * F.lit(2.0**-32)
+    return -F.ln(_halves(F.xxhash64(h, F.lit(1)))), F.ln(-F.ln(_halves(F.xxhash64(h, F.lit(2))))), b
+
 
-    def packed(g: Column) -> Column:
-        u, b = g["u"], g["b"]
-        r = -F.ln(u[0] * u[1])
-        ln_c = F.ln(-F.ln(u[2] * u[3]))
+def _packed(h: Column, ln_a: Column, t: Column) -> Column:
+    """Lane, bid and sample in one number: lanes apart, then the lowest bid first."""
+    bid = F.greatest(F.lit(0.0), (ln_a + F.lit(64.0)) * F.lit(2.0**24)).cast("long")
+    sample = (F.shiftrightunsigned(h, 39) + t * F.lit(2654435761)).bitwiseAND(F.lit(2**_ID_BITS - 1))
+    return F.shiftleft(h.bitwiseAND(F.lit(LANES - 1)), _LANE_AT) + F.shiftleft(bid, _ID_BITS) + sample
 
-        def with_t(t: Column) -> Column:
-            ln_a = ln_c - r * (t - b) - r
-            bid = F.least(F.lit(float(2**_BIDS - 1)), F.greatest(F.lit(0.0), (ln_a + 64) * 2.0**24)).cast("long")
-            sample = F.xxhash64(h, t.cast("long")).bitwiseAND(F.lit(2**_ID_BITS - 1))
-            return F.shiftleft(h.bitwiseAND(F.lit(LANES - 1)), _LANE_AT) + F.shiftleft(bid, _ID_BITS) + sample
 
-        return C.let(F.floor(F.ln(w) / r + b).cast("double"), with_t)
+def _bid_once(h: Column) -> Column:
+    """Bid of a term of weight 1, for which t is 0."""
+    r, ln_c, b = _draws(h)
+    return _packed(h, ln_c - r * (F.lit(1.0) - b), F.lit(0).cast("long"))
 
-    a, b, c = _uniforms(h, 1), _uniforms(h, 2), _uniforms(h, 3)
-    return C.let(F.struct(F.array(*a, *b).alias("u"), c[0].alias("b")), packed)
+
+def _bid(h: Column, w: Column) -> Column:
+    """Bid of a term of weight w."""
+    r, ln_c, b = _draws(h)
+    return C.let(F.floor(F.ln(w) / r + b), lambda t: _packed(h, ln_c - r * (t.cast("double") - b) - r, t.cast("long")))
 
 
 def signature(text: Column) -> Column:
     """Array of numbers, one for each lane that the text uses: the lane, times 65536, plus 16 bits of its sample."""
 
     def weighted(s: Column) -> Column:
+        """Bids of sorted terms, one for each run of equal ones."""
         ends = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x == F.get(s, i + 1), F.lit(False)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
         return C.let(ends, lambda e: F.transform(e, lambda i, j: _bid(F.get(s, i), (i - F.coalesce(F.get(e, j - 1), F.lit(-1))).cast("double"))))
 
+    def bids(h: Column) -> Column:
+        once = F.size(F.array_distinct(h)) == F.size(h)
+        return F.when(once, F.transform(h, _bid_once)).otherwise(C.let(F.sort_array(h), weighted))
+
     lane = lambda x: F.shiftright(x, _LANE_AT)
-    bids = C.let(F.sort_array(_terms(text)), weighted)
-    first = C.let(F.sort_array(bids), lambda s: F.filter(s, lambda x, i: F.coalesce(lane(x) != lane(F.get(s, i - 1)), F.lit(True))))
+    sorted_bids = F.sort_array(C.let(_terms(text), bids))
+    first = C.let(sorted_bids, lambda s: F.filter(s, lambda x, i: (i == 0) | (lane(x) != lane(F.get(s, i - 1)))))
     return F.transform(first, lambda x: (F.shiftleft(lane(x), 16) + x.bitwiseAND(F.lit(0xFFFF))).cast("int"))
 
 

@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A text's features are its distinct n-grams of N_GRAMS bytes (ASCII lower-cased, white space as one space, ends marked by spaces), hashed
-to SLOTS. Each is scaled by r = ln of the ratio of its smoothed share among toxic and other training texts, and a
-logistic regression with an L1 penalty is fitted on the scaled features. Only the text enters a score.
+to SLOTS. Each is scaled by r = ln of the ratio of its smoothed share among toxic and other training texts, where
+these shares differ by over MIN_Z standard errors (else r = 0), and a logistic regression with an L2 penalty is
+fitted on the scaled features. Only the text enters a score.
 
 The fit reads a bounded sample of labelled rows: the first MAX_TOXIC toxic and MAX_OTHER others in the order of a
 hash of doc_id, in one task; the weights (at most SLOTS) reach the executors by broadcast. Every text is scored whole.
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-N_GRAMS = (4, 5, 6)
+N_GRAMS = (4, 5, 6, 9)
 SLOTS = 1 << 20
 MAX_TOXIC, MAX_OTHER = 2000, 4000
-SMOOTH, L1, RATE, EPOCHS = 1.0, 2e-4, 0.1, 8
+SMOOTH, MIN_Z, L2, RATE, EPOCHS = 0.5, 4.0, 1e-3, 0.1, 10
 #: N-grams of fewer training texts than this have no weight.
 MIN_TEXTS = 3
 SEED = 6
@@ -56,33 +57,27 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
     intercept = float(np.log(prior / (1 - prior)))
     if y.sum() in (0, len(y)):
         return weights, intercept
-    rows = [np.unique(slots(t)).astype(np.int32) for t in texts]
-    toxic, other = np.full(SLOTS, SMOOTH), np.full(SLOTS, SMOOTH)
-    for row, label in zip(rows, y):
-        (toxic if label else other)[row] += 1
-    common = toxic + other - 2 * SMOOTH >= MIN_TEXTS
-    ratio = np.where(common, np.log((toxic / (y.sum() + 2 * SMOOTH)) / (other / (len(y) - y.sum() + 2 * SMOOTH))), 0.0)
-    rows = [row[common[row]] for row in rows]
-    w, square, rng, step = np.zeros(SLOTS), np.full(SLOTS, 1e-2), np.random.default_rng(SEED), 0
-    seen = np.zeros(SLOTS, dtype=np.int64)
-    b_square = 1.0
+    toxic, other, n_toxic, n_other = np.zeros(SLOTS), np.zeros(SLOTS), y.sum(), len(y) - y.sum()
+    for text, label in zip(texts, y):
+        (toxic if label else other)[np.unique(slots(text))] += 1
+    share = (toxic + other) / len(y)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_toxic + 1 / n_other))
+    chosen = (np.abs(toxic / n_toxic - other / n_other) > MIN_Z * error) & (toxic + other >= MIN_TEXTS)
+    ratio = np.where(chosen, np.log((toxic + SMOOTH) / (n_toxic + 2 * SMOOTH)) - np.log((other + SMOOTH) / (n_other + 2 * SMOOTH)), 0.0)
+    rows = [np.unique(found[chosen[found]]) for found in map(slots, texts)]  # made again, to hold few at a time
+    w, square, b_square, rng = np.zeros(SLOTS), np.ones(SLOTS), 1.0, np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             row = rows[i]
-            step += 1
-            r, rate = ratio[row], RATE / np.sqrt(square[row])
-            late = w[row]  # penalties since the slot was last seen are due now
-            late = np.sign(late) * np.maximum(np.abs(late) - L1 * rate * np.minimum(step - seen[row], len(rows)), 0.0)
-            seen[row] = step
-            p = 1 / (1 + np.exp(-np.clip(intercept + late @ r, -30, 30)))
-            g = (p - y[i]) * r
+            r = ratio[row]
+            miss = 1 / (1 + np.exp(-np.clip(intercept + w[row] @ r, -30, 30))) - y[i]
+            g = miss * r + L2 * w[row]
             square[row] += g * g
-            w[row] = late - rate * g
-            b_square += (p - y[i]) ** 2
-            intercept -= RATE / np.sqrt(b_square) * (p - y[i])
+            w[row] -= RATE * g / np.sqrt(square[row])
+            b_square += miss * miss
+            intercept -= RATE * miss / np.sqrt(b_square)
     weights[:] = w * ratio
-    weights[np.abs(weights) < 1e-3] = 0
-    return weights, intercept
+    return weights, float(intercept)
 
 
 def score_texts(texts: list[str | None], weights: np.ndarray, intercept: float) -> np.ndarray:
