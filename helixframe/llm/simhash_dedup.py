@@ -21,26 +21,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SHINGLE, RADIUS = 3, 2
 MAX_SHARD, MAX_SPLITS = 512, 6
+#: near_copies(): candidates within COPY_RADIUS share the bits of one of TABLES random masks; copies have a Jaccard
+#: similarity of SIMILARITY or more over COPY_SHINGLE words, by the least SKETCH hashes of their shingles.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+COPY_RADIUS, TABLES, SKETCH = 12, 24, 256
+SEED = 4
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the shingles' XXH64 (seed 42); bytes.split() parts at the contract's white space."""
-    words = (text or "").encode().lower().split()
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included; fewer words are one shingle."""
     if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+        return np.zeros(0, dtype="<u8")
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, 42) for g in grams], dtype="<u8")
+    return np.array([digest(g, 42) for g in grams], dtype="<u8")
+
+
+def word_list(text: str | None) -> list[bytes]:
+    """bytes.lower() and bytes.split() know ASCII letters and white space only, as the contract does."""
+    return (text or "").encode().lower().split()
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the shingles' hashes; zero without words."""
+    hashes = shingle_hashes(word_list(text), shingle)
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -162,18 +175,116 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _sketch(text: str | None) -> bytes:
+    """The SKETCH least 32-bit hashes of the distinct shingles, sorted."""
+    hashes = np.unique(shingle_hashes(word_list(text), COPY_SHINGLE) >> np.uint64(32))
+    return hashes[:SKETCH].astype("<u4").tobytes()
+
+
+def sketch_likeness(a: bytes, b: bytes) -> float:
+    """Jaccard similarity estimated from two sketches; exact where both hold all shingles."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)[: SKETCH if max(len(x), len(y)) == SKETCH else None]
+    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+
+
+def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each member of a shard the nearest of those before it, searched in the BK-tree with a shrinking radius."""
+    mask = (1 << 64) - 1
+    for pdf in batches:
+        u, v = [], []
+        for members in pdf["members"]:
+            tree = BKTree()
+            for signed in members.tolist():
+                x, best, found = signed & mask, COPY_RADIUS, None
+                todo = [tree.root] if tree.root else []
+                while todo:
+                    value, children = todo.pop()
+                    d = (x ^ value).bit_count()
+                    if d <= best and (found is None or d < best):
+                        best, found = d, value
+                    todo += [c for at, c in children.items() if d - best <= at <= d + best]
+                if found is not None:
+                    u.append(x)
+                    v.append(found)
+                tree.add(x)
+        yield pd.DataFrame({"u": np.array(u, dtype="<u8").view("<i8"), "v": np.array(v, dtype="<u8").view("<i8")})
+
+
+def near_links(fingerprints: DataFrame, n: int) -> DataFrame:
+    """Candidate links (u, v) between the n distinct fingerprints of column fp.
+
+    A mask has as many bits as leave some four unrelated fingerprints in a shard; shards of over MAX_SHARD, which near
+    copies fill, are split by further bits, in which near copies of each other still agree.
+    """
+    bits, rng = min(40, max(12, n.bit_length() - 2)), np.random.default_rng(SEED)
+    orders = [rng.permutation(64) for _ in range(TABLES)]
+    spark, found = fingerprints.sparkSession, []
+    todo = fingerprints.crossJoin(F.broadcast(spark.createDataFrame([(i,) for i in range(TABLES)], "j int"))).select("fp", "j")
+    while True:
+        masks = F.array(*[F.lit(_signed(sum(1 << int(b) for b in order[:bits]))) for order in orders])
+        keyed = todo.withColumn("value", F.col("fp").bitwiseAND(F.get(masks, F.col("j"))))
+        counts = keyed.groupBy("j", "value").count().where("count > 1")
+        shared = C.materialise(keyed.join(counts, ["j", "value"]), "copy-shards")
+        last = bits >= 60
+        small = shared if last else shared.where(F.col("count") <= MAX_SHARD)
+        shards = small.groupBy("j", "value").agg(F.sort_array(F.collect_list("fp")).alias("members")).select("members")
+        found.append(C.materialise(shards.mapInPandas(_nearest, "u long, v long").distinct(), "copy-links"))
+        todo = shared.where(F.col("count") > MAX_SHARD).select("fp", "j")
+        if last or todo.isEmpty():
+            break
+        bits = min(60, bits + 8)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, fp, component_id, where links are fingerprints within COPY_RADIUS whose texts' similarity is SIMILARITY or more."""
+    C.small_batches(docs.sparkSession)
+
+    @F.pandas_udf("fp long, sketch binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": np.array([simhash(t) for t in texts], dtype="<u8").view("<i8"), "sketch": [_sketch(t) for t in texts]})
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sketch_likeness(x, y) for x, y in zip(a, b)], dtype=float)
+
+    rows = C.materialise(docs.select("doc_id", of(F.col("text")).alias("s")).select("doc_id", "s.fp", "s.sketch"), "copies")
+    distinct = C.materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo")), "copies-distinct")
+    edges = C.materialise(near_links(distinct.select("fp"), distinct.count()), "copy-candidates")
+    ends = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
+    sketches = C.materialise(rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min_by("sketch", F.struct("doc_id", "sketch")).alias("sketch")), "copy-sketches")
+    pairs = edges.join(sketches.select(F.col("fp").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("fp").alias("v"), F.col("sketch").alias("b")), "v")
+    alike = C.materialise(pairs.where(likeness("a", "b") >= SIMILARITY).select("u", "v"), "copies-alike")
+    return with_components(rows.select("doc_id", "fp"), distinct, alike)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's stage: of each group of near copies the document with the least doc_id, once for each text.
+
+    Rows without a doc_id stay, once for each text.
+    """
+    kept = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    joined = docs.join(kept, docs["doc_id"] == kept["__id"], "left").where(F.col("__id").isNotNull() | F.col("doc_id").isNull()).drop("__id")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    return joined.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, fp (signed 64 bits), component_id."""
     C.small_batches(docs.sparkSession)
     rows = C.materialise(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "simhash")
-    return with_components(rows, radius)
+    distinct = C.materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo")), "simhash-distinct")
+    return with_components(rows, distinct, links(distinct, radius))
 
 
-def with_components(rows: DataFrame, radius: int) -> DataFrame:
-    """rows (doc_id, fp) with component_id."""
-    distinct = C.materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo")), "simhash-distinct")
+def with_components(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (doc_id, fp) with component_id; distinct: fp, rows n, least doc_id lo; edges: links (u, v) of fp."""
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    roots = components(links(distinct, radius))
+    roots = components(edges)
     linked = C.materialise(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "n", "lo", "root"), "simhash-linked")
     ids = linked.groupBy("root").agg(F.min("lo").alias("component_id"))
     joined = linked.join(ids, "root").select("fp", "n", "component_id")
