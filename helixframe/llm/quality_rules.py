@@ -52,14 +52,15 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (*COUNTS, "base_failed")]
     df = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__t"))
     df = df.select(*kept, "__t", C.words(F.col("__t")).alias("__w"), F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, F.lit(C.SPACES)) != "").alias("__l"))
-    df = df.select(
-        *kept,
+    counts = F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.translate("__t", C.SPACES, "")).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("__w")).alias("n_repeat_words"),
     )
+    # through a generator, so that a later filter on the counts isn't pushed below and evaluated word by word
+    df = df.select(*kept, F.inline(F.array(counts)))
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
