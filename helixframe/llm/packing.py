@@ -20,7 +20,6 @@ as many sequences as it needs; repeated rows are packed as rows of their own; an
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -37,10 +36,9 @@ WINDOW, PIECE = 1024, 128
 END = 0
 HOLD = 1 << 18
 GATHER, MAX_QUEUES = 64, 1000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, sequence long, offset long, queue int, rest binary, deficit double"
-_PLAIN = re.compile(r"\s | \s|\A\s|\s\Z|" + re.escape(SPECIAL))
 
 
 @lru_cache(maxsize=1)
@@ -55,38 +53,57 @@ def _encoders(tokens: str, ranks: str):
     return Tokenizer.from_file(P.path(tokens)), tiktoken.Encoding("packing", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-class WordCache(dict):
-    """Ids of ' word' as little-endian unsigned 32-bit, for words parted by single spaces."""
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit.
 
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
+    Where white space is single, the pattern parts a text at line feeds and before spaces, so words are encoded with
+    the space before them and remembered, up to CACHED_WORDS; the new words of a text are encoded in one call, parted
+    by line feeds, which are tokens of their own there. Other texts are encoded whole.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = np.array(self.encode(" " + word), dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def __init__(self, tokens: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> None:
+        self.whole, self.fast = _encoders(tokens, ranks)
+        self.words: dict[str, bytes] = {}
+        self.feed_id = int(self._encode("\n")[0])
+        self.feed = self._encode("\n").tobytes()
 
+    def _encode(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, disallowed_special=())
 
-class Encoder:
-    def __init__(self, tokens: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> None:
-        self.whole, fast = _encoders(tokens, ranks)
-        self.fast = fast.encode_ordinary
-        self.words = WordCache(self.fast)
+    def _learn(self, words: list[str]) -> None:
+        ids = self._encode(" " + "\n ".join(words))
+        ends = np.flatnonzero(ids == self.feed_id).tolist()
+        raw = ids.tobytes()
+        self.words.update(zip(words, [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]))
 
     def __call__(self, text: str) -> bytes:
-        """Ids of the text. Before a single space that follows no white space the pattern always parts a text, so words are encoded one by one."""
         if not text:
             return b""
         if SPECIAL in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if _PLAIN.search(text):
-            return np.array(self.fast(text), dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.array(self.fast(first), dtype="<u4").tobytes() + b"".join(map(self.words.__getitem__, rest))
+        lines = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if words != line.split():  # other white space, or several in a row
+                return self._encode(text).tobytes()
+            lines.append(words)
+        firsts = [words[0] for words in lines]
+        rest = lines[0][1:] if len(lines) == 1 else [w for words in lines for w in words[1:]]
+        new = list(set(rest).difference(self.words))
+        if new:
+            self._learn(new)
+        of = self.words.__getitem__
+        out = self.feed.join([self._encode(first).tobytes() + b"".join(map(of, words[1:])) for first, words in zip(firsts, lines)])
+        if len(self.words) > CACHED_WORDS:
+            for w in new:
+                del self.words[w]
+        return out
+
+
+@lru_cache(maxsize=1)
+def worker_encoder() -> Encoder:
+    """One for all tasks of a Python worker, so that words are learnt once."""
+    return Encoder()
 
 
 class Mixer:
@@ -165,7 +182,7 @@ def _pack(shares: dict[int, float], queue_of: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, encode, mixer = TaskContext.get().partitionId(), Encoder(), Mixer(shares)
+        part, encode, mixer = TaskContext.get().partitionId(), worker_encoder(), Mixer(shares)
         end = np.array([END], dtype="<u4").tobytes()
         for pdf in batches:
             for doc_id, source, text in zip(pdf["doc_id"].tolist(), pdf["source"].tolist(), pdf["text"].tolist()):
