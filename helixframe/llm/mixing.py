@@ -133,15 +133,15 @@ def sized(docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: every document as often as the mix takes it, with the columns of docs.
 
-    Copies are joined by doc_id; where rows share a doc_id, each takes the sum of their copies shared out in turn.
+    Copies come back by a key (doc_id, or a hash of the text where that is null) by which texts are shuffled once; rows
+    that share a key take the copies drawn for it one by one.
     """
-    rows = docs.withColumn("__size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(C.WORD_RE)).cast("long"))
-    taken = mix(rows.select("doc_id", "source", F.col("__size").alias("size")))
-    per = taken.groupBy("doc_id").agg(F.collect_list("copies").alias("__copies"))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))) - 1
-    numbered = docs.withColumn("__turn", turn)
-    joined = numbered.join(per.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    times = F.get(F.array_sort("__copies"), F.col("__turn"))
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    rows = keyed.select(F.col("__key").alias("doc_id"), "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(C.WORD_RE)).cast("long").alias("size"))
+    per = mix(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("source", F.xxhash64("text"))) - 1
+    joined = keyed.withColumn("__turn", turn).join(per.withColumnRenamed("doc_id", "__key"), "__key")
+    times = F.get(F.col("__copies"), F.col("__turn"))
     return joined.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("__copy")).drop("__copy")
 
 
