@@ -28,9 +28,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found at least twice. Windows are compared by 64-bit hash."""
     windows = F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(
-        F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3)))
     )
-    twice = lambda s: F.exists(F.transform(s, lambda x, i: F.coalesce(x == F.get(s, i + 1), F.lit(False))), lambda b: b)
 
     def covered(h: Column) -> Column:
         placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -44,7 +43,7 @@ def _repeat_words(words: Column) -> Column:
         steps = C.let(starts, lambda p: F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b).cast("long")
 
-    return C.let(windows, lambda h: F.when(C.let(F.sort_array(h), twice), covered(h)).otherwise(F.lit(0).cast("long")))
+    return C.let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
