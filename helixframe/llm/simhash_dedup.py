@@ -9,6 +9,8 @@ bring all fingerprints to the driver.
 
 Equal fingerprints are one before any search. A shard emits a spanning forest of its links instead of all pairs, and
 components are found by alternating large-star and small-star rounds, each written to the shared folder.
+near_copies(), the pipeline's stage, groups texts by shared bands of min-hashes and by fingerprints within the radius, and
+settles the pairs within a group on the whole sets of shingles.
 Edge cases: null and empty texts have the fingerprint zero; a text of fewer words than a shingle is one shingle; rows
 with a null doc_id are rows of their component, whose id is its least doc_id (null if all are); repeated rows are kept;
 an empty table gives an empty result.
@@ -16,6 +18,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +31,11 @@ from . import common as C
 
 SHINGLE, RADIUS = 3, 2
 MAX_SHARD, MAX_SPLITS = 512, 6
-#: near_copies(): candidates within COPY_RADIUS share the bits of one of TABLES random masks; copies have a Jaccard
-#: similarity of SIMILARITY or more over COPY_SHINGLE words, by the least SKETCH hashes of their shingles.
+#: near_copies(): copies have a Jaccard similarity of SIMILARITY or more over their sets of shingles of COPY_SHINGLE words;
+#: candidates share one of BANDS bands of BAND_ROWS min-hashes (at 0.8 all but 0.0004 do), or are within RADIUS.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
-COPY_RADIUS, TABLES, SKETCH = 12, 24, 256
+BANDS, BAND_ROWS = 20, 5
+CHUNK, LEADERS = 1 << 20, 8
 SEED = 4
 
 
@@ -175,91 +179,146 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(word_list(text), COPY_SHINGLE))
+
+
 def _sketch(text: str | None) -> bytes:
-    """The SKETCH least 32-bit hashes of the distinct shingles, sorted."""
-    hashes = np.unique(shingle_hashes(word_list(text), COPY_SHINGLE) >> np.uint64(32))
-    return hashes[:SKETCH].astype("<u4").tobytes()
+    """The hashes of all distinct shingles, sorted."""
+    return _shingle_set(text).tobytes()
+
+
+def _likeness(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def sketch_likeness(a: bytes, b: bytes) -> float:
-    """Jaccard similarity estimated from two sketches; exact where both hold all shingles."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)[: SKETCH if max(len(x), len(y)) == SKETCH else None]
-    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+    """Jaccard similarity of two texts' shingles."""
+    return _likeness(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"))
+
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS, _TERMS = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(odd) for odd in (1, 0))
 
 
-def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each member of a shard the nearest of those before it, searched in the BK-tree with a shrinking radius."""
-    mask = (1 << 64) - 1
+def bands(hashes: np.ndarray) -> list[int]:
+    """For each band a hash of BAND_ROWS min-hashes; two sets agree in a band with their similarity to the power BAND_ROWS."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None] * _FACTORS + _TERMS).min(axis=0), out=least)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), j)) for j, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def alike_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (places in `sets`) that span the groups in which sets have a Jaccard similarity of SIMILARITY or more.
+
+    Every pair is settled on the whole sets: as alike, as already linked through others, or because the rarest
+    elements of the one are not among those of the other, as they are where the similarity is reached.
+    """
+    size, label, found = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+
+    def linked(i: int, j: int) -> bool:
+        small, large = sorted((size[i], size[j]))
+        if small < SIMILARITY * large - 1e-9 or _likeness(sets[i], sets[j]) < SIMILARITY - 1e-9:
+            return False
+        found.append((i, j))
+        label[label == label[j]] = label[i]
+        return True
+
+    if len(sets) <= 2 * LEADERS:
+        for i in range(len(sets)):
+            for j in range(i):
+                if label[i] != label[j]:
+                    linked(j, i)
+        return found
+    leaders: list[int] = []
+    for i in range(len(sets)):  # near copies of a few texts need no search
+        if not any(linked(k, i) for k in leaders[:LEADERS]):
+            leaders.append(i)
+    if len(leaders) == 1:
+        return found
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.argsort(np.argsort(count, kind="stable"))[place]
+    cuts = np.cumsum([0, *size])
+    rarest = [np.sort(rank[a:z])[: z - a - math.ceil(SIMILARITY * (z - a) - 1e-9) + 1] for a, z in zip(cuts, cuts[1:])]
+    owner = np.repeat(np.arange(len(sets)), [len(r) for r in rarest])
+    listed = np.concatenate(rarest)
+    order = np.argsort(listed, kind="stable")
+    listed, owner = listed[order], owner[order]
+    largest = np.bincount(label).argmax()
+    for i in np.flatnonzero(label != largest).tolist():  # of two sets in different groups one is not in the largest
+        runs = zip(np.searchsorted(listed, rarest[i]), np.searchsorted(listed, rarest[i], side="right"))
+        others = np.unique(np.concatenate([owner[:0], *[owner[a:z] for a, z in runs]]))
+        for j in others[label[others] != label[i]].tolist():
+            if label[j] != label[i]:
+                linked(i, j)
+    return found
+
+
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between the keys of each row's members, which are a key and the set that it stands for."""
     for pdf in batches:
         u, v = [], []
         for members in pdf["members"]:
-            tree = BKTree()
-            for signed in members.tolist():
-                x, best, found = signed & mask, COPY_RADIUS, None
-                todo = [tree.root] if tree.root else []
-                while todo:
-                    value, children = todo.pop()
-                    d = (x ^ value).bit_count()
-                    if d <= best and (found is None or d < best):
-                        best, found = d, value
-                    todo += [c for at, c in children.items() if d - best <= at <= d + best]
-                if found is not None:
-                    u.append(x)
-                    v.append(found)
-                tree.add(x)
+            parts = sorted({int(x[0]): x[1:] for x in (np.frombuffer(m, "<u8") for m in members)}.items())
+            for i, j in alike_links([x for _, x in parts]):
+                u.append(parts[i][0])
+                v.append(parts[j][0])
         yield pd.DataFrame({"u": np.array(u, dtype="<u8").view("<i8"), "v": np.array(v, dtype="<u8").view("<i8")})
 
 
-def near_links(fingerprints: DataFrame, n: int) -> DataFrame:
-    """Candidate links (u, v) between the n distinct fingerprints of column fp.
+def clusters(distinct: DataFrame) -> DataFrame:
+    """node, root: groups of keys (distinct: key, fp, bands) that share a band or have fingerprints within RADIUS, directly or through others.
 
-    A mask has as many bits as leave some four unrelated fingerprints in a shard; shards of over MAX_SHARD, which near
-    copies fill, are split by further bits, in which near copies of each other still agree.
+    A band's agreement depends on the two texts only, so no candidate is lost as the input grows.
     """
-    bits, rng = min(40, max(12, n.bit_length() - 2)), np.random.default_rng(SEED)
-    orders = [rng.permutation(64) for _ in range(TABLES)]
-    spark, found = fingerprints.sparkSession, []
-    todo = fingerprints.crossJoin(F.broadcast(spark.createDataFrame([(i,) for i in range(TABLES)], "j int"))).select("fp", "j")
-    while True:
-        masks = F.array(*[F.lit(_signed(sum(1 << int(b) for b in order[:bits]))) for order in orders])
-        keyed = todo.withColumn("value", F.col("fp").bitwiseAND(F.get(masks, F.col("j"))))
-        counts = keyed.groupBy("j", "value").count().where("count > 1")
-        shared = C.materialise(keyed.join(counts, ["j", "value"]), "copy-shards")
-        last = bits >= 60
-        small = shared if last else shared.where(F.col("count") <= MAX_SHARD)
-        shards = small.groupBy("j", "value").agg(F.sort_array(F.collect_list("fp")).alias("members")).select("members")
-        found.append(C.materialise(shards.mapInPandas(_nearest, "u long, v long").distinct(), "copy-links"))
-        todo = shared.where(F.col("count") > MAX_SHARD).select("fp", "j")
-        if last or todo.isEmpty():
-            break
-        bits = min(60, bits + 8)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    keyed = distinct.select("key", F.posexplode("bands").alias("j", "value"))
+    least = keyed.groupBy("j", "value").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    banded = keyed.join(least, ["j", "value"]).select(F.col("key").alias("u"), "v")
+    reps = C.materialise(distinct.groupBy("fp").agg(F.min("key").alias("rep")), "copy-fingerprints")
+    same = distinct.join(reps, "fp").select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    rep = lambda end: reps.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
+    near = links(reps.select("fp")).join(rep("u"), "u").join(rep("v"), "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
+    edges = banded.unionByName(same).unionByName(near).where("u != v").distinct()
+    return components(C.materialise(edges, "copy-candidates"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, fp, component_id, where links are fingerprints within COPY_RADIUS whose texts' similarity is SIMILARITY or more."""
+    """For each row of docs (doc_id, text): doc_id, fp (a number for its set of shingles), component_id, where links are similarities of SIMILARITY or more."""
     C.small_batches(docs.sparkSession)
 
-    @F.pandas_udf("fp long, sketch binary")
+    @F.pandas_udf("fp long, key long, size long, bands array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fp": np.array([simhash(t) for t in texts], dtype="<u8").view("<i8"), "sketch": [_sketch(t) for t in texts]})
-
-    @F.pandas_udf("double")
-    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sketch_likeness(x, y) for x, y in zip(a, b)], dtype=float)
-
-    rows = C.materialise(docs.select("doc_id", of(F.col("text")).alias("s")).select("doc_id", "s.fp", "s.sketch"), "copies")
-    distinct = C.materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo")), "copies-distinct")
-    edges = C.materialise(near_links(distinct.select("fp"), distinct.count()), "copy-candidates")
-    ends = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
-    sketches = C.materialise(rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min_by("sketch", F.struct("doc_id", "sketch")).alias("sketch")), "copy-sketches")
-    pairs = edges.join(sketches.select(F.col("fp").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("fp").alias("v"), F.col("sketch").alias("b")), "v")
-    alike = C.materialise(pairs.where(likeness("a", "b") >= SIMILARITY).select("u", "v"), "copies-alike")
-    return with_components(rows.select("doc_id", "fp"), distinct, alike)
+        sets = [_shingle_set(t) for t in texts]
+        return pd.DataFrame(
+            {
+                "fp": np.array([simhash(t) for t in texts], dtype="<u8").view("<i8"),
+                "key": np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype="<u8").view("<i8"),
+                "size": [len(x) for x in sets],
+                "bands": [bands(x) for x in sets],
+            }
+        )
+
+    @F.pandas_udf("binary")
+    def member(keys: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array([k], dtype="<i8").tobytes() + _sketch(t) for k, t in zip(keys, texts)])
+
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at"))
+    rows = C.materialise(texts.select("doc_id", "at", of(F.col("text")).alias("s")).select("doc_id", "at", "s.*"), "copies")
+    first = [F.min(c).alias(c) for c in ("at", "fp", "size", "bands")]
+    distinct = C.materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), *first), "copies-distinct")
+    grouped = C.materialise(distinct.join(clusters(distinct), F.col("key") == F.col("node")).select("key", "at", "size", "root"), "copy-clusters")
+    # a group of over CHUNK hashes is parted, and every two parts meet in a task
+    parts = grouped.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"))
+    sets = texts.join(grouped, "at").join(parts, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.greatest("parts", F.lit(1))).cast("int"))
+    sets = sets.select("root", "own", "parts", member("key", "text").alias("member"))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))))
+    met = sets.groupBy("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("member").alias("members"))
+    alike = C.materialise(met.select("members").mapInPandas(_alike, "u long, v long"), "copies-alike")
+    return with_components(rows.select("doc_id", F.col("key").alias("fp")), distinct.select(F.col("key").alias("fp"), "n", "lo"), alike)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,41 @@ def test_sketches():
     a = S._sketch(" ".join(map(str, range(100))))
     b = S._sketch(" ".join(map(str, range(90))))
     assert S.sketch_likeness(a, b) == pytest.approx(86 / 96) and S.sketch_likeness(a, a) == 1 and S.sketch_likeness(b"", b"") == 1
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def _edited(rng, words, share):
+    """A text of unlike words, and the same with one passage replaced such that the similarity is `share` or a little more."""
+    a = [f"w{rng.getrandbits(40)}" for _ in range(words)]
+    n = words - 4
+    k = next(k for k in range(n, 0, -1) if (n - k - 4) / (n + k + 4) >= share)
+    at = rng.randrange(5, words - k - 5)
+    return " ".join(a), " ".join(a[:at] + [f"w{rng.getrandbits(40)}" for _ in range(k)] + a[at + k :])
+
+
+def _groups(spark, texts):
+    got = {}
+    for r in S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.component_id, set()).add(r.doc_id)
+    return {frozenset(g) for g in got.values()}
+
+
+def test_copies_are_found_whatever_the_distance_of_their_fingerprints(spark):
+    rng, pairs = random.Random(3), []
+    while len(pairs) < 60:  # at 0.8, further apart than any mask reaches
+        a, b = _edited(rng, 60, 0.8)
+        if (S.simhash(a) ^ S.simhash(b)).bit_count() > 12:
+            pairs.append((a, b))
+    assert all(0.8 <= _jaccard(a, b) < 0.87 for a, b in pairs)
+    assert _groups(spark, [t for p in pairs for t in p]) == {frozenset((2 * i, 2 * i + 1)) for i in range(60)}
+
+
+def test_band_agreement_is_that_of_the_similarity():
+    rng = random.Random(5)
+    pairs = [_edited(rng, 400, 0.8) for _ in range(150)]
+    shared = [len(set(S.bands(S._shingle_set(a))) & set(S.bands(S._shingle_set(b)))) for a, b in pairs]
+    assert min(shared) > 0 and abs(sum(shared) / 150 / S.BANDS - 0.8**S.BAND_ROWS) < 0.05
