@@ -113,3 +113,45 @@ def test_band_agreement_is_that_of_the_similarity():
     pairs = [_edited(rng, 400, 0.8) for _ in range(150)]
     shared = [len(set(S.bands(S._shingle_set(a))) & set(S.bands(S._shingle_set(b)))) for a, b in pairs]
     assert min(shared) > 0 and abs(sum(shared) / 150 / S.BANDS - 0.8**S.BAND_ROWS) < 0.05
+
+
+def test_every_member_is_compared_not_only_the_nearest(spark):
+    """Pages of one template, unlike by the shingles, lie between a text and its copy."""
+    rng, texts = random.Random(6), []
+    while len(texts) < 160:
+        a, b = _edited(rng, 300, 0.8)
+        bits = (S.simhash(a) ^ S.simhash(b)).bit_count()
+        words, between = a.split(), None
+        for _ in range(40):
+            k = rng.randrange(36, 60)
+            at = rng.randrange(5, 295 - k)
+            c = " ".join(words[:at] + [f"w{rng.getrandbits(40)}" for _ in range(k)] + words[at + k :])
+            if (S.simhash(a) ^ S.simhash(c)).bit_count() < bits and _jaccard(a, c) < 0.79 and _jaccard(b, c) < 0.79:
+                between = c
+        if between:
+            texts += [a, between, b, " ".join(f"w{rng.getrandbits(40)}" for _ in range(300))]
+    want = {frozenset((i, i + 2)) for i in range(0, 160, 4)} | {frozenset((i + k,)) for i in range(0, 160, 4) for k in (1, 3)}
+    assert _groups(spark, texts) == want
+
+
+def test_links_span_the_groups_of_all_pairs():
+    rng = random.Random(7)
+    for members in (5, 60, 150):
+        sets = [frozenset()]
+        for _ in range(6):  # families: some alike, some just not, and chains
+            x = [rng.getrandbits(60) for _ in range(rng.randrange(20, 80))]
+            for _ in range(members):
+                sets.append(frozenset(x))
+                x = [rng.getrandbits(60) if rng.random() < 0.07 else e for e in x]
+        sets = sorted(set(sets), key=lambda x: rng.random())
+        arrays = [S.np.array(sorted(x), dtype="<u8") for x in sets]
+        root = list(range(len(sets)))
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if x and y and len(x & y) >= 0.8 * len(x | y) and root[i] != root[j]:
+                    root = [root[j] if r == root[i] else r for r in root]
+        got = list(range(len(sets)))
+        for i, j in S.alike_links(arrays):
+            got = [got[i] if r == got[j] else r for r in got]
+        groups = lambda of: {frozenset(i for i in range(len(of)) if of[i] == r) for r in set(of)}
+        assert groups(got) == groups(root)
