@@ -1,6 +1,8 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each input partition tokenises its documents as they come and queues them by source. A window of WINDOW tokens is
+Documents are dealt over the partitions, and ordered within, by a hash, so that each partition and any stretch of it has
+every source's share, however the input is ordered. A partition tokenises its documents as they come and queues them by
+source. A window of WINDOW tokens is
 filled in turns: every source's deficit grows by its share of the window, and sources with a deficit are served in
 round-robin order, a piece at least PIECE tokens long (or what is left of a document) at a time, so that a source
 with a small share waits until a piece is due. What a source got too much or too little is carried to the next
@@ -11,7 +13,7 @@ gapless, and every token lies in exactly one piece.
 Targets are each source's share of the bytes (pass `targets` to ask for others; a source that runs dry leaves its
 share to the rest, since everything is packed). Up to MAX_QUEUES sources have queues of their own, the smaller ones
 share one, so memory is bounded: a partition holds at most HOLD queued tokens and one batch of texts.
-No token is shuffled but the rests; a recomputed task gives the same pieces.
+Texts are shuffled once, tokens only in the rests; a recomputed task gives the same pieces.
 
 Edge cases: a null or empty text is its end token only; a null source is a source of its own; a text of any length is cut over
 as many sequences as it needs; repeated rows are packed as rows of their own; an empty table gives an empty result.
@@ -173,7 +175,8 @@ def _frame(mixer: Mixer, part: int) -> pd.DataFrame:
 
 
 def _rests(mixer: Mixer, part: int) -> pd.DataFrame:
-    rows = [(d, s, len(ids) // 4, None, n, part, None, i, q, bytes(ids), mixer.deficit[q]) for q, docs in mixer.queues.items() for i, (d, s, ids, n) in enumerate(docs)]
+    """What is left; an empty queue's row has no ids, only what the queue owes."""
+    rows = [(d, s, len(ids) // 4, None, n, part, None, i, q, bytes(ids), mixer.deficit[q]) for q, docs in mixer.queues.items() for i, (d, s, ids, n) in enumerate(docs or [(None, 0, b"", 0)])]
     pdf = pd.DataFrame(rows, columns=[f.split()[0] for f in _SCHEMA.split(", ")])
     return pdf.astype({c: "Int64" for c in ("doc_id", "ids_crc32", "sequence")})
 
@@ -206,7 +209,7 @@ def _gather(shares: dict[int, float], first: int):
         mixer, group = Mixer(shares), first + int(pdf["part"].iat[0]) // GATHER
         for (_, queue), own in pdf.groupby(["part", "queue"], sort=True):
             mixer.deficit[queue] = mixer.deficit.get(queue, 0.0) + float(own["deficit"].iat[0])
-        for r in pdf.itertuples():
+        for r in pdf[pdf["length"] > 0].itertuples():
             mixer.add(r.queue, None if pd.isna(r.doc_id) else int(r.doc_id), r.start, r.rest, r.doc_tokens)
         while mixer.queued:
             mixer.window()
@@ -229,6 +232,7 @@ def pack(docs: DataFrame, targets: dict | None = None) -> DataFrame:
     queue_of = {source: i for i, source in enumerate(targets)}
     whole = sum(targets.values()) or 1.0
     shares = {queue_of[s]: w / whole for s, w in targets.items()} | {len(queue_of): 1e-4}
+    rows = rows.withColumn("at", F.xxhash64("doc_id", F.monotonically_increasing_id())).repartition("at").sortWithinPartitions("at")
     packed = C.materialise(rows.mapInPandas(_pack(shares, queue_of), _SCHEMA), "packed")
     rest = packed.where(F.col("rest").isNotNull())
     first = 1 << 20  # gathered sequences are numbered after every partition's own

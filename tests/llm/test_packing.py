@@ -8,6 +8,8 @@ from tokenizers import Tokenizer
 
 from helixframe.llm import packing as P
 
+from .conftest import prose
+
 
 def test_encoder_equals_the_tokenizer():
     whole, own, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), P.Encoder(), random.Random(1)
@@ -59,3 +61,32 @@ def test_windows_hold_the_target_shares():
     taken = {q: 200_000 - n for q, n in left.items()}
     assert all(abs(taken[q] / sum(taken.values()) - s) < 0.01 for q, s in mixer.shares.items())
     assert all(abs(d) < 2 * P.WINDOW for d in mixer.deficit.values())
+
+
+def deviations(spark, docs):
+    """Over the full windows, the mean and the largest distance of a source's share from its share of all tokens."""
+    rows = P.pack(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    whole, windows = Counter(), {}
+    for r in rows:
+        whole[r.source] += r.length
+        windows.setdefault(r.sequence_id, Counter())[r.source] += r.length
+    total = sum(whole.values())
+    off = [abs(w[s] / P.WINDOW - whole[s] / total) for w in windows.values() if sum(w.values()) == P.WINDOW for s in whole]
+    return sum(off) / len(off), max(off)
+
+
+def test_windows_hold_the_target_shares_of_an_input_sorted_by_source(spark):
+    rows = [(s * 1000 + i, "abc"[s], prose(100, s * 1000 + i)) for s, n in enumerate((250, 150, 100)) for i in range(n)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, source string, text string")
+    mean, most = deviations(spark, docs)
+    print("mean, largest deviation:", mean, most)
+    assert mean < 0.06 and most < 0.4
+
+
+def test_an_empty_queue_hands_on_what_it_owes():
+    mixer = P.Mixer({0: 0.5, 1: 0.5})
+    mixer.add(0, 1, 0, b"\1\0\0\0" * 1100, 1100)
+    mixer.add(1, 2, 0, b"\1\0\0\0" * 200, 200)
+    mixer.window()
+    owed = {r.queue: (r.length, r.deficit) for r in P._rests(mixer, 0).itertuples()}
+    assert set(owed) == {0, 1} and owed[1] == (0, mixer.deficit[1])
