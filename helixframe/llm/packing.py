@@ -226,12 +226,14 @@ def pack(docs: DataFrame, targets: dict | None = None) -> DataFrame:
     spark = docs.sparkSession
     C.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text"))
+    shared = 1e-4 * sum(targets.values()) if targets else 0.0  # sources without a target of their own
     if targets is None:
-        largest = rows.groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("b")).orderBy(F.desc("b"), "source").limit(MAX_QUEUES)
-        targets = {r["source"]: float(r["b"]) for r in largest.collect()}
+        weights = C.materialise(rows.groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("b")), "source-bytes")
+        targets = {r["source"]: float(r["b"]) for r in weights.orderBy(F.desc("b"), "source").limit(MAX_QUEUES).collect()}
+        shared = max(0.0, float(weights.agg(F.sum("b")).first()[0] or 0) - sum(targets.values()))
     queue_of = {source: i for i, source in enumerate(targets)}
-    whole = sum(targets.values()) or 1.0
-    shares = {queue_of[s]: w / whole for s, w in targets.items()} | {len(queue_of): 1e-4}
+    whole = sum(targets.values()) + shared or 1.0
+    shares = {queue_of[s]: w / whole for s, w in targets.items()} | {len(queue_of): shared / whole}
     rows = rows.withColumn("at", F.xxhash64("doc_id", F.monotonically_increasing_id())).repartition("at").sortWithinPartitions("at")
     packed = C.materialise(rows.mapInPandas(_pack(shares, queue_of), _SCHEMA), "packed")
     rest = packed.where(F.col("rest").isNotNull())

@@ -90,3 +90,15 @@ def test_an_empty_queue_hands_on_what_it_owes():
     mixer.window()
     owed = {r.queue: (r.length, r.deficit) for r in P._rests(mixer, 0).itertuples()}
     assert set(owed) == {0, 1} and owed[1] == (0, mixer.deficit[1])
+
+
+def test_sources_that_share_a_queue_have_their_summed_share(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_QUEUES", 2)
+    rows = [(i, "ab"[i % 2] if i < 120 else f"small{i}", prose(100, i)) for i in range(240)]  # the small ones are half of all
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    tail, windows = Counter(), Counter()
+    for r in P.pack(docs).collect():
+        windows[r.sequence_id] += r.length
+        tail[r.sequence_id] += r.length * (r.doc_id >= 120)
+    full = [s for s in windows if windows[s] == P.WINDOW]
+    assert sum(abs(tail[s] / P.WINDOW - 0.5) for s in full) / len(full) < 0.1
