@@ -1,11 +1,11 @@
 """Document fingerprints by consistent weighted sampling.
 
-Terms are five-word shingles (a text of fewer words is one term) and weigh as often as they occur. As in improved
-consistent weighted sampling, a term draws r and c from Gamma(2, 1) and b from U(0, 1), all from its hash; with
-weight w, t = floor(ln w / r + b), and ln a = ln c - r (t - b) - r is the term's bid; the lowest bid wins, and its
-(term, t) is the sample. Terms are dealt over LANES lanes by hash and bid in theirs only, so that the cost is one bid
-a term instead of LANES: within each lane the samples of two texts agree with the generalised Jaccard similarity of
-the lane's terms, and the share of agreeing lanes among those that either text uses estimates that of the texts.
+Terms are five-word shingles (a text of fewer words is one term) and weigh as often as they occur. A term of weight w
+stands for its units (term, 1) to (term, w); the generalised Jaccard similarity of two texts is the Jaccard similarity
+of their units, so drawing a unit by its lowest hash is consistent weighted sampling for whole weights. Units, not
+terms, are dealt over LANES lanes by hash, and the lowest in a lane is its sample: one bid a unit instead of LANES.
+The expected share of agreeing lanes among those that either text uses is the generalised Jaccard similarity, whatever
+the weights (one-permutation hashing).
 
 Only DataFrame functions, all within the row: no shuffle, and a long text costs as much as its words.
 Edge cases: null and empty texts have the empty fingerprint; two empty fingerprints have likeness 1, an empty and
@@ -24,7 +24,7 @@ SHINGLE = 5
 LANES = 128
 SEGMENTS, ROWS_A_BUCKET = 64, 1000
 
-_BIDS, _ID_BITS, _LANE_AT = 31, 25, 56
+_LANE_AT = 56
 
 
 def _terms(text: Column) -> Column:
@@ -37,47 +37,24 @@ def _terms(text: Column) -> Column:
     )
 
 
-def _halves(g: Column) -> Column:
-    """Product of two numbers in (0, 1) made from one hash."""
-    return (g.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * (F.shiftrightunsigned(g, 32) + F.lit(0.5)) * F.lit(2.0**-64)
-
-
-def _draws(h: Column) -> tuple[Column, Column, Column]:
-    """r, ln c and b of a term. b comes from bits 7 to 38 of its hash; bits 0 to 6 are the lane's."""
-    b = (F.shiftrightunsigned(h, 7).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * F.lit(2.0**-32)
-    return -F.ln(_halves(F.xxhash64(h, F.lit(1)))), F.ln(-F.ln(_halves(F.xxhash64(h, F.lit(2))))), b
-
-
-def _packed(h: Column, ln_a: Column, t: Column) -> Column:
-    """Lane, bid and sample in one number: lanes apart, then the lowest bid first."""
-    bid = F.greatest(F.lit(0.0), (ln_a + F.lit(64.0)) * F.lit(2.0**24)).cast("long")
-    sample = (F.shiftrightunsigned(h, 39) + t * F.lit(2654435761)).bitwiseAND(F.lit(2**_ID_BITS - 1))
-    return F.shiftleft(h.bitwiseAND(F.lit(LANES - 1)), _LANE_AT) + F.shiftleft(bid, _ID_BITS) + sample
-
-
-def _bid_once(h: Column) -> Column:
-    """Bid of a term of weight 1, for which t is 0."""
-    r, ln_c, b = _draws(h)
-    return _packed(h, ln_c - r * (F.lit(1.0) - b), F.lit(0).cast("long"))
-
-
-def _bid(h: Column, w: Column) -> Column:
-    """Bid of a term of weight w."""
-    r, ln_c, b = _draws(h)
-    return C.let(F.floor(F.ln(w) / r + b), lambda t: _packed(h, ln_c - r * (t.cast("double") - b) - r, t.cast("long")))
+def _bid(unit: Column) -> Column:
+    """Lane and bid in one number, made from the unit's hash: lanes apart, then the lowest bid first."""
+    return F.shiftleft(unit.bitwiseAND(F.lit(LANES - 1)), _LANE_AT) + F.shiftrightunsigned(unit, 8)
 
 
 def signature(text: Column) -> Column:
-    """Array of numbers, one for each lane that the text uses: the lane, times 65536, plus 16 bits of its sample."""
+    """Array of numbers, one for each lane that the text uses: the lane, times 65536, plus 16 bits of its sample's hash."""
 
-    def weighted(s: Column) -> Column:
-        """Bids of sorted terms, one for each run of equal ones."""
-        ends = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x == F.get(s, i + 1), F.lit(False)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
-        return C.let(ends, lambda e: F.transform(e, lambda i, j: _bid(F.get(s, i), (i - F.coalesce(F.get(e, j - 1), F.lit(-1))).cast("double"))))
+    def units(s: Column) -> Column:
+        """Of sorted terms, a hash of each and its number among equal ones."""
+        first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        starts = F.filter(F.transform(s, lambda x, i: F.when(first(i), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+        runs = lambda e: F.transform(e, lambda i, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(e, j + 1), F.size(s)) - i - 1), lambda k: F.xxhash64(F.get(s, i), k)))
+        return F.flatten(C.let(starts, runs))
 
     def bids(h: Column) -> Column:
         once = F.size(F.array_distinct(h)) == F.size(h)
-        return F.when(once, F.transform(h, _bid_once)).otherwise(C.let(F.sort_array(h), weighted))
+        return F.transform(F.when(once, F.transform(h, lambda x: F.xxhash64(x, F.lit(0)))).otherwise(C.let(F.sort_array(h), units)), _bid)
 
     lane = lambda x: F.shiftright(x, _LANE_AT)
     sorted_bids = F.sort_array(C.let(_terms(text), bids))

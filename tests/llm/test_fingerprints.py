@@ -46,3 +46,24 @@ def test_likeness_estimates_generalised_jaccard(spark):
 
 def test_empty(spark, empty_folder):
     assert P.query(spark, empty_folder).count() == 0
+
+
+def test_likeness_holds_for_heavy_repeats(spark):
+    """Weights in the hundreds: one shared shingle and unlike ones; the same shingles, one weighing 1000 and 500."""
+    pairs = []
+    for k in range(10):
+        a, b, c = (prose(104, 3000 + 3 * k + i) for i in range(3))
+        pairs += [(f"{a} " + "x " * 1004, f"{b} " + "x " * 1004), (f"{c} " + "x " * 1004, f"{c} " + "x " * 504)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", P.likeness(P.signature(df.a), P.signature(df.b)).alias("s")).collect()
+
+    def shingles(t):
+        w = t.split()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    errors = []
+    for r in got:
+        x, y = shingles(r.a), shingles(r.b)
+        errors.append(r.s - sum((x & y).values()) / sum((x | y).values()))
+    print("bias, largest error:", sum(errors) / len(errors), max(map(abs, errors)))
+    assert abs(sum(errors) / len(errors)) < 0.03 and max(map(abs, errors)) < 0.2
