@@ -7,8 +7,7 @@ depends on its ending only; endings are dealt to classes by which documents they
 
 Counts are taken over all training documents. The most frequent words, at most FREQUENT, reach the executors by
 broadcast, the counts of all others by a join over the rare tokens only, whatever their number. Weights start at the counts' unigram
-model; then each input partition runs truncated backpropagation over the training documents that a hash picks at TRAIN_RATE (a
-share, so the sample grows with the input), and the partitions' weights are averaged, ROUNDS times.
+model; then each input partition runs truncated backpropagation over its training documents, all of them, and the partitions' weights are averaged, ROUNDS times.
 Documents are scored whole, many at a time in lanes; a document's state is carried across windows to its end.
 
 Edge cases: null and empty texts are their end token; a null doc_id counts as an empty text in the hash; without
@@ -33,7 +32,7 @@ from . import common as C
 
 CLASSES, SLOTS, HIDDEN, ENDINGS = 64, 32, 16, 4096
 FREQUENT = 60_000
-TRAIN_RATE, ROUNDS = 1 / 16, 2
+ROUNDS = 2
 WINDOW, TRAIN_LANES, STEP = 32, 64, 0.01
 LANES, SCORE_WINDOW, CHUNK = 512, 64, 2_000_000
 #: Partial averages of the partitions' weights that reach the driver at once.
@@ -441,15 +440,14 @@ def _score(vocab, shared, like):
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """For docs (doc_id, held_out, text), with the model of train (text and a column `picked` that marks what the network learns from)."""
+    """For docs (doc_id, held_out, text), with the model of train (text)."""
     spark = docs.sparkSession
     C.small_batches(spark)
     counts = C.materialise(word_counts(train), "word-counts")
-    picked = train.where("picked")
-    v = vocabulary(counts, picked)
+    v = vocabulary(counts, train)
     vocab = spark.sparkContext.broadcast(v)
     net = Network.initial(Vocabulary(v.words, v.counts, v.class_of, v.total, v.distinct, v.class_total, v.class_distinct, v.least).prepare())
-    net = train_network(picked, vocab, net)
+    net = train_network(train, vocab, net)
     shared = spark.sparkContext.broadcast(_pack(net.w))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
     scored = C.materialise(docs.mapInPandas(_score(vocab, shared, net.w), schema), "lm-scores")
@@ -475,5 +473,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs = docs.withColumn("held_out", F.pmod(crc, F.lit(5)) == 1)
-    train = docs.where(~F.col("held_out")).withColumn("picked", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(round(1 / TRAIN_RATE))) == 0)
-    return score(docs, train)
+    return score(docs, docs.where(~F.col("held_out")))

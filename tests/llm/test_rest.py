@@ -178,3 +178,10 @@ def test_pipeline(spark, folder, empty_folder):
     kept = {r.doc_id for r in steps[1].collect()}
     assert kept == {0, 6, None, 10}  # short, repetitive and copied documents are gone
     assert P.run(spark, empty_folder).count() == 0
+
+
+def test_the_network_learns_from_all_training_documents(spark, folder, monkeypatch):
+    seen, whole = [], L.train_network
+    monkeypatch.setattr(L, "train_network", lambda train, vocab, net: seen.append(train.count()) or whole(train, vocab, net))
+    rows = L.query(spark, folder).collect()
+    assert seen == [sum(not r.held_out for r in rows)]
