@@ -6,9 +6,13 @@ follow their smoothed counts, so that all words and one unknown per class share
 depends on its ending only; endings are dealt to classes by which documents they occur in together.
 
 Counts are taken over all training documents. The most frequent words, at most FREQUENT, reach the executors by
-broadcast, the counts of all others by a join over the rare tokens only, whatever their number. Weights start at the counts' unigram
-model; then each input partition runs truncated backpropagation over its training documents, all of them, and the partitions' weights are averaged, ROUNDS times.
-Documents are scored whole, many at a time in lanes; a document's state is carried across windows to its end.
+broadcast, the counts of all others by a join over the rare tokens only, whatever their number. Every text is parted into
+words twice: to count them, and to write them as codes of 16 bits (a frequent word, or the ending of a rare one), which
+all later passes read. Weights start at the counts' unigram model; then each input partition runs truncated
+backpropagation over its training documents, and the partitions' weights are averaged. That happens ROUNDS times, each
+time with another of ROUNDS even parts of the training documents, so every one of them is learnt from once.
+Documents are scored whole, many at a time in lanes; a document's state is carried across windows to its end. A chunk
+of documents takes memory in proportion to its tokens (CHUNK, or one longer text), not to its longest text times lanes.
 
 Edge cases: null and empty texts are their end token; a null doc_id counts as an empty text in the hash; without
 training documents every token is unknown; repeated rows score alike; an empty table gives an empty result.
@@ -19,8 +23,10 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,14 +37,23 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CLASSES, SLOTS, HIDDEN, ENDINGS = 64, 32, 16, 4096
+#: Codes of frequent words and of endings fit in 16 bits together.
 FREQUENT = 60_000
 ROUNDS = 2
-WINDOW, TRAIN_LANES, STEP = 32, 64, 0.01
+#: Adam's step falls with the root of the number of updates over DECAY.
+WINDOW, TRAIN_LANES, STEP, DECAY = 32, 256, 0.03, 10
 LANES, SCORE_WINDOW, CHUNK = 512, 64, 2_000_000
+#: Distinct words that a task counts before it passes them on.
+COUNTED = 1 << 19
 #: Partial averages of the partitions' weights that reach the driver at once.
 AVERAGES = 8
+PROFILE = 64
 SEED = 9
 END = b"\n"
+_RARE = 0xFFFF
+#: Rows of a softmax at a time.
+BLOCK = 1024
+_ROWS, _ONES = np.arange(BLOCK), {c: np.ones(BLOCK, dtype=c) for c in "fd"}
 
 
 def ending(word: bytes) -> int:
@@ -50,46 +65,81 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def _hash(word: bytes) -> int:
+    x = xxhash.xxh64_intdigest(word, 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 @dataclass
 class Vocabulary:
-    """What scoring knows of the counts: frequent words, and totals by class."""
+    """What is known of the counts: frequent words, and totals by ending."""
 
     words: list[bytes]
     counts: np.ndarray
-    class_of: np.ndarray  # by ending
-    total: int
-    distinct: int
-    class_total: np.ndarray
-    class_distinct: np.ndarray
+    mass: np.ndarray  # training tokens by ending
+    kinds: np.ndarray  # distinct training tokens by ending
     least: int  # words of this count or more are listed
-    ids: dict[bytes, int] = field(default_factory=dict)
-
-    def prepare(self) -> Vocabulary:
-        """ids and, by id, slot and log10 shares; once per worker."""
-        if self.ids:
-            return self
-        size = len(self.words)
-        classes = np.array([self.class_of[ending(w)] for w in self.words], dtype=np.int64)
-        self.slot = classes * SLOTS + SLOTS - 1
-        used = np.zeros(CLASSES, dtype=np.int64)
-        rest, kinds = self.class_total.astype(float), self.class_distinct.astype(float)
+
+    @property
+    def total(self) -> int:
+        return int(self.mass.sum())
+
+    def endings(self) -> np.ndarray:
+        """Ending of each code."""
+        return np.concatenate([np.array([ending(w) for w in self.words], dtype=np.int64), np.arange(ENDINGS)])
+
+
+class Encoder:
+    """Words to codes; one per task."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.get, self.first = dict(zip(words, range(len(words)))).get, len(words)
+        self.rare: dict[bytes, tuple[int, int]] = {}
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Codes, and the hashes of the rare words in order."""
+        codes = np.fromiter(map(self.get, words, repeat(_RARE)), dtype=np.uint16, count=len(words))
+        hashes = []
+        for i in np.flatnonzero(codes == _RARE).tolist():
+            word = words[i]
+            known = self.rare.get(word)
+            if known is None:
+                known = (self.first + ending(word), _hash(word))
+                if len(self.rare) < COUNTED:
+                    self.rare[word] = known
+            codes[i] = known[0]
+            hashes.append(known[1])
+        return codes, hashes
+
+
+class Tables:
+    """By code: slot, and log10 shares of all tokens and within the slot; a rare word's log10(c + 0.5) comes later."""
+
+    def __init__(self, v: Vocabulary, class_of: np.ndarray) -> None:
+        size, endings = len(v.words), v.endings()
+        classes = class_of[endings]
+        fold = lambda a: np.bincount(class_of, weights=a, minlength=CLASSES)
+        rest, kinds, used = fold(v.mass), fold(v.kinds), np.zeros(CLASSES, dtype=np.int64)
+        self.slot = (classes * SLOTS + SLOTS - 1).astype(np.int16)
         self.slot_count = np.zeros(CLASSES * SLOTS)
-        for i, c in enumerate(classes):
+        own = np.zeros(size, dtype=bool)
+        for i, c in enumerate(classes[:size]):
             if used[c] < SLOTS - 1:
                 self.slot[i] = c * SLOTS + used[c]
-                self.slot_count[self.slot[i]] = self.counts[i]
+                self.slot_count[self.slot[i]] = v.counts[i]
+                own[i] = True
                 used[c] += 1
-                rest[c] -= self.counts[i]
+                rest[c] -= v.counts[i]
                 kinds[c] -= 1
         self.slot_count[SLOTS - 1 :: SLOTS] = rest
         self.open_slots = (np.arange(SLOTS) < used[:, None]) | (np.arange(SLOTS) == SLOTS - 1)
-        self.log_rest = np.log10(np.maximum(rest, 0) + 0.5 * (np.maximum(kinds, 0) + 1))
-        self.log_all = math.log10(self.total + 0.5 * (self.distinct + 1))
-        log = np.log10(self.counts + 0.5)
-        self.base = log - self.log_all
-        self.within = np.where(self.slot % SLOTS == SLOTS - 1, log - self.log_rest[classes], 0.0)
-        self.ids = dict(zip(self.words, range(size)))
-        return self
+        log_rest = np.log10(np.maximum(rest, 0) + 0.5 * (np.maximum(kinds, 0) + 1))[classes]
+        log_all = math.log10(v.total + 0.5 * (v.kinds.sum() + 1))
+        log = np.concatenate([np.log10(v.counts + 0.5), np.zeros(ENDINGS)])
+        self.base = log - log_all
+        self.within = log - log_rest
+        self.within[:size][own] = 0.0
+        self.end = int(self.slot[v.words.index(END) if END in v.words else size + ending(END)])
 
 
 class Network:
@@ -99,10 +149,10 @@ class Network:
         self.w = weights
 
     @staticmethod
-    def initial(v: Vocabulary) -> Network:
+    def initial(t: Tables) -> Network:
         rng, n = np.random.default_rng(SEED), CLASSES * SLOTS
-        counts = v.slot_count.reshape(CLASSES, SLOTS)
-        slot_bias = np.where(v.open_slots, np.log(np.maximum(counts, 0) + 0.5), -30.0)
+        counts = t.slot_count.reshape(CLASSES, SLOTS)
+        slot_bias = np.where(t.open_slots, np.log(np.maximum(counts, 0) + 0.5), -30.0)
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         return Network(
             {
@@ -115,155 +165,195 @@ class Network:
             }
         )
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """State after the inputs x, and what backpropagation needs."""
-        i, a = self.w["input"][x], h @ self.w["state"]
-        gates = 1 / (1 + np.exp(-(i[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])))
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(i[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :])
+    def step(self, i: np.ndarray, h: np.ndarray):
+        """State after the inputs (rows of `input`), and what backpropagation needs."""
+        a = h @ self.w["state"]
+        gates = i[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+        gates *= 0.5  # the logistic function, by the hyperbolic tangent
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        z, r, an = gates[:, :HIDDEN], gates[:, HIDDEN:], a[:, 2 * HIDDEN :]
+        n = r * an
+        n += i[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, (z, r, n, an)
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None):
-        """Natural log probability of the slots y after the states h; with grads, these are added to, and d/dh comes second."""
-        c, s = y // SLOTS, y % SLOTS
-        logits = h @ self.w["class"] + self.w["class_bias"]
-        top = logits.max(axis=1, keepdims=True)
-        e = np.exp(logits - top)
-        total = e.sum(axis=1)
-        rows = np.arange(len(y))
-        out = (logits[rows, c] - top[:, 0] - np.log(total)).astype(np.float64)
-        dh = None
-        if grads is not None:
-            d = -e / total[:, None]
-            d[rows, c] += 1
-            grads["class"] += h.T @ d
-            grads["class_bias"] += d.sum(axis=0)
-            dh = d @ self.w["class"].T
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[bounds[k] : bounds[k + 1]]
-            if not len(own):
-                continue
-            hk, sk = h[own], s[own]
-            logits = hk @ self.w["slot"][k] + self.w["slot_bias"][k]
+    @staticmethod
+    def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, bound: float, s: np.ndarray):
+        """Log probability of the choices s, and exp of the logits with their sums.
+
+        States lie within (-1, 1), which bounds the logits, so no maximum by row is needed unless that bound is loose.
+        """
+        logits = h @ w
+        logits += bias - h.dtype.type(bound)
+        if bound - float(bias.max()) > 40:
             logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            at = np.arange(len(own))
-            out[own] += logits[at, sk] - np.log(total)
-            if grads is not None:
-                d = -e / total[:, None]
-                d[at, sk] += 1
-                grads["slot"][k] += hk.T @ d
-                grads["slot_bias"][k] += d.sum(axis=0)
-                dh[own] += d @ self.w["slot"][k].T
-        return out, dh
+        picked = logits[_ROWS[: len(s)], s]
+        e = np.exp(logits, out=logits)
+        total = e @ _ONES[e.dtype.char][: e.shape[1]]
+        return picked - np.log(total), e, total
 
+    @staticmethod
+    def _slopes(h: np.ndarray, w: np.ndarray, e: np.ndarray, total: np.ndarray, s: np.ndarray, dw: np.ndarray, db: np.ndarray) -> np.ndarray:
+        """Gradients of a softmax added to dw and db; the one of h is returned."""
+        e *= (-1 / total)[:, None]
+        e[_ROWS[: len(s)], s] += 1
+        dw += h.T @ e
+        db += _ONES[e.dtype.char][: len(s)] @ e
+        return e @ w.T
 
-def _lanes(docs: list[np.ndarray], lanes: int) -> tuple[list[list[int]], np.ndarray]:
+    def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None):
+        """Natural log probability of the slots y after the states h; with grads, these are added to, and d/dh comes second."""
+        order = np.argsort((y // SLOTS).astype(np.int16), kind="stable")
+        h, c, s = h[order], y[order] // SLOTS, y[order] % SLOTS
+        out, dh = np.empty(len(y), dtype=h.dtype), None if grads is None else np.empty_like(h)
+        w, bias = self.w["class"], self.w["class_bias"]
+        bound = float((np.abs(w).sum(axis=0) + bias).max())
+        for a in range(0, len(y), BLOCK):  # small blocks stay in the cache
+            own = slice(a, min(a + BLOCK, len(y)))
+            out[own], e, total = self._softmax(h[own], w, bias, bound, c[own])
+            if grads is not None:
+                dh[own] = self._slopes(h[own], w, e, total, c[own], grads["class"], grads["class_bias"])
+        w, bias = self.w["slot"], self.w["slot_bias"]
+        bound = (np.abs(w).sum(axis=1) + bias).max(axis=1).tolist()
+        bounds = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+        for k in range(CLASSES):
+            for a in range(bounds[k], bounds[k + 1], BLOCK):
+                own = slice(a, min(a + BLOCK, bounds[k + 1]))
+                logs, e, total = self._softmax(h[own], w[k], bias[k], bound[k], s[own])
+                out[own] += logs
+                if grads is not None:
+                    dh[own] += self._slopes(h[own], w[k], e, total, s[own], grads["slot"][k], grads["slot_bias"][k])
+        back = np.empty_like(order)
+        back[order] = np.arange(len(y))
+        return out[back], None if dh is None else dh[back]
+
+
+def _lanes(length: np.ndarray, lanes: int) -> tuple[list[list[int]], np.ndarray]:
     """Documents dealt to lanes, the longest first to the emptiest lane; lanes by falling length."""
-    heap = [(0, i) for i in range(min(lanes, max(1, len(docs))))]
+    heap = [(0, i) for i in range(min(lanes, max(1, len(length))))]
     dealt: list[list[int]] = [[] for _ in heap]
-    for d in sorted(range(len(docs)), key=lambda d: (-len(docs[d]), d)):
+    for d in np.argsort(-length, kind="stable").tolist():
         n, i = heapq.heappop(heap)
         dealt[i].append(d)
-        heapq.heappush(heap, (n + len(docs[d]), i))
-    length = np.zeros(len(dealt), dtype=np.int64)
+        heapq.heappush(heap, (n + int(length[d]), i))
+    total = np.zeros(len(dealt), dtype=np.int64)
     for n, i in heap:
-        length[i] = n
-    order = np.argsort(-length, kind="stable")
-    return [dealt[i] for i in order], length[order]
-
-
-def _streams(docs: list[np.ndarray], lanes: int, end: int):
-    """Per lane: targets, inputs (the token before, the end at a start), whether a document starts, and its number."""
-    dealt, length = _lanes(docs, lanes)
-    steps = int(length[0]) if len(length) else 0
-    y = np.zeros((steps, len(dealt)), dtype=np.int32)
-    x, fresh, doc = np.full_like(y, end), np.zeros(y.shape, dtype=bool), np.full_like(y, -1)
-    for lane, own in enumerate(dealt):
-        at = 0
-        for d in own:
-            n = len(docs[d])
-            y[at : at + n, lane] = docs[d]
-            x[at + 1 : at + n, lane] = docs[d][:-1]
-            fresh[at, lane] = True
-            doc[at : at + n, lane] = d
-            at += n
-    active = np.searchsorted(-length, -np.arange(steps), side="left")  # lanes that are longer than the step
-    return y, x, fresh, doc, active
+        total[i] = n
+    order = np.argsort(-total, kind="stable")
+    return [dealt[i] for i in order], total[order]
+
+
+class Streams:
+    """Documents behind each other in lanes, kept flat: targets y, inputs x (the token before, the end at a start), and
+    whether a document starts; `doc` is the place's document. Lanes run in step, by falling length."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, end: int) -> None:
+        size = np.array([len(d) for d in docs], dtype=np.int64)
+        dealt, self.length = _lanes(size, lanes)
+        order = [d for own in dealt for d in own]
+        self.y = np.concatenate([docs[d] for d in order]).astype(np.int32) if order else np.zeros(0, dtype=np.int32)
+        self.doc = np.repeat(np.array(order, dtype=np.int32), size[order]) if order else np.zeros(0, dtype=np.int32)
+        begin = np.cumsum(size[order]) - size[order] if order else np.zeros(0, dtype=np.int64)
+        self.x = np.empty_like(self.y)
+        self.x[1:] = self.y[:-1]
+        self.x[begin[begin < len(self.x)]] = end
+        self.fresh = np.zeros(len(self.y), dtype=bool)
+        self.fresh[begin[begin < len(self.x)]] = True
+        self.start = np.cumsum(self.length) - self.length
+        self.steps = int(self.length[0]) if len(self.length) else 0
+
+    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of a window's tokens, step by step, and the bounds of the steps."""
+        for t0 in range(0, self.steps, steps):
+            t = np.arange(t0, min(t0 + steps, self.steps))
+            active = np.searchsorted(-self.length, -t, side="left")  # lanes that are longer than the step
+            yield np.concatenate([self.start[:k] + u for u, k in zip(t, active)]), np.concatenate([[0], np.cumsum(active)])
 
 
 def score_slots(net: Network, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log probability of each document's slots."""
     out = np.zeros(len(docs))
-    y, x, fresh, doc, active = _streams(docs, LANES, end)
-    h = np.zeros((y.shape[1], HIDDEN), dtype=np.float32)
-    for t0 in range(0, len(y), SCORE_WINDOW):
-        states, ys, ds = [], [], []
-        for t in range(t0, min(t0 + SCORE_WINDOW, len(y))):
-            k = active[t]
-            h = h[:k]
-            if fresh[t, :k].any():
-                h = np.where(fresh[t, :k, None], np.float32(0), h)
-            h, _ = net.step(x[t, :k], h)
-            states.append(h)
-            ys.append(y[t, :k])
-            ds.append(doc[t, :k])
-        logs, _ = net.log_probs(np.concatenate(states), np.concatenate(ys))
-        out += np.bincount(np.concatenate(ds), weights=logs, minlength=len(docs))
+    s = Streams(docs, LANES, end)
+    h = np.zeros((len(s.length), HIDDEN), dtype=np.float32)
+    for place, cuts in s.windows(SCORE_WINDOW):
+        inputs, fresh = net.w["input"][s.x[place]], s.fresh[place]
+        states = np.empty((len(place), HIDDEN), dtype=np.float32)
+        for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
+            h = h[: z - a]
+            if fresh[a:z].any():
+                h = np.where(fresh[a:z, None], np.float32(0), h)
+            h, _ = net.step(inputs[a:z], h)
+            states[a:z] = h
+        logs, _ = net.log_probs(states, s.y[place])
+        out += np.bincount(s.doc[place], weights=logs, minlength=len(docs))
     return out
 
 
-def train_slots(net: Network, docs: list[np.ndarray], end: int) -> Network:
-    """One pass of truncated backpropagation with Adam over the documents."""
-    net = Network({k: v.copy() for k, v in net.w.items()})
-    y, x, fresh, _, active = _streams(docs, TRAIN_LANES, end)
-    h = np.zeros((y.shape[1], HIDDEN), dtype=np.float32)
-    m, v = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(2))
-    closed = net.w["slot_bias"] < -20  # slots without a word stay without probability
-    for number, t0 in enumerate(range(0, len(y), WINDOW), start=1):
-        h = h[: active[t0]]
-        kept, states, ys = [], [], []
-        for t in range(t0, min(t0 + WINDOW, len(y))):
-            k = active[t]
-            before = np.where(fresh[t, :k, None], np.float32(0), h[:k])
-            h, cache = net.step(x[t, :k], before)
-            kept.append((x[t, :k], before, fresh[t, :k], cache))
-            states.append(h)
-            ys.append(y[t, :k])
-        grads = {k: np.zeros_like(a) for k, a in net.w.items()}
-        _, dhs = net.log_probs(np.concatenate(states), np.concatenate(ys), grads)
-        cuts = np.cumsum([0, *map(len, states)])
-        later, xs, di_all = np.zeros((0, HIDDEN), dtype=np.float32), [], []
-        for t in range(len(kept) - 1, -1, -1):
-            xt, before, new, (z, r, n, a) = kept[t]
-            dh = dhs[cuts[t] : cuts[t + 1]].copy()
-            dh[: len(later)] += later
-            dn = dh * (1 - z) * (1 - n * n)
-            di = np.concatenate([dh * (before - n) * z * (1 - z), dn * a * r * (1 - r), dn], axis=1)
-            da = di.copy()
-            da[:, 2 * HIDDEN :] = dn * r
-            grads["state"] += before.T @ da
-            xs.append(xt)
-            di_all.append(di)
-            later = np.where(new[:, None], np.float32(0), dh * z + da @ net.w["state"].T)
-        np.add.at(grads["input"], np.concatenate(xs), np.concatenate(di_all))
-        n_tokens = cuts[-1]
-        grads["slot_bias"][closed] = 0
-        for k, a in net.w.items():
-            g = grads[k] / n_tokens
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.01 * (g * g - v[k])
-            a += STEP * (m[k] / (1 - 0.9**number)) / (np.sqrt(v[k] / (1 - 0.99**number)) + 1e-6)
-        h = h.copy()
-    return net
-
-
-def _hash(word: bytes) -> int:
-    x = xxhash.xxh64_intdigest(word, 42)
-    return x - (1 << 64) if x >> 63 else x
+def gradients(net: Network, inputs: np.ndarray, fresh: np.ndarray, y: np.ndarray, cuts: np.ndarray, h: np.ndarray):
+    """Of one window from the states h: gradients of the summed log probability (those of `input` by token), and the states after it."""
+    kept, states = [], np.empty((len(y), HIDDEN), dtype=h.dtype)
+    steps = list(zip(cuts.tolist(), cuts[1:].tolist()))
+    for a, z in steps:
+        before = np.where(fresh[a:z, None], h.dtype.type(0), h[: z - a])
+        h, cache = net.step(inputs[a:z], before)
+        kept.append((before, cache))
+        states[a:z] = h
+    grads = {k: np.zeros_like(a) for k, a in net.w.items() if k != "input"}
+    _, dhs = net.log_probs(states, y, grads)
+    later, di = np.zeros((0, HIDDEN), dtype=h.dtype), np.empty_like(inputs)
+    back = net.w["state"].T.copy()
+    for (a, z), (before, (zg, r, n, an)) in zip(reversed(steps), reversed(kept)):
+        dh = dhs[a:z]
+        dh[: len(later)] += later
+        dn = dh * (1 - zg) * (1 - n * n)
+        d = di[a:z]
+        d[:, :HIDDEN] = dh * (before - n) * zg * (1 - zg)
+        d[:, HIDDEN : 2 * HIDDEN] = dn * an * r * (1 - r)
+        d[:, 2 * HIDDEN :] = dn
+        da = d.copy()
+        da[:, 2 * HIDDEN :] *= r
+        grads["state"] += before.T @ da
+        later = dh * zg + da @ back
+        later[fresh[a:z]] = 0
+    grads["input"] = di
+    return grads, h
+
+
+class Trainer:
+    """Truncated backpropagation with Adam; its moments are carried from chunk to chunk."""
+
+    def __init__(self, net: Network, end: int) -> None:
+        self.net, self.end, self.number = Network({k: v.copy() for k, v in net.w.items()}), end, 0
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(2))
+        self.closed = net.w["slot_bias"] < -20  # slots without a word stay without probability
+
+    def __call__(self, docs: list[np.ndarray]) -> None:
+        """One pass over the documents."""
+        s, w = Streams(docs, TRAIN_LANES, self.end), self.net.w
+        h = np.zeros((len(s.length), HIDDEN), dtype=np.float32)
+        for place, cuts in s.windows(WINDOW):
+            x = s.x[place]
+            grads, h = gradients(self.net, w["input"][x], s.fresh[place], s.y[place], cuts, h)
+            order = np.argsort(x, kind="stable")
+            used, first = np.unique(x[order], return_index=True)
+            whole = np.zeros_like(w["input"])
+            whole[used] = np.add.reduceat(grads["input"][order], first, axis=0)
+            grads["input"] = whole
+            grads["slot_bias"][self.closed] = 0
+            self.number += 1
+            fade_m, fade_v = 1 - 0.9**self.number, 1 - 0.99**self.number
+            step = STEP / (1 + self.number / DECAY) ** 0.5
+            for k, a in w.items():
+                g = grads[k] / np.float32(len(place))
+                m, v = self.m[k], self.v[k]
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                a += np.float32(step / fade_m) * m / (np.sqrt(v / np.float32(fade_v)) + np.float32(1e-6))
 
 
 def _pack(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -278,10 +368,24 @@ def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def given(counts: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"word": list(counts.keys()), "c": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
+
+    counts: Counter = Counter()
+    for pdf in batches:
+        for text in pdf["text"]:
+            counts.update(tokens(text))
+            if len(counts) >= COUNTED:
+                yield given(counts)
+                counts = Counter()
+    if counts:
+        yield given(counts)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (bytes), c over docs (text); the end token is the word of one line feed."""
-    lower = C.words(C.ascii_lower(F.coalesce("text", F.lit(""))))
-    return docs.select(F.explode(F.concat(lower, F.array(F.lit("\n")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    return docs.select("text").mapInPandas(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def class_map(profiles: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -303,22 +407,35 @@ def class_map(profiles: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return classes
 
 
-PROFILE = 64
+def profile(docs: list[np.ndarray], ending_of: np.ndarray) -> np.ndarray:
+    """Counts of endings by which endings (folded to PROFILE) their documents hold, as shares of each document."""
+    out = np.zeros((ENDINGS, PROFILE))
+    size = np.array([len(d) for d in docs], dtype=np.int64)
+    if not size.sum():
+        return out
+    e, d = ending_of[np.concatenate(docs)], np.repeat(np.arange(len(docs)), size)
+    folded = np.bincount(d * PROFILE + e % PROFILE, minlength=len(docs) * PROFILE).reshape(-1, PROFILE) / np.maximum(size, 1)[:, None]
+    order = np.argsort(e, kind="stable")
+    used, first = np.unique(e[order], return_index=True)
+    out[used] = np.add.reduceat(folded.astype(np.float32)[d[order]], first, axis=0)
+    return out
 
 
-def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of endings next to which frequent endings (hashed) their documents hold: bounded, summed over partitions."""
-    total = np.zeros((ENDINGS, PROFILE))
-    for pdf in batches:
-        for text in pdf["text"]:
-            own = np.bincount([ending(w) for w in tokens(text)], minlength=ENDINGS)
-            folded = own.reshape(-1, PROFILE).sum(axis=0)
-            at = np.flatnonzero(own)
-            total[at] += own[at, None] * (folded / folded.sum())
-    yield pd.DataFrame({"profile": [total.astype("<f4").tobytes()]})
+def _coded(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u2") for b in pdf["codes"]]
+
+
+def _profiles(ending_of):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((ENDINGS, PROFILE))
+        for pdf in batches:
+            total += profile(_coded(pdf), ending_of.value)
+        yield pd.DataFrame({"profile": [total.astype("<f4").tobytes()]})
+
+    return run
 
 
-def _sum_arrays(df: DataFrame, column: str, schema: str, add) -> list:
+def _sum_arrays(df: DataFrame, schema: str, add) -> list:
     """Rows of `df` folded by `add` (pandas frame to one-row frame) within AVERAGES groups, then sent to the driver."""
     groups = df.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(AVERAGES))).groupBy("__g")
     return groups.applyInPandas(add, schema).collect()
@@ -336,57 +453,66 @@ def frequent_from(counts: DataFrame) -> int:
     return 1 << 62 if least is None else int(least)
 
 
-def vocabulary(counts: DataFrame, train: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame) -> Vocabulary:
     least = frequent_from(counts)
     frequent = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toPandas()
-    last = F.substring(F.encode("word", "UTF-8"), -3, 3)
-    by = counts.groupBy(F.pmod(F.crc32(last), F.lit(ENDINGS)).alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    by = counts.groupBy(F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(ENDINGS)).alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     mass, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in by:
         mass[r["e"]], kinds[r["e"]] = r["c"], r["v"]
+    return Vocabulary([bytes(w) for w in frequent["word"]], frequent["c"].to_numpy(dtype=np.int64), mass, kinds, least)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"profile": [sum(np.frombuffer(p, "<f4") for p in pdf["profile"]).astype("<f4").tobytes()]})
 
-    parts = _sum_arrays(train.select("text").mapInPandas(_profiles, "profile binary"), "profile", "profile binary", add)
-    profiles = sum((np.frombuffer(r["profile"], "<f4").astype(float) for r in parts), np.zeros(ENDINGS * PROFILE)).reshape(ENDINGS, PROFILE)
-    classes = class_map(profiles, mass)
-    fold = lambda a: np.bincount(classes, weights=a, minlength=CLASSES)
-    words = [w.encode("utf-8", "surrogatepass") for w in frequent["word"]]
-    return Vocabulary(words, frequent["c"].to_numpy(dtype=np.int64), classes, int(mass.sum()), int(kinds.sum()), fold(mass), fold(kinds), least)
+def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """docs (doc_id, held_out, text) with the text as codes: row, doc_id, held_out, codes, rare (hashes of rare words)."""
+    words = docs.sparkSession.sparkContext.broadcast(v.words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
+        encode, number = Encoder(words.value), TaskContext.get().partitionId() << 33
+        for pdf in batches:
+            codes, rare = [], []
+            for text in pdf["text"]:
+                own, hashes = encode(tokens(text))
+                codes.append(own.astype("<u2").tobytes())
+                rare.append(hashes)
+            yield pd.DataFrame({"row": np.arange(number, number + len(pdf)), "doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "codes": codes, "rare": rare})
+            number += len(pdf)
 
-def _ids(v: Vocabulary, words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(v.ids.get, words, [-1] * len(words))), dtype=np.int64)
+    return docs.select("doc_id", "held_out", "text").mapInPandas(run, "row long, doc_id long, held_out boolean, codes binary, rare array<long>")
 
 
-def _slots(v: Vocabulary, words: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """Slot of each token; a rare one has the last slot of its ending's class."""
-    out = v.slot[ids] if len(v.words) else np.zeros(len(ids), dtype=np.int64)
-    for i in np.flatnonzero(ids < 0):
-        out[i] = v.class_of[ending(words[i])] * SLOTS + SLOTS - 1
-    return out.astype(np.int32)
+def classes(train: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Class of each ending, by the profiles over train (codes)."""
+    shared = train.sparkSession.sparkContext.broadcast(v.endings())
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"profile": [sum(np.frombuffer(p, "<f4") for p in pdf["profile"]).astype("<f4").tobytes()]})
 
-def _end_slot(v: Vocabulary) -> int:
-    return int(_slots(v, [END], _ids(v, [END]))[0])
+    parts = _sum_arrays(train.select("codes").mapInPandas(_profiles(shared), "profile binary"), "profile binary", add)
+    return class_map(sum((np.frombuffer(r["profile"], "<f4").astype(float) for r in parts), np.zeros(ENDINGS * PROFILE)).reshape(ENDINGS, PROFILE), v.mass)
 
 
-def train_network(train: DataFrame, vocab, net: Network) -> Network:
-    """ROUNDS times: a pass in every partition from the shared weights, then the mean of the results by tokens."""
+def train_network(train: DataFrame, tables, net: Network) -> Network:
+    """ROUNDS times: a pass over a part of train (row, codes) in every partition from the shared weights, then the mean of the results by tokens."""
     spark, like = train.sparkSession, net.w
 
     def run_with(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v, docs = vocab.value.prepare(), []
+            t = tables.value
+            learn, docs, held, n = Trainer(Network(_unpack(shared.value, like)), t.end), [], 0, 0
             for pdf in batches:
-                for text in pdf["text"]:
-                    words = tokens(text)
-                    docs.append(_slots(v, words, _ids(v, words)))
-            n = sum(map(len, docs))
-            if n:
-                own = train_slots(Network(_unpack(shared.value, like)), docs, _end_slot(v))
-                yield pd.DataFrame({"weights": [(_pack(own.w) * np.float32(n)).astype("<f4").tobytes()], "n": [n]})
+                for codes in _coded(pdf):
+                    docs.append(t.slot[codes])
+                    held += len(codes)
+                    if held >= CHUNK:
+                        learn(docs)
+                        n, docs, held = n + held, [], 0
+            if held:
+                learn(docs)
+            if n + held:
+                yield pd.DataFrame({"weights": [(_pack(learn.net.w) * np.float32(n + held)).astype("<f4").tobytes()], "n": [n + held]})
 
         return run
 
@@ -394,75 +520,66 @@ def train_network(train: DataFrame, vocab, net: Network) -> Network:
         total = sum(np.frombuffer(w, "<f4").astype(np.float64) for w in pdf["weights"])
         return pd.DataFrame({"weights": [total.astype("<f8").tobytes()], "n": [pdf["n"].sum()]})
 
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
+        part = train.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k)
         shared = spark.sparkContext.broadcast(_pack(net.w))
-        parts = _sum_arrays(train.select("text").mapInPandas(run_with(shared), "weights binary, n long"), "weights", "weights binary, n long", add)
+        parts = _sum_arrays(part.select("codes").mapInPandas(run_with(shared), "weights binary, n long"), "weights binary, n long", add)
         if n := sum(p["n"] for p in parts):
             net = Network(_unpack(sum(np.frombuffer(p["weights"], "<f8") for p in parts) / n, like))
     return net
 
 
-def _score(vocab, shared, like):
+def _score(tables, shared, like):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        v, net = vocab.value.prepare(), Network(_unpack(shared.value, like))
-        end, number = _end_slot(v), TaskContext.get().partitionId() << 33
-        rows, docs, held = [], [], 0
+        t, net = tables.value, Network(_unpack(shared.value, like))
+        frames, docs, held = [], [], 0
 
         def flush() -> pd.DataFrame:
-            logs = score_slots(net, docs, end) / math.log(10)
-            pdf = pd.DataFrame(rows, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-            pdf["score"] += logs
-            pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-            return pdf
+            pdf, size = pd.concat(frames, ignore_index=True), np.array([len(d) for d in docs], dtype=np.int64)
+            flat, d = np.concatenate(docs), np.repeat(np.arange(len(docs)), size)
+            fold = lambda a: np.bincount(d, weights=a[flat], minlength=len(docs))
+            logs = score_slots(net, [t.slot[c] for c in docs], t.end) / math.log(10)
+            return pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "n_tokens": size, "n_rare": pdf["n_rare"], "base": fold(t.base), "score": fold(t.within) + logs})
 
         for pdf in batches:
-            for doc_id, out, text in zip(pdf["doc_id"].tolist(), pdf["held_out"].tolist(), pdf["text"].tolist()):
-                words = tokens(text)
-                ids = _ids(v, words)
-                known = ids[ids >= 0]
-                slots = _slots(v, words, ids)
-                rare = [words[i] for i in np.flatnonzero(ids < 0)]
-                # a rare token's log10(c + 0.5) is added once its count is joined
-                base = float(v.base[known].sum()) - len(rare) * v.log_all
-                score = float(v.within[known].sum()) - float(v.log_rest[slots[ids < 0] // SLOTS].sum())
-                rows.append((number, None if pd.isna(doc_id) else int(doc_id), out, len(words), len(known), base, score, [_hash(w) for w in rare]))
-                docs.append(slots)
-                number, held = number + 1, held + len(words)
-                if held >= CHUNK:
-                    yield flush()
-                    rows, docs, held = [], [], 0
-        if rows:
+            frames.append(pdf.drop(columns="codes"))
+            docs += _coded(pdf)
+            held += sum(map(len, docs[-len(pdf) :])) if len(pdf) else 0
+            if held >= CHUNK:
+                yield flush()
+                frames, docs, held = [], [], 0
+        if docs:
             yield flush()
 
     return run
 
 
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """For docs (doc_id, held_out, text), with the model of train (text)."""
+def score(docs: DataFrame) -> DataFrame:
+    """For docs (doc_id, held_out, text), with a model of those that aren't held out."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    counts = C.materialise(word_counts(train), "word-counts")
-    v = vocabulary(counts, train)
-    vocab = spark.sparkContext.broadcast(v)
-    net = Network.initial(Vocabulary(v.words, v.counts, v.class_of, v.total, v.distinct, v.class_total, v.class_distinct, v.least).prepare())
-    net = train_network(train, vocab, net)
+    counts = C.materialise(word_counts(docs.where(~F.col("held_out"))), "word-counts")
+    v = vocabulary(counts)
+    coded = C.materialise(encoded(docs, v), "lm-codes")
+    train = coded.where(~F.col("held_out"))
+    t = Tables(v, classes(train, v))
+    tables = spark.sparkContext.broadcast(t)
+    net = train_network(train, tables, Network.initial(t))
     shared = spark.sparkContext.broadcast(_pack(net.w))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
-    scored = C.materialise(docs.mapInPandas(_score(vocab, shared, net.w), schema), "lm-scores")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_rare long, base double, score double"
+    scored = coded.select("row", "doc_id", "held_out", "codes", F.size("rare").cast("long").alias("n_rare")).mapInPandas(_score(tables, shared, net.w), schema)
     # rarer than the frequent words, so no key is hot
     rare_counts = counts.where(F.col("c") < v.least).select(F.xxhash64("word").alias("h"), "c")
-    rare = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("n"))
-    log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) * F.col("n")
-    sums = rare.join(rare_counts, "h", "left").groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("known"))
-    joined = scored.drop("rare").join(sums, "row", "left")
+    rare = coded.select("row", F.explode("rare").alias("h"))
+    log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
+    sums = rare.join(rare_counts, "h", "left").groupBy("row").agg(F.sum(log).alias("log"), F.count("c").alias("known"))
+    joined = scored.join(sums, "row", "left")
     more = F.coalesce("log", F.lit(0.0))
     return joined.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.col("n_tokens") - F.col("n_rare") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
         (F.col("score") + more).alias("score"),
@@ -472,5 +589,4 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    docs = docs.withColumn("held_out", F.pmod(crc, F.lit(5)) == 1)
-    return score(docs, docs.where(~F.col("held_out")))
+    return score(docs.withColumn("held_out", F.pmod(crc, F.lit(5)) == 1))

@@ -113,9 +113,8 @@ def test_language_model_base(spark, folder, monkeypatch, frequent):
     rows = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id <> 1").collect()
     df = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
     df = df.withColumn("held_out", L.F.pmod(L.F.crc32(L.F.coalesce(L.F.col("doc_id").cast("string"), L.F.lit("")).cast("binary")), L.F.lit(5)) == 1)
-    train = df.where("not held_out").withColumn("picked", L.F.lit(True))
     want = brute_base([(r.doc_id, r.text) for r in rows])
-    got = L.score(df, train).collect()
+    got = L.score(df).collect()
     assert len(got) == len(rows)
     for r in got:
         n, known, total, base = want[r.doc_id]
@@ -123,44 +122,90 @@ def test_language_model_base(spark, folder, monkeypatch, frequent):
         assert r.score < 0
 
 
-def test_language_model_learns_and_sums_to_one():
-    pattern = [b"a", b"b", b"c", b"d"]
-    docs = [pattern * 30 + [L.END] for _ in range(20)]
+def model(docs: list[list[bytes]]):
+    """Vocabulary, tables and codes of documents given as words."""
     c = Counter(w for d in docs for w in d)
     words = [w for w, _ in c.most_common()]
-    classes = np.arange(L.ENDINGS) % L.CLASSES
-    fold = lambda f: np.bincount([classes[L.ending(w)] for w in words], weights=[f(w) for w in words], minlength=L.CLASSES)
-    v = L.Vocabulary(words, np.array([c[w] for w in words]), classes, sum(c.values()), len(c), fold(lambda w: c[w]), fold(lambda w: 1), 1).prepare()
-    slots = [L._slots(v, d, L._ids(v, d)) for d in docs]
-    net = L.Network.initial(v)
-    before = L.score_slots(net, slots[:1], L._end_slot(v))[0]
+    fold = lambda f: np.bincount([L.ending(w) for w in words], weights=[f(w) for w in words], minlength=L.ENDINGS)
+    v = L.Vocabulary(words, np.array([c[w] for w in words]), fold(lambda w: c[w]), fold(lambda w: 1), 1)
+    t = L.Tables(v, np.arange(L.ENDINGS) % L.CLASSES)
+    encode = L.Encoder(words)
+    return v, t, [encode(d)[0] for d in docs]
+
+
+def test_language_model_learns_and_sums_to_one():
+    pattern = [b"a", b"b", b"c", b"d"]
+    _, t, codes = model([pattern * 30 + [L.END] for _ in range(20)])
+    slots = [t.slot[c] for c in codes]
+    learn = L.Trainer(L.Network.initial(t), t.end)
+    before = L.score_slots(learn.net, slots[:1], t.end)[0]
     for _ in range(12):
-        net = L.train_slots(net, slots, L._end_slot(v))
-    assert L.score_slots(net, slots[:1], L._end_slot(v))[0] > 0.2 * before
-    h = np.random.default_rng(0).standard_normal((1, L.HIDDEN)).astype(np.float32)
+        learn(slots)
+    assert L.score_slots(learn.net, slots[:1], t.end)[0] > 0.2 * before
+    h = np.random.default_rng(0).uniform(-1, 1, (1, L.HIDDEN)).astype(np.float32)
     everything = np.arange(L.CLASSES * L.SLOTS)
-    logs, _ = net.log_probs(np.repeat(h, len(everything), axis=0), everything)
+    logs, _ = learn.net.log_probs(np.repeat(h, len(everything), axis=0), everything)
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_gradients():
+def random_network(dtype=np.float64):
     rng = np.random.default_rng(1)
-    v = L.Vocabulary([], np.zeros(0), np.zeros(L.ENDINGS, dtype=int), 1, 1, np.ones(L.CLASSES), np.ones(L.CLASSES), 1).prepare()
-    net = L.Network({k: w.astype(np.float64) for k, w in L.Network.initial(v).w.items()})
-    h, y = rng.standard_normal((5, L.HIDDEN)), rng.integers(0, L.CLASSES, 5) * L.SLOTS + L.SLOTS - 1
-    grads = {k: np.zeros_like(w) for k, w in net.w.items()}
-    _, dh = net.log_probs(h, y, grads)
-    for k, at in (("class", (3, 5)), ("class_bias", (7,)), ("slot", (int(y[0]) // L.SLOTS, 2, 31))):
-        net.w[k][at] += 1e-5
-        up = net.log_probs(h, y)[0].sum()
-        net.w[k][at] -= 2e-5
-        down = net.log_probs(h, y)[0].sum()
-        net.w[k][at] += 1e-5
-        assert grads[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-4)
-    h[2, 3] += 1e-5
-    up = net.log_probs(h, y)[0].sum()
-    h[2, 3] -= 2e-5
-    assert dh[2, 3] == pytest.approx((up - net.log_probs(h, y)[0].sum()) / 2e-5, abs=1e-4)
+    _, t, _ = model([[b"a", L.END]])
+    net = L.Network({k: (w + 0.3 * rng.standard_normal(w.shape)).astype(dtype) for k, w in L.Network.initial(t).w.items()})
+    return net, rng
+
+
+def test_gradients():
+    """Against finite differences, through the steps of a window in which documents start and lanes end."""
+    net, rng = random_network()
+    cuts = np.cumsum([0, 4, 4, 3, 2])
+    x, y = (rng.integers(0, L.CLASSES * L.SLOTS, cuts[-1]) for _ in range(2))
+    fresh = rng.random(cuts[-1]) < 0.2
+    h = rng.uniform(-1, 1, (4, L.HIDDEN))
+    run = lambda: L.gradients(net, net.w["input"][x], fresh, y, cuts, h)
+
+    def total():
+        state, out = h, 0.0
+        for a, z in zip(cuts, cuts[1:]):
+            state, _ = net.step(net.w["input"][x[a:z]], np.where(fresh[a:z, None], 0.0, state[: z - a]))
+            out += net.log_probs(state, y[a:z])[0].sum()
+        return out
+
+    grads, after = run()
+    assert after.shape == (2, L.HIDDEN)
+    whole = np.zeros_like(net.w["input"])
+    np.add.at(whole, x, grads["input"])
+    grads["input"] = whole
+    k = int(y[0]) // L.SLOTS
+    places = {"class": (3, k), "class_bias": (k,), "slot": (k, 2, int(y[0]) % L.SLOTS), "slot_bias": (k, 3)}
+    checks = [*places.items(), *[("state", (2, j)) for j in (1, L.HIDDEN + 1, 2 * L.HIDDEN + 1)], *[("input", (x[0], j)) for j in (0, L.HIDDEN, 2 * L.HIDDEN)]]
+    for name, at in checks:
+        net.w[name][at] += 1e-5
+        up = total()
+        net.w[name][at] -= 2e-5
+        down = total()
+        net.w[name][at] += 1e-5
+        assert grads[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-4), name
+
+
+def test_scores_carry_the_state_across_windows(monkeypatch):
+    """Lanes and windows against one document at a time, token by token; one document is far longer than the others."""
+    net, rng = random_network(np.float32)
+    docs = [rng.integers(0, L.CLASSES * L.SLOTS, n).astype(np.int16) for n in (1, 3, 1000, 64, 65, 2, 127)]
+    monkeypatch.setattr(L, "LANES", 3)
+    got = L.score_slots(net, docs, 31)
+    for d, s in zip(docs, got):
+        h, x, want = np.zeros((1, L.HIDDEN), dtype=np.float32), 31, 0.0
+        for y in d.tolist():
+            h, _ = net.step(net.w["input"][[x]], h)
+            want += net.log_probs(h, np.array([y]))[0][0]
+            x = y
+        assert s == pytest.approx(want, rel=1e-4)
+
+
+def test_streams_take_memory_by_tokens():
+    s = L.Streams([np.zeros(200_000, dtype=np.int16), *[np.zeros(1, dtype=np.int16)] * 511], 512, 0)
+    assert len(s.y) == len(s.x) == len(s.fresh) == len(s.doc) == 200_511
 
 
 def test_language_model_on_an_empty_table(spark, empty_folder):
@@ -182,6 +227,14 @@ def test_pipeline(spark, folder, empty_folder):
 
 def test_the_network_learns_from_all_training_documents(spark, folder, monkeypatch):
     seen, whole = [], L.train_network
-    monkeypatch.setattr(L, "train_network", lambda train, vocab, net: seen.append(train.count()) or whole(train, vocab, net))
+    monkeypatch.setattr(L, "train_network", lambda train, tables, net: seen.append(train.count()) or whole(train, tables, net))
     rows = L.query(spark, folder).collect()
     assert seen == [sum(not r.held_out for r in rows)]
+
+
+def test_profiles():
+    docs = [np.array([0, 1, 1], dtype=np.uint16), np.array([2], dtype=np.uint16), np.zeros(0, dtype=np.uint16)]
+    ending_of = np.array([5, L.PROFILE + 5, 9])
+    want = np.zeros((L.ENDINGS, L.PROFILE))
+    want[5, 5], want[L.PROFILE + 5, 5], want[9, 9] = 1, 2, 1
+    assert np.allclose(L.profile(docs, ending_of), want)
