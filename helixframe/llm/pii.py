@@ -7,8 +7,11 @@ numbered within the set of valid values of its format, the number is permuted by
 case and the place of digits stay, and a pseudonym passes the same validation. The permutation depends on key, kind and
 format only, so equal values stay equal across documents, and whoever has the key can undo it (`restore`).
 
+The key comes from the session (KEY_SETTING). Letters outside ASCII are permuted among the letters of their case in their
+block of 256 characters. Dates that name the month before the day (12/31/1999) and identifiers joined to letters are no
+values of these formats and stay.
 Edge cases: null and empty texts stay; values within longer words or numbers are no values; long texts are handled
-whole; repeated rows get the same pseudonyms; columns of the input that share a result's name are replaced.
+whole, in time linear in their length; repeated rows get the same pseudonyms; columns of the input that share a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -26,12 +29,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Where the session names no key in KEY_SETTING. It is public: pseudonyms made with it can be undone by anyone.
 KEY = b"pseudonyms, round one"
+KEY_SETTING = "spark.helixframe.pseudonym.key"
 ROUNDS = 10
 KINDS = ("card", "iban", "ip", "ssn", "phone", "date", "email")
 
 _DIGIT = re.compile(r"[0-9]")
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_DOMAIN = re.compile(r"@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+_NOT_LOCAL = re.compile(r"[^\w.%+-]")
 _NUMBER = re.compile(
     r"(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
@@ -88,18 +94,28 @@ def _luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(digits)))
 
 
+@lru_cache(maxsize=4096)
+def _alphabet(c: str) -> tuple[str, str]:
+    """The characters that may take the place of c, and their name: digits, ASCII letters of its case, or the letters of its
+    case in its block of 256 characters."""
+    if c.isascii():
+        return ("0123456789", "0") if c.isdigit() else (C.LOWER, "1") if c.islower() else (C.UPPER, "1")
+    kind = lambda x: (x.isalpha(), x.isdigit(), x.islower(), x.isupper())
+    block = ord(c) >> 8
+    return "".join(x for x in map(chr, range(max(128, block << 8), block + 1 << 8)) if x.isalnum() and kind(x) == kind(c)), f"[{block}{kind(c)}]"
+
+
 def _characters(text: str, key: bytes, kind: str, back: bool) -> str:
-    """ASCII letters and digits permuted as a mixed-radix number; each keeps its class."""
-    radix = [(c, 10, 48) if c.isdigit() else (c, 26, 97) if c.islower() else (c, 26, 65) for c in text if c.isascii() and c.isalnum()]
-    n = x = 1
-    x = 0
-    for c, r, base in radix:
-        x, n = x * r + ord(c) - base, n * r
-    y, out = _permutation(n, key, kind + "".join(str(r // 20) for _, r, _ in radix))(x, back), []
-    for _, r, base in reversed(radix):
-        y, d = divmod(y, r)
-        out.append(chr(base + d))
-    return "".join(out.pop() if c.isascii() and c.isalnum() else c for c in text)
+    """Letters and digits permuted as a mixed-radix number; each keeps its class."""
+    places = [(c, *_alphabet(c)) for c in text if c.isalnum()]
+    x, n = 0, 1
+    for c, letters, _ in places:
+        x, n = x * len(letters) + letters.index(c), n * len(letters)
+    y, out = _permutation(n, key, kind + "".join(name for _, _, name in places))(x, back), []
+    for _, letters, _ in reversed(places):
+        y, d = divmod(y, len(letters))
+        out.append(letters[d])
+    return "".join(out.pop() if c.isalnum() else c for c in text)
 
 
 def _card(v: str, key: bytes, back: bool) -> str | None:
@@ -180,31 +196,49 @@ def permuted(kind: str, value: str, key: bytes = KEY, back: bool = False) -> str
     return _BY_KIND[kind](value, key, back)
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Begin and end of e-mail addresses: from each @ the domain forwards and the local part backwards, so time is linear in the text."""
+    found, done = [], 0
+    at = text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at)
+        if domain:
+            begin = at
+            while begin > done and not _NOT_LOCAL.match(text[begin - 1]):
+                begin -= 1
+            while begin < at and not text[begin].isalnum():
+                begin += 1
+            if begin < at:
+                found.append((begin, domain.end()))
+            done = domain.end()
+        at = text.find("@", max(at + 1, done))
+    return found
+
+
 def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, Counter]:
     """The text with valid values permuted, and their number by kind."""
     seen: Counter = Counter()
     if not _DIGIT.search(text) and "@" not in text:
         return text, seen
 
-    def swap(m: re.Match, kind: str) -> str:
-        before = text_now[m.start() - 1] if m.start() else " "
-        if before.isalnum() or before == "_" or (kind == "ip" and before == "."):
-            return m[0]
-        new = permuted(kind, m[0], key, back)
+    def changed(kind: str, value: str) -> str:
+        new = permuted(kind, value, key, back)
         if new is None:
-            return m[0]
+            return value
         seen[kind] += 1
         return new
 
-    pieces, at, text_now = [], 0, text
-    for m in _EMAIL.finditer(text) if "@" in text else ():  # numbers within addresses are theirs
-        pieces += [text[at : m.start()], m]
-        at = m.end()
-    pieces.append(text[at:])
-    out = []
-    for piece in pieces:
-        text_now = text if isinstance(piece, re.Match) else piece
-        out.append(swap(piece, "email") if isinstance(piece, re.Match) else _NUMBER.sub(lambda m: swap(m, m.lastgroup), piece))
+    def number(m: re.Match) -> str:
+        before = m.string[m.start() - 1] if m.start() else " "
+        if before.isalnum() or before == "_" or (m.lastgroup == "ip" and before == "."):
+            return m[0]
+        return changed(m.lastgroup, m[0])
+
+    out, at = [], 0
+    for begin, end in _addresses(text):  # numbers within addresses are theirs
+        out += [_NUMBER.sub(number, text[at:begin]), changed("email", text[begin:end])]
+        at = end
+    out.append(_NUMBER.sub(number, text[at:]))
     return "".join(out), seen
 
 
@@ -232,9 +266,14 @@ def pseudonymise_documents(docs: DataFrame, text: str = "text", key: bytes = KEY
     return done.select(*kept, F.col("__p.text").alias(text), *[f"__p.n_{k}" for k in KINDS])
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, else the public one."""
+    return spark.conf.get(KEY_SETTING, KEY.decode()).encode()
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: columns of docs, with pseudonyms in the text and n_chars counted again where it is there."""
-    done = pseudonymise_documents(docs)
+    done = pseudonymise_documents(docs, key=session_key(spark))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return done.select(*docs.columns)
@@ -242,4 +281,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise_documents(docs)
+    return pseudonymise_documents(docs, key=session_key(spark))

@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -41,3 +44,45 @@ def test_frames(spark, docs, empty):
     assert {(r.doc_id, r.text) for r in got.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
     assert P.stage(spark, docs, "").columns == docs.columns
     assert P.pseudonymise_documents(empty).count() == 0
+
+
+@pytest.mark.parametrize("value", ["müller@example.com", "über.max@firma.de", "mögler.hans@web.de", "李雷@example.cn"])
+def test_addresses_with_other_letters(value):
+    out, seen = P.pseudonymise(f"an {value}, bitte")
+    assert seen == {"email": 1} and value not in out and P.restore(out) == f"an {value}, bitte"
+    assert out.endswith(value[value.index("@") :] + ", bitte") and out[3].isalnum()
+
+
+def test_long_texts_take_linear_time():
+    began = time.time()
+    for text in ("a" * 10**6, "a" * 10**6 + "@", "1" * 10**6, "a@" * 300_000, "a.b-" * 250_000 + "@x", "1.2." * 250_000, "x@" + "a." * 400_000):
+        P.pseudonymise(text)
+    assert time.time() - began < 20
+
+
+def test_key_of_the_session(spark, docs):
+    text = "Call 4111111111111111 or 233.254.104.120"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    default = P.stage(spark, df, "").first().text
+    spark.conf.set(P.KEY_SETTING, "another")
+    other = P.stage(spark, df, "").first().text
+    spark.conf.unset(P.KEY_SETTING)
+    assert default == P.pseudonymise(text)[0] != other == P.pseudonymise(text, b"another")[0]
+
+
+def luhn(digits):
+    return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+@given(st.text("0123456789", min_size=13, max_size=19))
+def test_card_validator_by_another_formula(digits):
+    assert (P.permuted("card", digits) is not None) == (luhn(digits) and set(digits) != {"0"})
+
+
+@given(st.integers(0, 9999), st.integers(0, 99), st.integers(0, 99))
+def test_date_validator_by_the_calendar(y, m, d):
+    leap = y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
+    days = [31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+    ok = y >= 1000 and 1 <= m <= 12 and 1 <= d <= days[m - 1]
+    new = P.permuted("date", f"{y:04d}-{m:02d}-{d:02d}")
+    assert (new is not None) == ok and (new is None or re.fullmatch(r"\d{4}-\d\d-\d\d", new))
