@@ -55,3 +55,24 @@ def test_stage(spark, docs, empty):
     rows = got.collect()
     assert {i: sum(r.doc_id == i for r in rows) for i in taken} == taken
     assert M.stage(spark, empty, "").count() == 0
+
+
+def test_half_the_rows_share_a_null_doc_id(spark):
+    rows = [(None if i % 2 else i, "w " * (1 + i % 7), "en", f"s{i % 3}") for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = M.mix(M.sized(df)).withColumn("t", M.F.col("copies") * M.F.col("size"))
+    by = mixed.groupBy("source_size").agg(M.F.sum("t").alias("taken"), M.F.first("target").alias("target"), M.F.count(M.F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in by) == len(rows) and all(abs(r.taken - r.target) < 30 for r in by)
+    got = M.stage(spark, df, "").groupBy("source").agg(M.F.sum(M.F.size(M.F.split(M.F.trim("text"), " "))).alias("words")).collect()
+    want = {}
+    for r in M.targets(M.sized(df)).collect():
+        want[r.source] = r.target
+    assert all(abs(r.words - want[r.source]) < 0.02 * want[r.source] for r in got)
+
+
+def test_taken_against_target(spark):
+    """Each source's words within a document's size of its target, whatever the sizes."""
+    rows = [(i, "w " * (1 + i * 37 % 400), "en", f"s{min(i % 7, 3)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = M.mix(M.sized(df)).groupBy("source_size").agg(M.F.sum(M.F.col("copies") * M.F.col("size")).alias("taken"), M.F.first("target").alias("target"), M.F.max(M.F.col("copies")).alias("most")).collect()
+    assert len(got) == 4 and all(abs(r.taken - r.target) <= 400 and r.most <= 2 for r in got)
