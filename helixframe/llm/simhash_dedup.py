@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -313,7 +313,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     grouped = C.materialise(distinct.join(clusters(distinct), F.col("key") == F.col("node")).select("key", "at", "size", "root"), "copy-clusters")
     # a group of over CHUNK hashes is parted, and every two parts meet in a task
     parts = grouped.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"))
-    sets = texts.join(grouped, "at").join(parts, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.greatest("parts", F.lit(1))).cast("int"))
+    sets = texts.select("at", "text").dropDuplicates(["at"]).join(grouped, "at").join(parts, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.greatest("parts", F.lit(1))).cast("int"))
     sets = sets.select("root", "own", "parts", member("key", "text").alias("member"))
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))))
     met = sets.groupBy("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("member").alias("members"))
@@ -326,10 +326,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id stay, once for each text.
     """
-    kept = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, docs["doc_id"] == kept["__id"], "left").where(F.col("__id").isNotNull() | F.col("doc_id").isNull()).drop("__id")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return joined.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    kept = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = named.unionByName(docs.where(F.col("doc_id").isNull()))
+    # equal rows meet by partial aggregation, so none of them is a group for one task
+    return rows.withColumn("__h", F.xxhash64("doc_id", "text")).dropDuplicates(["__h"]).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
