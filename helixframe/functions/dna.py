@@ -11,43 +11,49 @@ FORWARD_PRIMER = "ACACGACGCTCTTCCGATCT"
 REVERSE_PRIMER = "AGATCGGAAGAGCACACGTCT"
 INDEX_MASK = 0x1B2D3C
 
-HEX = "0123456789abcdef"
 DIMERS = [a + b for a in BASES for b in BASES]
-NIBBLES = [f"{i:04b}" for i in range(16)]
+#: A text is recoded by hexadecimal digits twice over: the character _PAIRS[n] has n's two high bits in its first digit (from
+#: 4) and its two low bits in its second, so one translation of digits and one of their digits part a nibble into dimers.
+HEX = "0123456789ABCDEF"
+_PAIRS = "".join(chr(0x40 + 16 * (n >> 2) + (n & 3)) for n in range(16))
+_HALVES = "".join(chr(0x40 + 16 * (n >> 1) + (n & 1)) for n in range(4))
+#: The same characters with their second digit from 4 as well, as unhex makes them of digits from 4 on.
+_READ_PAIRS = "".join(chr(0x44 + 16 * (n >> 2) + (n & 3)) for n in range(16))
+_READ_HALVES = "".join(chr(0x44 + 16 * (n >> 1) + (n & 1)) for n in range(4))
 
 
-def _replaced(col: Column, pairs) -> Column:
-    for old, new in pairs:
-        col = F.replace(col, F.lit(old), F.lit(new))
-    return col
+def _digits(payload: Column) -> Column:
+    """Two digits a nibble: its high bits plus 4, its low bits."""
+    return F.hex(F.translate(F.hex(payload.cast("binary")), HEX, _PAIRS))
 
 
-def hex_text(payload: Column) -> Column:
-    """Lower-case hexadecimal digits of a binary or string column."""
-    return F.lower(F.hex(payload.cast("binary")))
+def _empty(payload: Column) -> Column:
+    return F.octet_length(payload.cast("binary")) == 0
 
 
 def plain(payload: Column) -> Column:
-    """Two bits a base, no header: every nibble is a dimer, since targets are upper case and digits lower."""
-    return _replaced(hex_text(payload), zip(HEX, DIMERS))
+    """Two bits a base, no header."""
+    return F.translate(_digits(payload), "01234567", BASES + BASES)
 
 
 def simple(payload: Column) -> Column:
     """Header base A, then two bits a base. The empty payload counts as the one bit 0: CA."""
-    bases = plain(payload)
-    return F.when(bases == "", "CA").otherwise(F.concat(F.lit("A"), bases))
+    return F.when(_empty(payload), "CA").otherwise(F.concat(F.lit("A"), plain(payload)))
 
 
 def unconstrained(payload: Column) -> Column:
     """Radix 16 with a guard digit in front, which makes AC for whole bytes; AG for the empty payload."""
-    bases = plain(payload)
-    return F.when(bases == "", "AG").otherwise(F.concat(F.lit("AC"), bases))
+    return F.when(_empty(payload), "AG").otherwise(F.concat(F.lit("AC"), plain(payload)))
+
+
+def _nibbles(digits: Column) -> Column:
+    """Binary of two digits from 4 to 7 a nibble."""
+    return F.unhex(F.translate(F.unhex(digits).cast("string"), _READ_PAIRS, HEX))
 
 
 def unplain(dna: Column) -> Column:
     """Binary of a header-less sequence of an even number of dimers; null where it isn't one."""
-    pairs = F.regexp_replace(dna, "([ACGT]{2})", "$1 ")
-    return F.when(F.length(dna) % 4 == 0, F.unhex(_replaced(pairs, ((d + " ", h) for d, h in zip(DIMERS, HEX)))))
+    return F.when((F.length(dna) % 4 == 0) & (F.translate(dna, BASES, "") == ""), _nibbles(F.translate(dna, BASES, "4567")))
 
 
 def unsimple(dna: Column) -> Column:
@@ -62,16 +68,19 @@ def ununconstrained(dna: Column) -> Column:
 
 def bits(payload: Column) -> Column:
     """Bit string, most significant bit first."""
-    return _replaced(F.translate(hex_text(payload), HEX, "ghijklmnopqrstuv"), zip("ghijklmnopqrstuv", NIBBLES))
+    return F.translate(F.hex(F.translate(_digits(payload), "01234567", _HALVES + _HALVES)), "45", "01")
+
+
+def bit_pairs(bit_string: Column, letters: str) -> Column:
+    """Every two bits of an even bit string as one of four letters."""
+    return F.translate(F.unhex(F.translate(bit_string, "01", "45")).cast("string"), _READ_HALVES, letters)
 
 
 def unbits(bit_string: Column, pad: bool = True) -> Column:
     """Binary of a bit string, padded with zeros to whole bytes, or cut to them."""
     whole = (F.ceil if pad else F.floor)(F.length(bit_string) / 8) * 8
     fitted = F.rpad(F.substring(bit_string, F.lit(1), whole.cast("int")), whole.cast("int"), F.lit("0"))
-    groups = F.regexp_replace(fitted, "([01]{4})", "$1 ")
-    letters = _replaced(groups, ((n + " ", "ghijklmnopqrstuv"[i]) for i, n in enumerate(NIBBLES)))
-    return F.unhex(F.translate(letters, "ghijklmnopqrstuv", HEX))
+    return _nibbles(bit_pairs(fitted, "4567"))
 
 
 def clean(text: Column) -> Column:

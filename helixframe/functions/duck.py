@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .dna import DIMERS, HEX, NIBBLES
+from .dna import DIMERS
+
+HEX = "0123456789abcdef"
+NIBBLES = [f"{i:04b}" for i in range(16)]
 
 LETTERS = "ghijklmnopqrstuv"
 

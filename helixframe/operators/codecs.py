@@ -46,23 +46,21 @@ def _decode(mapping: str, back: str):
 
 def metrics(df: DataFrame, dna: str = "dna") -> DataFrame:
     """df with GC share (six decimals), longest run, and counts of runs by length."""
-    df = df.withColumn("__runs", D.runs(F.col(dna)))
-    count = lambda low, high=None: F.size(F.filter("__runs", lambda r: (r >= low) if high is None else (r >= low) & (r <= high)))
+    kinds = F.array_join(F.transform("__runs", lambda r: F.least(r, F.lit(5)).cast("string")), "")  # a digit a run, 5 for longer ones
+    df = df.withColumn("__runs", D.runs(F.col(dna))).withColumn("__kinds", kinds)
+    count = lambda lengths: F.length(F.translate("__kinds", "".join(set("12345") - set(lengths)), ""))
     return df.withColumns(
         {
             "gc": F.round(D.gc(F.col(dna)), 6),
             "longest": F.coalesce(F.array_max("__runs"), F.lit(0)),
-            "total_runs": F.size("__runs"),
-            "runs_ge2": count(2),
-            "runs_ge3": count(3),
-            "runs_ge4": count(4),
-            "len_1": count(1, 1),
-            "len_2": count(2, 2),
-            "len_3": count(3, 3),
-            "len_4": count(4, 4),
-            "len_ge5": count(5),
+            "total_runs": F.length("__kinds"),
+            "runs_ge2": count("2345"),
+            "runs_ge3": count("345"),
+            "runs_ge4": count("45"),
+            **{f"len_{k}": count(str(k)) for k in range(1, 5)},
+            "len_ge5": count("5"),
         }
-    ).drop("__runs")
+    ).drop("__runs", "__kinds")
 
 
 def dna_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

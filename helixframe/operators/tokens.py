@@ -164,8 +164,7 @@ def joined_bits(t: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """keys, tokens, bits, dna of the values in order; an odd bit is padded with 0."""
     parts = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda x: x["v"]), "").alias("bits"))
     even = F.concat("bits", F.repeat(F.lit("0"), F.length("bits") % 2))
-    dimers = F.regexp_replace(even, "([01]{2})", "$1 ")
-    dna = F.replace(F.replace(F.replace(F.replace(dimers, F.lit("00 "), F.lit("A")), F.lit("01 "), F.lit("C")), F.lit("10 "), F.lit("G")), F.lit("11 "), F.lit("T"))
+    dna = D.bit_pairs(even, D.BASES)
     return parts.withColumn("dna", dna)
 
 
