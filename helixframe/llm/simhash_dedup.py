@@ -275,9 +275,10 @@ def clusters(distinct: DataFrame) -> DataFrame:
 
     A band's agreement depends on the two texts only, so no candidate is lost as the input grows.
     """
-    keyed = distinct.select("key", F.posexplode("bands").alias("j", "value"))
-    least = keyed.groupBy("j", "value").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    banded = keyed.join(least, ["j", "value"]).select(F.col("key").alias("u"), "v")
+    keyed = distinct.select("key", F.posexplode("bands").alias("j", "value")).select("key", F.xxhash64("j", "value").alias("band"))
+    least = C.materialise(keyed.groupBy("band").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copy-bands")
+    # a band that very many texts share is joined by broadcast
+    banded = C.hot_join(keyed, least, "band", "n", distinct.count() * BANDS).select(F.col("key").alias("u"), "v")
     reps = C.materialise(distinct.groupBy("fp").agg(F.min("key").alias("rep")), "copy-fingerprints")
     same = distinct.join(reps, "fp").select(F.col("key").alias("u"), F.col("rep").alias("v"))
     rep = lambda end: reps.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
