@@ -14,7 +14,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
@@ -84,10 +84,24 @@ def texts(files: DataFrame) -> DataFrame:
     return t.select("name", "text", F.length("text").alias("chars"), words.alias("words"), F.octet_length("text").alias("utf8_bytes"))
 
 
+def numbered(rows: DataFrame, name: str, by_file: bool) -> DataFrame:
+    """rows with their number from 1 as `name`: in their file, or in all files by path, however these are split.
+
+    Only the counts by file and split (a row each) are ordered and broadcast.
+    """
+    placed = rows.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()}).withColumn("__split", F.shiftright("__at", 33))
+    splits = placed.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
+    order = (Window.partitionBy("__file") if by_file else Window.orderBy("__file")).orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("__file", "__split", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first") + 1).alias("__add"))
+    return placed.join(F.broadcast(splits), ["__file", "__split"]).withColumn(name, F.col("__at") + F.col("__add")).drop("__file", "__split", "__at", "__add")
+
+
 def strand_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Strand rows with all columns as text, blanks for what is missing, and `no` from No. or the row's place."""
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True).fillna("")
-    return rows.withColumn("no", F.col("`No.`").try_cast("int") if "No." in rows.columns else F.monotonically_increasing_id().cast("int") + 1)
+    """Strand rows with all columns as text, blanks for what is missing, and `no` from No. or the row's place in its file."""
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True)
+    if "No." in rows.columns:
+        return rows.fillna("").withColumn("no", F.col("`No.`").try_cast("int"))
+    return numbered(rows, "no", by_file=True).fillna("")
 
 
 def dna_of_strands(rows: DataFrame) -> Column:
@@ -96,16 +110,18 @@ def dna_of_strands(rows: DataFrame) -> Column:
     return D.bases_only(F.coalesce(*filled, F.lit("")))
 
 
-def message_of_strands(rows: DataFrame) -> DataFrame:
-    """One row: strands and their sequences joined in the order of no (rows of one message)."""
-    parts = rows.select("no", dna_of_strands(rows).alias("s")).where("s <> ''").agg(F.count(F.lit(1)).alias("strands"), F.array_sort(F.collect_list(F.struct("no", "s"))).alias("p"))
-    return parts.select("strands", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("dna"))
+def message_of_strands(rows: DataFrame, *message: str) -> DataFrame:
+    """One row a message (columns that name it; none: all rows are one): strands and their sequences joined in the order of no."""
+    parts = rows.select(*message, "no", dna_of_strands(rows).alias("s")).where("s <> ''").groupBy(*message)
+    parts = parts.agg(F.count(F.lit(1)).alias("strands"), F.array_sort(F.collect_list(F.struct("no", "s"))).alias("p"))
+    return parts.select(*message, "strands", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("dna"))
 
 
 def reads_text(spark: SparkSession, path: str) -> DataFrame:
-    """One read a line: read_id, seq; other letters go, empty lines too."""
-    lines = spark.read.text(path).select(D.bases_only(F.col("value")).alias("seq")).where("seq <> ''")
-    return lines.select(F.concat(F.lit("r"), F.lpad((F.monotonically_increasing_id() + 1).cast("string"), 6, "0")).alias("read_id"), "seq")
+    """One read a line: read_id (r and the read's number, six digits or more), seq; other letters go, empty lines too."""
+    lines = numbered(spark.read.text(path).where(D.bases_only(F.col("value")) != ""), "__n", by_file=False)
+    digits = F.col("__n").cast("string")
+    return lines.select(F.concat(F.lit("r"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0"))).alias("read_id"), D.bases_only(F.col("value")).alias("seq"))
 
 
 def fixed_strands(dna: Column, size: int = 120) -> Column:

@@ -187,3 +187,21 @@ def test_stream(spark, sf, tmp_path):
     query = encoded_stream(spark, f"file://{tmp_path}/in", docs.schema).writeStream.format("memory").queryName("encoded").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("encoded").count() == docs.count()
+
+
+def test_reads_and_rows_of_several_files_and_splits(spark, tmp_path):
+    for d in ("reads", "rows"):
+        (tmp_path / d).mkdir()
+    for k in range(3):
+        (tmp_path / "reads" / f"{k}.txt").write_text("".join(f"{'ACGT'[i % 4] * 40}\n\n" for i in range(60)))
+        (tmp_path / "rows" / f"{k}.csv").write_text("Payload\n" + "".join("ACGT"[(i + k) % 4] * 4 + "\n" for i in range(5)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    got = files.reads_text(spark, f"file://{tmp_path}/reads")
+    assert got.rdd.getNumPartitions() > 3
+    assert sorted(r.read_id for r in got.collect()) == [f"r{i:06d}" for i in range(1, 181)]
+    rows = files.strand_csv(spark, f"file://{tmp_path}/rows")
+    assert sorted(r.no for r in rows.collect()) == sorted([*range(1, 6)] * 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    keyed = rows.select("no", "Payload", F.lit("m").alias("message"))
+    assert [r.strands for r in files.message_of_strands(keyed, "message").collect()] == [15]
