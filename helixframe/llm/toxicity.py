@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are its distinct n-grams of N_GRAMS bytes (ASCII lower-cased, white space as one space, ends marked by spaces), hashed
+A text's features are its distinct n-grams of N_GRAMS characters (ASCII lower-cased, white space as one space, ends marked by spaces), hashed
 to SLOTS. Each is scaled by r = ln of the ratio of its smoothed share among toxic and other training texts, where
 these shares differ by over MIN_Z standard errors (else r = 0), and a logistic regression with an L2 penalty is
 fitted on the scaled features. Only the text enters a score.
@@ -30,24 +30,29 @@ SMOOTH, MIN_Z, L2, RATE, EPOCHS = 0.5, 4.0, 1e-3, 0.1, 10
 #: N-grams of fewer training texts than this have no weight.
 MIN_TEXTS = 3
 SEED = 6
+#: Characters of a text hashed at a time.
+PART = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def slots(text: str | None) -> np.ndarray:
-    """Slot of each n-gram of the text, with repeats."""
+    """The distinct slots of the text's n-grams; a long text is hashed in parts of PART characters, each with what its last n-grams need."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not raw:
         return np.zeros(0, dtype=np.int64)
-    b = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8).astype(np.uint64)
-    found, h, done = [], np.zeros(len(b), dtype=np.uint64), 0
-    for n in N_GRAMS:
-        for k in range(done, n):
-            h = h[: len(b) - k] * np.uint64(257) + b[k:]
-        done = n
-        if len(h):
-            found.append((h * _FACTOR + np.uint64(n)) * _FACTOR >> np.uint64(64 - 20))
-    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
+    whole = np.frombuffer((b" " + b" ".join(raw) + b" ").decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    distinct = []
+    for at in range(0, len(whole), PART):
+        b = whole[at : at + PART + max(N_GRAMS) - 1].astype(np.uint64)
+        found, h, done = [], np.zeros(len(b), dtype=np.uint64), 0
+        for n in N_GRAMS:
+            for k in range(done, n):
+                h = h[: max(0, len(b) - k)] * np.uint64(257) + b[k:]
+            done = n
+            found.append((h[:PART] * _FACTOR + np.uint64(n)) * _FACTOR >> np.uint64(64 - 20))
+        distinct.append(np.unique(np.concatenate(found)))
+    return (distinct[0] if len(distinct) == 1 else np.unique(np.concatenate(distinct))).astype(np.int64)
 
 
 def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
@@ -59,12 +64,12 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
         return weights, intercept
     toxic, other, n_toxic, n_other = np.zeros(SLOTS), np.zeros(SLOTS), y.sum(), len(y) - y.sum()
     for text, label in zip(texts, y):
-        (toxic if label else other)[np.unique(slots(text))] += 1
+        (toxic if label else other)[slots(text)] += 1
     share = (toxic + other) / len(y)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_toxic + 1 / n_other))
     chosen = (np.abs(toxic / n_toxic - other / n_other) > MIN_Z * error) & (toxic + other >= MIN_TEXTS)
     ratio = np.where(chosen, np.log((toxic + SMOOTH) / (n_toxic + 2 * SMOOTH)) - np.log((other + SMOOTH) / (n_other + 2 * SMOOTH)), 0.0)
-    rows = [np.unique(found[chosen[found]]) for found in map(slots, texts)]  # made again, to hold few at a time
+    rows = [found[chosen[found]] for found in map(slots, texts)]  # made again, to hold few at a time
     w, square, b_square, rng = np.zeros(SLOTS), np.ones(SLOTS), 1.0, np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
@@ -84,7 +89,7 @@ def score_texts(texts: list[str | None], weights: np.ndarray, intercept: float)
     out = np.empty(len(texts))
     for i, text in enumerate(texts):
         found = slots(text)
-        found = np.unique(found[weights[found] != 0])
+        found = found[weights[found] != 0]
         out[i] = intercept + float(weights[found].sum(dtype=np.float64))
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 

@@ -238,3 +238,40 @@ def test_profiles():
     want = np.zeros((L.ENDINGS, L.PROFILE))
     want[5, 5], want[L.PROFILE + 5, 5], want[9, 9] = 1, 2, 1
     assert np.allclose(L.profile(docs, ending_of), want)
+
+
+def brute_slots(text):
+    """N-grams of characters, hashed by whole numbers."""
+    t = " " + " ".join("".join(c.lower() if c.isascii() else c for c in text).encode().decode().translate({i: " " for i in (9, 10, 11, 12, 13)}).split(" ")) + " "
+    while "  " in t:
+        t = t.replace("  ", " ")
+    out = set()
+    for n in X.N_GRAMS:
+        for i in range(len(t) - n + 1):
+            h = 0
+            for c in t[i : i + n]:
+                h = (h * 257 + ord(c)) % 2**64
+            out.add(((h * int(X._FACTOR) + n) * int(X._FACTOR)) % 2**64 >> 44)
+    return out
+
+
+@pytest.mark.parametrize("part", [1 << 20, 7])
+def test_features_are_n_grams_of_characters(monkeypatch, part):
+    monkeypatch.setattr(X, "PART", part)
+    for text in ("abc", "Größe über ALLES", "пример текста", "a\tb\n c  d", "\U0001f600\U0001f601 smile twice \U0001f600", "x"):
+        assert set(X.slots(text).tolist()) == brute_slots(text)
+        assert len(X.slots(text)) == len(brute_slots(text))
+
+
+def test_ratios_and_scores_in_plain_python():
+    texts = [prose(12, i) + (" vile" if i % 3 == 0 else " kind") for i in range(60)]
+    labels = [int(i % 3 == 0) for i in range(60)]
+    weights, b = X.fit(texts, labels)
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    for slot in brute_slots("vile") | brute_slots("kind"):
+        k1, k0 = (sum(slot in brute_slots(t) for t, y in zip(texts, labels) if y == own) for own in (1, 0))
+        ratio = math.log((k1 + X.SMOOTH) / (n1 + 2 * X.SMOOTH)) - math.log((k0 + X.SMOOTH) / (n0 + 2 * X.SMOOTH))
+        if weights[slot]:
+            assert k1 + k0 >= X.MIN_TEXTS and (weights[slot] > 0) == (ratio > 0)
+    for t, s in zip(texts, X.score_texts(texts, weights, b)):
+        assert s == pytest.approx(1 / (1 + math.exp(-(b + sum(float(weights[k]) for k in brute_slots(t))))), abs=1e-6)
