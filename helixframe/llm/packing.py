@@ -66,12 +66,22 @@ class Encoder:
     def __init__(self, tokens: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> None:
         self.whole, self.fast = _encoders(tokens, ranks)
         self.words: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
         self.feed_id = int(self._encode("\n")[0])
         self.feed = self._encode("\n").tobytes()
 
     def _encode(self, text: str) -> np.ndarray:
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
+    def _first(self, word: str) -> bytes:
+        """Ids of a line's first word, which has no space before it."""
+        ids = self.firsts.get(word)
+        if ids is None:
+            ids = self._encode(word).tobytes()
+            if len(word) <= 64 and len(self.firsts) < CACHED_WORDS:
+                self.firsts[word] = ids
+        return ids
+
     def _learn(self, words: list[str]) -> None:
         ids = self._encode(" " + "\n ".join(words))
         ends = np.flatnonzero(ids == self.feed_id).tolist()
@@ -95,7 +105,7 @@ class Encoder:
         if new:
             self._learn(new)
         of = self.words.__getitem__
-        out = self.feed.join([self._encode(first).tobytes() + b"".join(map(of, words[1:])) for first, words in zip(firsts, lines)])
+        out = self.feed.join([self._first(first) + b"".join(map(of, words[1:])) for first, words in zip(firsts, lines)])
         if len(self.words) > CACHED_WORDS:
             for w in new:
                 del self.words[w]
