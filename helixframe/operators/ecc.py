@@ -536,14 +536,10 @@ def consensus_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return pd.Series([one(s, t) for s, t in zip(seqs, templates)])
 
-    called = N.positions(read.select("item_id", "no", calls("seq", "template").alias("c")), "c").where("base <> '-'")
-    votes = called.groupBy("item_id", "no", "pos", "base").agg(F.count(F.lit(1)).alias("v"))
-    best = votes.groupBy("item_id", "no", "pos").agg(F.min(F.struct((-F.col("v")).alias("v"), "base")).alias("b"))
-    made = best.groupBy("item_id", "no").agg(F.map_from_entries(F.collect_list(F.struct("pos", "b.base"))).alias("m"))
-    joined = made.join(strands.select("item_id", "no", "full_strand"), ["item_id", "no"])
-    full = F.array_join(F.transform(F.split("full_strand", ""), lambda base, i: F.coalesce(F.element_at("m", i + 1), base)), "")
+    joined = N.vote(read.select("item_id", "no", calls("seq", "template").alias("calls")), strands, ["item_id", "no"])
+    joined = joined.join(strands.select("item_id", "no", "full_strand"), ["item_id", "no"])
     used = read.groupBy("item_id", "no").agg(F.count(F.lit(1)).alias("reads_used"), F.sum(F.col("n_ins") + F.col("n_del")).alias("indels"))
-    return joined.withColumn("reconstructed_full", full).join(used, ["item_id", "no"]).select("item_id", "no", "reads_used", "indels", "reconstructed_full", N.hamming(F.col("full_strand"), F.col("reconstructed_full")).alias("full_mismatches"))
+    return joined.join(used, ["item_id", "no"]).select("item_id", "no", "reads_used", "indels", "reconstructed_full", N.hamming(F.col("full_strand"), F.col("reconstructed_full")).alias("full_mismatches"))
 
 
 QUERIES = {

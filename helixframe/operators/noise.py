@@ -19,6 +19,8 @@ SUBSTITUTION, INSERTION, DELETION = 0.02, 0.005, 0.005
 COVERAGE, DROPOUT, READ_ERROR = 5, 0.05, 0.01
 MAX_PREFIX_EDIT, Q_GRAM = 6, 5
 FULL = float(2**32)
+# Arrays of drawn bases are exploded by explode_outer and a test for null behind it: explode lets the optimizer put a test of
+# the array's size before it, which would draw every base once more.
 PREFIX = len(D.FORWARD_PRIMER) + S.INDEX_LENGTH
 
 
@@ -34,27 +36,50 @@ def _substitute(base: Column, v: Column) -> Column:
     return F.substring(F.lit(D.BASES), ((_base_index(base) + 1 + v % 3) % 4 + 1).cast("int"), F.lit(1))
 
 
-def positions(df: DataFrame, sequence: str) -> DataFrame:
-    """One row per base: the other columns of df, pos (from 1), base."""
-    kept = [c for c in df.columns if c != sequence]
-    out = df.select(*kept, F.posexplode(F.filter(F.split(sequence, ""), lambda b: b != "")).alias("pos", "base"))
-    return out.withColumn("pos", F.col("pos") + 1)
+def _bases(sequence: Column) -> Column:
+    return F.filter(F.split(sequence, ""), lambda b: b != "")
+
+
+def _digest(seed: int, keys: list[Column], i: Column) -> Column:
+    """Draws of the base at place i (from 0): eight hexadecimal digits each."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys], (i + 1).cast("string")))
+
+
+def _below(digest: Column, rate: float) -> Column:
+    """Whether the first draw is below rate; digits of one length compare as numbers do."""
+    return F.lit(False) if _bound(rate) <= 0 else F.substring(digest, 1, 8) <= f"{min(_bound(rate), 2**32) - 1:08x}"
+
+
+def _second(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
+
+
+def _joined(column: str, field: str) -> Column:
+    return F.array_join(F.transform(column, lambda x: x[field]), "")
+
+
+def _count(column: str, test) -> Column:
+    return F.size(F.filter(column, test)).cast("long")
 
 
 def substitution_noise(df: DataFrame, keys: list[str], sequence: str, rate: float = SUBSTITUTION, seed: int = SEED) -> DataFrame:
-    """keys, pos, base, new_base, changed for every base."""
-    rows = positions(df.select(*keys, sequence), sequence)
-    u, v = D.hash_uniform(seed, *[F.col(k) for k in keys], F.col("pos"))
-    changed = u < _bound(rate)
-    return rows.withColumn("changed", changed).withColumn("new_base", F.when(F.col("changed"), _substitute(F.col("base"), v)).otherwise(F.col("base")))
+    """df with `places`, an array of (pos from 1, old, base, changed) of the sequence under noise; drawn within the row."""
+    k = [F.col(c) for c in keys]
+
+    def place(base: Column, i: Column) -> Column:
+        digest = _digest(seed, k, i)
+        changed = _below(digest, rate)
+        return F.struct((i + 1).alias("pos"), base.alias("old"), changed.alias("changed"), F.when(changed, _substitute(base, _second(digest))).otherwise(base).alias("base"))
+
+    return df.withColumn("places", F.transform(_bases(F.col(sequence)), place))
 
 
 def noise_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy sequence and number of changes of each benchmark text."""
     df = table(spark, sf_dir, "benchmark").select("item_id", D.simple(F.coalesce("text", F.lit(""))).alias("dna"))
-    rows = substitution_noise(df, ["item_id"], "dna")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new_base"))), lambda x: x["new_base"]), "")
-    return rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("bases"), F.count_if("changed").alias("substituted"), joined.alias("noisy_dna"))
+    out = substitution_noise(df, ["item_id"], "dna")
+    changed = _count("places", lambda x: x["changed"]).alias("substituted")
+    return out.select("item_id", F.size("places").cast("long").alias("bases"), changed, _joined("places", "base").alias("noisy_dna"))
 
 
 _IDX = "CASE {b} WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END"
@@ -69,19 +94,25 @@ FROM n GROUP BY item_id"""
 
 
 def mutate(df: DataFrame, keys: list[str], sequence: str, sub: float = SUBSTITUTION, ins: float = INSERTION, dele: float = DELETION, seed: int = SEED) -> DataFrame:
-    """keys, pos, base, op (substitution, deletion or null), inserted (a base or null), out (what the base becomes).
+    """df with `places`, an array of (pos, base, op: substitution, deletion or null, inserted: a base or null, out: what
+    the base becomes), drawn within the row.
 
     A base is deleted or not, else substituted or not, and a base may be inserted behind it, each by a draw of its own.
     """
-    rows = positions(df.select(*keys, sequence), sequence)
     k = [F.col(c) for c in keys]
-    d, _ = D.hash_uniform(seed + 1, *k, F.col("pos"))
-    s, sv = D.hash_uniform(seed, *k, F.col("pos"))
-    i, iv = D.hash_uniform(seed + 2, *k, F.col("pos"))
-    op = F.when(d < _bound(dele), "deletion").when(s < _bound(sub), "substitution")
-    rows = rows.withColumn("op", op).withColumn("inserted", F.when(i < _bound(ins), F.substring(F.lit(D.BASES), (iv % 4 + 1).cast("int"), F.lit(1))))
-    kept = F.when(F.col("op") == "deletion", "").when(F.col("op") == "substitution", _substitute(F.col("base"), sv)).otherwise(F.col("base"))
-    return rows.withColumn("out", F.concat(kept, F.coalesce("inserted", F.lit(""))))
+
+    def draw(base: Column, i: Column) -> Column:
+        behind = _digest(seed + 2, k, i)
+        op = F.when(_below(_digest(seed + 1, k, i), dele), "deletion").when(_below(_digest(seed, k, i), sub), "substitution")
+        inserted = F.when(_below(behind, ins), F.substring(F.lit(D.BASES), (_second(behind) % 4 + 1).cast("int"), F.lit(1)))
+        return F.struct((i + 1).alias("pos"), base.alias("base"), op.alias("op"), inserted.alias("inserted"))
+
+    def become(p: Column) -> Column:
+        other = _substitute(p["base"], _second(_digest(seed, k, p["pos"] - 1)))
+        kept = F.when(p["op"] == "deletion", "").when(p["op"] == "substitution", other).otherwise(p["base"])
+        return p.withField("out", F.concat(kept, F.coalesce(p["inserted"], F.lit(""))))
+
+    return df.withColumn("places", F.transform(F.transform(_bases(F.col(sequence)), draw), become))
 
 
 def region_of(pos: Column, payload_len: Column) -> Column:
@@ -91,22 +122,23 @@ def region_of(pos: Column, payload_len: Column) -> Column:
 
 def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.of_conversations(spark, sf_dir).select("conv_id", "turn", "no", "full_strand", F.length("payload").alias("payload_len"))
-    rows = mutate(s, ["conv_id", "turn", "no", "payload_len"], "full_strand")
-    return rows.withColumn("region", region_of(F.col("pos"), F.col("payload_len")))
+    return mutate(s, ["conv_id", "turn", "no", "payload_len"], "full_strand").drop("full_strand")
 
 
 def noise_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per error: place in strand and read, region, operation, bases before and after."""
-    order = Window.partitionBy("conv_id", "turn", "no").orderBy("pos")
-    rows = _mutated(spark, sf_dir)
-    before = F.sum(F.length("out")).over(order) - F.length("out")
-    rows = rows.withColumn("before", before.cast("int"))
-    replaced = F.substring("out", 1, 1)
-    own = F.struct((F.col("before") + 1).alias("position_read"), F.col("op").alias("operation"), F.col("base").alias("from_base"), F.when(F.col("op") == "deletion", "").otherwise(replaced).alias("to_base"))
-    kept = F.when(F.col("op") == "deletion", 0).otherwise(1)
-    inserted = F.struct((F.col("before") + kept + 1).alias("position_read"), F.lit("insertion").alias("operation"), F.lit("").alias("from_base"), F.col("inserted").alias("to_base"))
+    hit = F.filter("places", lambda p: p["op"].isNotNull() | p["inserted"].isNotNull())
+    rows = _mutated(spark, sf_dir).select("conv_id", "turn", "no", "payload_len", hit.alias("hits"))
+    # bases that come before a place in the read: its place in the strand, moved by the insertions and deletions before it
+    move = lambda n, p: n + F.length(p["out"]) - 1
+    at = lambda p, k: p.withField("before", p["pos"] - 1 + F.aggregate(F.slice("hits", F.lit(1), k), F.lit(0), move))
+    rows = rows.select("conv_id", "turn", "no", "payload_len", F.explode_outer(F.transform("hits", at)).alias("p")).where("p IS NOT NULL")
+    rows = rows.select("conv_id", "turn", "no", F.col("p.pos").alias("position_original"), region_of(F.col("p.pos"), F.col("payload_len")).alias("region"), "p.*")
+    gone = F.col("op") == "deletion"
+    own = F.struct((F.col("before") + 1).alias("position_read"), F.col("op").alias("operation"), F.col("base").alias("from_base"), F.when(gone, "").otherwise(F.substring("out", 1, 1)).alias("to_base"))
+    inserted = F.struct((F.col("before") + F.when(gone, 0).otherwise(1) + 1).alias("position_read"), F.lit("insertion").alias("operation"), F.lit("").alias("from_base"), F.col("inserted").alias("to_base"))
     events = F.filter(F.array(F.when(F.col("op").isNotNull(), own), F.when(F.col("inserted").isNotNull(), inserted)), lambda e: e.isNotNull())
-    return rows.select("conv_id", "turn", "no", F.col("pos").alias("position_original"), "region", F.explode(events).alias("e")).select("conv_id", "turn", "no", "position_original", "region", "e.*")
+    return rows.select("conv_id", "turn", "no", "position_original", "region", F.explode(events).alias("e")).select("conv_id", "turn", "no", "position_original", "region", "e.*")
 
 
 _K = "conv_id || '|' || turn || '|' || no || '|' || length(payload) || '|' || pos"
@@ -129,11 +161,17 @@ def noise_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_strand_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error strand, the fixed-place payload slice of it, and error counts of every strand."""
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "")
-    by = _mutated(spark, sf_dir).groupBy("conv_id", "turn", "no", "payload_len").agg(
-        ordered.alias("error_full"), F.count_if(F.col("op") == "substitution").alias("n_sub"), F.count("inserted").alias("n_ins"), F.count_if(F.col("op") == "deletion").alias("n_del")
+    rows = _mutated(spark, sf_dir).select(
+        "conv_id",
+        "turn",
+        "no",
+        "payload_len",
+        _joined("places", "out").alias("error_full"),
+        _count("places", lambda p: p["op"] == "substitution").alias("n_sub"),
+        _count("places", lambda p: p["inserted"].isNotNull()).alias("n_ins"),
+        _count("places", lambda p: p["op"] == "deletion").alias("n_del"),
     )
-    return by.withColumn("error_payload", F.substring("error_full", F.lit(PREFIX + 1), F.col("payload_len"))).drop("payload_len")
+    return rows.withColumn("error_payload", F.substring("error_full", F.lit(PREFIX + 1), F.col("payload_len"))).drop("payload_len")
 
 
 STRAND_ROWS_SQL = f"""{MUTATED_SQL},
@@ -143,10 +181,10 @@ SELECT conv_id, turn, no, error_full, n_sub, n_ins, n_del, substr(error_full, {P
 
 def noise_scope_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substitutions in the payload only; the rest of the strand stays."""
-    s = S.of_conversations(spark, sf_dir).select("conv_id", "turn", "no", "payload")
-    rows = substitution_noise(s, ["conv_id", "turn", "no"], "payload")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new_base"))), lambda x: x["new_base"]), "")
-    return rows.groupBy("conv_id", "turn", "no").agg(F.count_if("changed").alias("substituted"), joined.alias("noisy_payload"))
+    s = S.of_conversations(spark, sf_dir).select("conv_id", "turn", "no", "payload").where("payload <> ''")
+    out = substitution_noise(s, ["conv_id", "turn", "no"], "payload")
+    changed = _count("places", lambda x: x["changed"]).alias("substituted")
+    return out.select("conv_id", "turn", "no", changed, _joined("places", "base").alias("noisy_payload"))
 
 
 _K3 = "conv_id || '|' || turn || '|' || no || '|' || pos"
@@ -165,16 +203,20 @@ def reads(df: DataFrame, keys: list[str], coverage: int = COVERAGE, dropout: flo
     k = [F.col(c) for c in (*keys, "copy_no")]
     lost, _ = D.hash_uniform(seed + 3, *k)
     copies = copies.where(lost >= _bound(dropout))
-    u, v = D.hash_uniform(seed + 4, *k, F.col("pos"))
-    rows = positions(copies.withColumn("template", F.col("full_strand")), "full_strand").withColumns({"u": u, "v": v})
-    new = F.substring(F.lit(D.BASES), (F.col("v") % 4 + 1).cast("int"), F.lit(1))
-    kind = F.when(F.col("u") < _bound(rate), "s").when(F.col("u") < _bound(rate + ins), "i").when(F.col("u") < _bound(rate + ins + dele), "d").otherwise("k")
-    rows = rows.withColumn("kind", kind)
-    out = F.when(F.col("kind") == "s", new).when(F.col("kind") == "i", F.concat(new, "base")).when(F.col("kind") == "d", "").otherwise(F.col("base"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), out.alias("o")))), lambda x: x["o"]), "")
-    return rows.groupBy(*keys, "copy_no", "template").agg(
-        joined.alias("seq"), F.count_if(F.col("kind") == "s").alias("n_sub"), F.count_if(F.col("kind") == "i").alias("n_ins"), F.count_if(F.col("kind") == "d").alias("n_del")
-    )
+
+    def place(base: Column, i: Column) -> Column:
+        digest = _digest(seed + 4, k, i)
+        new = F.substring(F.lit(D.BASES), (_second(digest) % 4 + 1).cast("int"), F.lit(1))
+        return (
+            F.when(_below(digest, rate + ins + dele), F.struct(F.when(_below(digest, rate), "s").when(_below(digest, rate + ins), "i").otherwise("d").alias("kind"), new.alias("new"), base.alias("base")))
+            .otherwise(F.struct(F.lit("k").alias("kind"), F.lit("").alias("new"), base.alias("base")))
+        )
+
+    become = lambda p: F.when(p["kind"] == "s", p["new"]).when(p["kind"] == "i", F.concat(p["new"], p["base"])).when(p["kind"] == "d", "").otherwise(p["base"])
+    of = lambda kind: _count("places", lambda p: p["kind"] == kind)
+    rows = copies.withColumn("places", F.transform(_bases(F.col("full_strand")), place))
+    seq = F.coalesce(F.array_join(F.transform("places", become), ""), F.lit(""))  # never null, so no join tests it before it is made
+    return rows.select(*keys, "copy_no", F.col("full_strand").alias("template"), seq.alias("seq"), of("s").alias("n_sub"), of("i").alias("n_ins"), of("d").alias("n_del"))
 
 
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,16 +278,30 @@ def cluster_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_prefix(read: DataFrame, templates: DataFrame, message: str, limit: int = MAX_PREFIX_EDIT + 4) -> DataFrame:
     """read with `assigned`, the strand of the same message whose designed prefix is nearest in edits (ties: nearest
-    length, then least number), null beyond the limit; equal prefixes join by hash, the rest compare within their message."""
+    length, then least number), null beyond the limit.
+
+    Equal prefixes join by hash. At one edit a half of the index is whole, moved by one place at most, so the second
+    join is on halves; what is farther still (some 3 % at one error in 100 bases) compares within its message, which
+    holds at most 4**INDEX_LENGTH strands."""
     t = templates.select(message, F.col("no").alias("assigned"), F.substring("full_strand", 1, PREFIX).alias("prefix"))
-    own = read.withColumn("prefix", F.substring("seq", 1, PREFIX))
+    own = read.withColumn("rp", F.substring("seq", 1, PREFIX))
     keys = read.columns
-    exact = own.join(t.groupBy(message, "prefix").agg(F.min("assigned").alias("assigned")), [message, "prefix"], "left").withColumn("edits", F.when(F.col("assigned").isNotNull(), 0))
-    rest = exact.where("assigned IS NULL").select(*keys, F.col("prefix").alias("rp")).join(t, message)
-    rest = rest.withColumn("edits", F.levenshtein("rp", "prefix", limit)).where("edits >= 0")
-    best = rest.groupBy(*keys).agg(F.min(F.struct("edits", F.abs(F.length("rp") - F.length("prefix")).alias("gap"), "assigned")).alias("b"))
-    unassigned = exact.where("assigned IS NULL").select(*keys).join(best, keys, "left").select(*keys, F.col("b.assigned").alias("assigned"), F.col("b.edits").alias("edits"))
-    return exact.where("assigned IS NOT NULL").select(*keys, "assigned", "edits").unionByName(unassigned)
+    exact = own.join(t.groupBy(message, F.col("prefix").alias("rp")).agg(F.min("assigned").alias("assigned")), [message, "rp"], "left").withColumn("edits", F.when(F.col("assigned").isNotNull(), 0))
+    off = exact.where("assigned IS NULL").select(*keys, "rp")
+
+    def best(pairs: DataFrame, most: int) -> DataFrame:
+        pairs = pairs.withColumn("edits", F.levenshtein("rp", "prefix", most)).where("edits >= 0")
+        nearest = F.min(F.struct("edits", F.abs(F.length("rp") - F.length("prefix")).alias("gap"), "assigned"))
+        return pairs.groupBy(*keys, "rp").agg(nearest.alias("b")).select(*keys, F.col("b.assigned").alias("assigned"), F.col("b.edits").alias("edits"))
+
+    half, begin = S.INDEX_LENGTH // 2, PREFIX - S.INDEX_LENGTH
+    part = lambda sequence, h, move: F.struct(F.lit(h).alias("h"), F.substring(sequence, begin + 1 + h * half + move, half).alias("half"))
+    halves = t.withColumn("part", F.explode(F.array(*[part("prefix", h, 0) for h in (0, 1)])))
+    moved = off.withColumn("part", F.explode(F.array_distinct(F.array(*[part("rp", h, m) for h in (0, 1) for m in (-1, 0, 1)]))))
+    near = best(moved.join(halves, [message, "part"]), 1)
+    far = off.join(near.select(*keys), keys, "left_anti")
+    other = far.select(*keys).join(best(far.join(t, message), limit), keys, "left")
+    return exact.where("assigned IS NOT NULL").select(*keys, "assigned", "edits").unionByName(near).unionByName(other)
 
 
 def cluster_index_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,13 +322,23 @@ def q_grams(sequence: Column, q: int = Q_GRAM) -> Column:
 
 
 def cluster_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads by the strand of their message with the highest q-gram Jaccard similarity, through shared q-grams (all strands share the primers')."""
+    """Reads by the strand of their message with the highest q-gram Jaccard similarity.
+
+    Strands are found through shared q-grams other than the primers', which all strands have and which are only
+    counted. Strands that share no more than those differ by their sizes alone, so one of each size competes."""
+    common = F.array(*[F.lit(g) for p in (D.FORWARD_PRIMER, D.REVERSE_PRIMER) for g in sorted({p[i : i + Q_GRAM] for i in range(len(p) - Q_GRAM + 1)})])
     r = _reads(spark, sf_dir).select("item_id", "no", "copy_no", q_grams(F.col("seq")).alias("g"), F.length("seq").alias("n"))
+    r = r.select("item_id", "no", "copy_no", "n", F.size("g").alias("gs"), F.size(F.array_intersect("g", common)).alias("base"), F.array_except("g", common).alias("g"))
     t = _templates(spark, sf_dir).select("item_id", F.col("no").alias("assigned"), q_grams(F.col("full_strand")).alias("tg"), F.length("full_strand").alias("tn"))
-    a = r.select("item_id", "no", "copy_no", "n", F.size("g").alias("gs"), F.explode("g").alias("gram"))
-    b = t.select("item_id", "assigned", "tn", F.size("tg").alias("ts"), F.explode("tg").alias("gram"))
-    both = a.join(b, ["item_id", "gram"]).groupBy("item_id", "no", "copy_no", "assigned", "n", "tn", "gs", "ts").agg(F.count(F.lit(1)).alias("c"))
-    score = F.col("c") / (F.col("gs") + F.col("ts") - F.col("c"))
+    t = t.select("item_id", "assigned", "tn", F.size("tg").alias("ts"), F.array_except("tg", common).alias("tg"))
+    read = ["item_id", "no", "copy_no", "n", "gs", "base"]
+    a = r.select(*read, F.explode_outer("g").alias("gram")).where("gram IS NOT NULL")
+    b = t.select("item_id", "assigned", "tn", "ts", F.explode("tg").alias("gram"))
+    both = a.join(b, ["item_id", "gram"]).groupBy(*read, "assigned", "tn", "ts").agg(F.count(F.lit(1)).alias("more"))
+    sizes = t.groupBy("item_id", "tn", "ts").agg(F.min("assigned").alias("assigned"))
+    both = both.unionByName(r.select(*read).join(sizes, "item_id").withColumn("more", F.lit(0)))
+    c = F.col("base") + F.col("more")
+    score = c / (F.col("gs") + F.col("ts") - c)
     best = both.groupBy("item_id", "no", "copy_no").agg(F.min(F.struct((-score).alias("s"), F.abs(F.col("n") - F.col("tn")).alias("gap"), "assigned")).alias("b"))
     return best.select("item_id", "no", "copy_no", "b.assigned", F.round(-F.col("b.s"), 6).alias("jaccard"))
 
@@ -286,18 +352,34 @@ kk AS (SELECT *, c / (gs + ts - c) AS j, row_number() OVER (PARTITION BY item_id
 SELECT item_id, no, copy_no, assigned, round(j, 6) AS jaccard FROM kk WHERE k = 1"""
 
 
+def vote(called: DataFrame, templates: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, reconstructed_full: majority of the bases that `called` (keys, calls) has at each place of full_strand. Ties
+    go to A, C, G, T in turn; `-` has no vote; a place without votes keeps the strand's base. Strands without calls are missing.
+
+    Only calls that differ from the strand are counted one by one, by partial aggregation; all others vote for its base."""
+    places = F.transform(_bases(F.col("calls")), lambda b, i: F.struct((i + 1).alias("pos"), b.alias("base")))
+    differ = F.filter(F.zip_with(places, _bases(F.col("full_strand")), lambda x, o: x.withField("own", o)), lambda x: x["base"] != x["own"])
+    own = called.join(templates.select(*keys, "full_strand"), keys)
+    votes = own.select(*keys, F.explode_outer(differ).alias("d")).where("d IS NOT NULL").groupBy(*keys, "d.pos", "d.own", "d.base").agg(F.count(F.lit(1)).alias("c"))
+    voters = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("voters"))
+    order = F.when(F.col("base") != "-", F.struct((-F.col("c")).alias("c"), "base"))
+    best = votes.groupBy(*keys, "pos", "own").agg(F.min(order).alias("b"), F.sum("c").alias("others")).where("b IS NOT NULL").join(voters, keys)
+    won = F.least("b", F.struct((F.col("others") - F.col("voters")).alias("c"), F.col("own").alias("base")))["base"]
+    changes = best.select(*keys, F.struct("pos", won.alias("base")).alias("x"), "own").where("x.base != own")
+    changes = changes.groupBy(*keys).agg(F.map_from_entries(F.collect_list("x")).alias("changed"))  # a strand's places at most
+    out = templates.select(*keys, "full_strand").join(voters, keys).join(changes, keys, "left")
+    made = F.array_join(F.transform(_bases(F.col("full_strand")), lambda b, i: F.coalesce(F.col("changed")[i + 1], b)), "")
+    return out.select(*keys, F.when(F.col("changed").isNull(), F.col("full_strand")).otherwise(made).alias("reconstructed_full"))
+
+
 def consensus(read: DataFrame, templates: DataFrame, keys: list[str]) -> DataFrame:
-    """Majority base per place of the strand from reads of its length; ties go to A, C, G, T in turn, places without
-    votes to the template. Strands without reads are missing."""
-    own = read.join(templates.select(*keys, "full_strand", "payload"), keys).where(F.length("seq") == F.length("full_strand"))
-    votes = positions(own.select(*keys, "seq"), "seq").groupBy(*keys, "pos", "base").agg(F.count(F.lit(1)).alias("c"))
-    best = votes.groupBy(*keys, "pos").agg(F.min(F.struct((-F.col("c")).alias("c"), "base")).alias("b"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b.base"))), lambda x: x["base"]), "")
-    made = best.groupBy(*keys).agg(joined.alias("reconstructed_full"))
+    """Consensus of each strand from reads of its length, with its mismatches."""
+    template = templates.select(*keys, "full_strand", "payload")
+    called = read.join(template, keys).where(F.length("seq") == F.length("full_strand")).select(*keys, F.col("seq").alias("calls"))
     used = read.groupBy(*keys).agg(F.count(F.lit(1)).alias("reads_used"))
-    out = made.join(used, keys).join(templates.select(*keys, "full_strand", "payload"), keys)
     payload = F.substring("reconstructed_full", F.lit(PREFIX + 1), F.length("payload"))
-    return out.withColumn("reconstructed_payload", payload).select(
+    out = vote(called, templates, keys).join(used, keys).join(template, keys).withColumn("reconstructed_payload", payload)
+    return out.select(
         *keys, "reads_used", "reconstructed_full", "reconstructed_payload", hamming(F.col("full_strand"), F.col("reconstructed_full")).alias("full_mismatches"), hamming(F.col("payload"), F.col("reconstructed_payload")).alias("payload_mismatches")
     )
 

@@ -21,11 +21,13 @@ SEED = 17
 def substitution_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every changed base of the benchmark texts with its neighbourhood."""
     df = table(spark, sf_dir, "benchmark").select("item_id", D.simple(F.coalesce("text", F.lit(""))).alias("dna"))
-    rows = N.substitution_noise(df, ["item_id"], "dna").where("changed").drop("changed")
+    hits = F.filter("places", lambda p: p["changed"])
+    rows = N.substitution_noise(df, ["item_id"], "dna").select("item_id", "dna", F.explode_outer(hits).alias("p")).where("p IS NOT NULL")
+    rows = rows.select("item_id", "dna", F.col("p.pos").alias("pos"), F.col("p.old").alias("base"), F.col("p.base").alias("new_base"))
     first = F.greatest(F.lit(1), F.col("pos") - CONTEXT)
     near = F.substring("dna", first, F.col("pos") + CONTEXT + 1 - first)
     marked = F.concat(F.repeat(F.lit(" "), F.col("pos") - first), F.lit("^"))
-    return rows.join(df, "item_id").select("item_id", (F.col("pos") - 1).alias("position"), "base", "new_base", near.alias("context"), marked.alias("marker"))
+    return rows.select("item_id", (F.col("pos") - 1).alias("position"), "base", "new_base", near.alias("context"), marked.alias("marker"))
 
 
 _FIRST = f"greatest(1, pos - {CONTEXT})"

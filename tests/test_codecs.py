@@ -205,3 +205,58 @@ def test_reads_and_rows_of_several_files_and_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     keyed = rows.select("no", "Payload", F.lit("m").alias("message"))
     assert [r.strands for r in files.message_of_strands(keyed, "message").collect()] == [15]
+
+
+def test_votes_by_differences_equal_counting_every_base(spark):
+    from collections import Counter
+    import random
+
+    from helixframe.operators import noise
+
+    rng, calls, strands = random.Random(5), [], []
+    for k in range(40):
+        own = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 30)))
+        strands.append((k, own))
+        calls += [(k, "".join(rng.choice("ACGT-") if rng.random() < 0.5 else b for b in own)) for _ in range(rng.randint(0, 6))]
+    want = {}
+    for k, own in strands:
+        votes = [c for n, c in calls if n == k]
+        if votes:
+            counts = [Counter(v[i] for v in votes if v[i] != "-") for i in range(len(own))]
+            want[k] = "".join(min(c, key=lambda b, c=c: (-c[b], b)) if c else own[i] for i, c in enumerate(counts))
+    got = noise.vote(spark.createDataFrame(calls, "k int, calls string"), spark.createDataFrame(strands, "k int, full_strand string"), ["k"])
+    assert {r.k: r.reconstructed_full for r in got.collect()} == want
+
+
+def test_nearest_prefix_equals_comparing_all(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from helixframe.operators import noise
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            diagonal, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    primer = "ACACGACGCTCTTCCGATCT"
+    templates = [(m, no, primer + "".join("ACGT"[(no >> 2 * (7 - i)) & 3] for i in range(8)) + "ACGTACGT") for m in (1, 2) for no in range(0, 300, 3)]
+    found = []
+    for i in range(150):
+        s = list(templates[rng.randrange(len(templates))][2])
+        for _ in range(rng.choice((0, 1, 1, 2, 4))):
+            at = rng.randrange(12, 29)
+            s[at : at + 1] = rng.choice(([], [rng.choice("ACGT")], [s[at], rng.choice("ACGT")]))
+        found.append((i, rng.choice((1, 2)), "".join(s)))
+    want = {}
+    for i, m, s in found:
+        p = s[:28]
+        least = min((edits(p, t[:28]), abs(len(p) - 28), no) for own, no, t in templates if own == m)
+        want[i] = (least[2], least[0]) if least[0] <= 10 else (None, None)
+    out = noise.nearest_prefix(spark.createDataFrame(found, "i int, m int, seq string"), spark.createDataFrame(templates, "m int, no int, full_strand string"), "m")
+    assert {r.i: (r.assigned, r.edits) for r in out.select("i", "assigned", F.col("edits").cast("int")).collect()} == want
