@@ -45,5 +45,27 @@ def base4(value: str, digits: int, alphabet: str = "ACGT") -> str:
     return f"array_to_string(list_transform(range({digits}), lambda i: substr('{alphabet}', ((({value})::BIGINT >> (2 * ({digits} - 1 - i))::BIGINT) & 3)::INT + 1, 1)), '')"
 
 
+def _crc32_of(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ 0xEDB88320 * (byte & 1)
+    return byte
+
+
+def crc32(byte_list: str) -> str:
+    """CRC-32 of a list of numbers below 256. Its byte step is linear, so the low bits' shares are added up."""
+    low = "0"
+    for j in range(8):
+        low = f"xor({low}, ((xor(c, b) >> {j}) & 1) * {_crc32_of(1 << j)}::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte_list}), lambda c, b: xor(xor(c, b) >> 8, {low})), 4294967295::BIGINT)"
+
+
+def ascii_bytes(text: str) -> str:
+    return f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
+
+
+def utf8_bytes(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+
+
 def uniform(seed: int, keys: str, at: int) -> str:
     return f"('0x' || substr(md5('{seed}|' || {keys}), {at}, 8))::BIGINT"

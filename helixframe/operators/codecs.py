@@ -180,6 +180,9 @@ def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("sha256").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
 
 
+CRC32_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, strlen(text)::INT AS payload_bytes, CASE WHEN text = '' THEN 0 ELSE {Q.crc32(Q.utf8_bytes("text"))} END AS crc32, CASE WHEN text = '' THEN 0 ELSE {Q.crc32(Q.ascii_bytes(Q.bits("text")))} END AS of_bits FROM d)
+SELECT doc_id, payload_bytes, crc32, payload_bytes + 4 AS packet_bytes, (of_bits & 255)::INT AS token_crc8, (of_bits & 65535)::INT AS token_crc16 FROM c"""
 HASH_SQL = "SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1"
 
 QUERIES = {
@@ -195,6 +198,6 @@ QUERIES = {
     "index_symbols": (index_symbols, INDEX_SQL),
     "dna_clean": (dna_clean, CLEAN_SQL),
     "crc8_packets": (crc8_packets, CRC8_SQL),
-    "crc32_packets": (crc32_packets, None),
+    "crc32_packets": (crc32_packets, CRC32_SQL),
     "payload_hashes": (payload_hashes, HASH_SQL),
 }

@@ -58,6 +58,17 @@ def token_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KP = "conv_id || '|' || turn || '|' || pos"
+PACKETS_SQL = f"""WITH {T.TURN_TOKENS}, {T.VOCAB_CTE},
+checks AS (SELECT id::INT AS id, {Q.crc32(f"list_transform(range({ID_BITS}), lambda i: 48 + ((id >> ({ID_BITS - 1} - i)) & 1))")} & 255 AS crc FROM range({1 << ID_BITS}) AS r(id)),
+sent AS (SELECT conv_id, turn, pos, coalesce(token_id, 1) AS token_id, {Q.uniform(SEED, _KP, 1)} AS u, {Q.uniform(SEED, _KP, 9)} AS v FROM tokens LEFT JOIN vocab USING (token)),
+got AS (SELECT *, xor(token_id, CASE WHEN u < {int(0.02 * 2**32)} THEN 1 << (v % {ID_BITS})::INT ELSE 0 END)::INT AS read_id FROM sent),
+checked AS (SELECT got.*, a.crc AS read_crc, a.crc = b.crc AS ok FROM got JOIN checks a ON a.id = token_id JOIN checks b ON b.id = read_id),
+fitting AS (SELECT conv_id, turn, pos, count(*) AS n, bool_or(id = token_id) AS hit FROM checked, range({ID_BITS}) AS f(bit), checks WHERE NOT ok AND id = xor(read_id, 1 << bit::INT) AND id < {T.VOCABULARY} AND crc = read_crc GROUP BY ALL)
+SELECT conv_id, turn, count(*) AS packets, count(*) FILTER (NOT ok) AS invalid, coalesce(sum(n), 0)::BIGINT AS candidates, count(*) FILTER (CASE WHEN ok THEN read_id = token_id ELSE coalesce(hit, false) END) AS recovered
+FROM checked LEFT JOIN fitting USING (conv_id, turn, pos) GROUP BY conv_id, turn"""
+
+
 def block_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of BLOCK token ids with their number and the low 16 bits of the CRC-32 of their bits: bits and bases a turn."""
     t = T.tokens(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
@@ -68,6 +79,12 @@ def block_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.lit(24) + F.length("ids")).alias("bits"), F.sum((F.lit(24) + F.length("ids")) / 2).cast("long").alias("bases"), F.bit_xor(crc).alias("crc_of_blocks"))
 
 
+BLOCK_CRC_SQL = f"""WITH {T.TURN_TOKENS}, {T.VOCAB_CTE},
+coded AS (SELECT conv_id, turn, pos, pos // {BLOCK} AS block, lpad(bin(coalesce(token_id, 1)), {ID_BITS}, '0') AS id FROM tokens LEFT JOIN vocab USING (token)),
+blocks AS (SELECT conv_id, turn, block, lpad(bin(count(*)), 8, '0') || string_agg(id, '' ORDER BY pos) AS sent FROM coded GROUP BY ALL)
+SELECT conv_id, turn, count(*) AS blocks, sum(length(sent) + 16)::BIGINT AS bits, (sum(length(sent) + 16) // 2)::BIGINT AS bases, bit_xor({Q.crc32(Q.ascii_bytes("sent"))} & 65535) AS crc_of_blocks FROM blocks GROUP BY conv_id, turn"""
+
+
 def token_block_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by the language of the sentence block they stand in and their own class."""
     blocks = F.filter(F.split("text", "(?<=[.!?。！？])\\s+|\\n+"), lambda b: F.trim(b) != "")
@@ -108,8 +125,8 @@ SELECT conv_id, turn, (length(dna) // 120)::BIGINT AS strands, substr(dna, (leng
 
 QUERIES = {
     "substitution_context": (substitution_context, CONTEXT_SQL),
-    "token_packets": (token_packets, None),
-    "token_block_crc": (block_crc, None),
+    "token_packets": (token_packets, PACKETS_SQL),
+    "token_block_crc": (block_crc, BLOCK_CRC_SQL),
     "token_block_language": (token_block_language, TOKEN_BLOCK_SQL),
     "resample_linear": (resample_linear, RESAMPLE_SQL),
     "fixed_size_strands": (fixed_size_strands, FIXED_SQL),

@@ -86,6 +86,17 @@ def magic_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(F.coalesce("m.kind", F.lit("none")).alias("kind"), F.col("m.mime").alias("mime"), domain(F.col("m.kind")).alias("domain")).agg(F.count(F.lit(1)).alias("payloads"), F.sum("bytes").alias("bytes"))
 
 
+_KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(h, '^{prefix}') THEN '{kind}'" for kind, _, _, _, prefix in SIGNATURES)
+_MIME_SQL = "CASE kind WHEN 'text' THEN 'text/plain' " + " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in {s[0]: s[2] for s in SIGNATURES}.items()) + " END"
+_DOMAIN_SQL = "CASE " + " ".join(f"WHEN kind IN ({str(kinds)[1:-1]}) THEN '{name}'" for name, kinds in DOMAINS.items()) + " ELSE 'unknown' END"
+# Only the empty head leaves text at the front; pages hold no Opus head.
+MAGIC_KINDS_SQL = f"""WITH p AS (SELECT html, unnest({HEADS}) AS head FROM pages WHERE html IS NOT NULL),
+t AS (SELECT head || hex(encode(html)) AS h, CASE WHEN head = '' THEN TRY(decode(array_slice(encode(html), 1, 4096))) END AS s FROM p),
+k AS (SELECT length(h) // 2 AS bytes, CASE WHEN length(h) < 8 THEN 'none' ELSE {_KIND_SQL} WHEN s IS NULL THEN 'none'
+  WHEN len(regexp_extract_all(regexp_replace(s, '[\\r\\n\\t ]', '', 'g'), '[\\pC\\pZ]')) / greatest(length(s), 1) < 0.05 THEN 'text' ELSE 'none' END END AS kind FROM t)
+SELECT kind, {_MIME_SQL} AS mime, {_DOMAIN_SQL} AS domain, count(*) AS payloads, sum(bytes)::BIGINT AS bytes FROM k GROUP BY ALL"""
+
+
 def magic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by sniffed kind."""
     d = table(spark, sf_dir, "documents").select("lang", magic(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("m"))
@@ -232,7 +243,7 @@ e AS (SELECT conv_id, turn, greatest(length(a), length(b)) AS n, hamming(substr(
 SELECT conv_id, turn, n::INT AS bits, errors::INT AS errors, round(errors / n, 6) AS bit_error_rate FROM e"""
 
 QUERIES = {
-    "magic_kinds": (magic_kinds, None),
+    "magic_kinds": (magic_kinds, MAGIC_KINDS_SQL),
     "magic_kind_counts": (magic_text, MAGIC_TEXT_SQL),
     "compression_candidates": (zlib_candidates, None),
     "zlib_sizes": (zlib_sizes, None),
