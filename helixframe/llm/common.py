@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -88,6 +88,30 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) ->
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that isn't among `columns` (Spark compares them without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a bigint column `name` of 1, 2, 3... over all its rows in the given order; what is equal in it gets numbers in any order.
+
+    Rows are dealt in ranges and sorted there, and written with their places, so no task holds more than its range. A row's
+    number is its place plus the sizes of the ranges before its own: a table of one row a partition, hence broadcast.
+    """
+    at, part, before = (fresh(df.columns, f"_{name}_{x}") for x in ("at", "part", "before"))
+    places = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    places = materialise(places, "numbered").withColumn(part, F.shiftright(at, 33))
+    sizes = places.groupBy(part).agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias(before))
+    within = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return places.join(F.broadcast(starts), part).select(*df.columns, (F.col(before) + within + 1).alias(name))
+
+
 #: Rows of an Arrow batch, so that a Python worker holds few texts at a time.
 BATCH_ROWS = 256
 
