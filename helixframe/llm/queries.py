@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, hilbert_shards, merkle_manifest, mixing, packing, pii, quality_rules, recurrent_lm, simhash_dedup, toxicity, url_templates
+from . import fingerprints, hilbert_shards, importance_resampling, merkle_manifest, mixing, packing, pii, quality_rules, recurrent_lm, simhash_dedup, toxicity, url_templates
 
 _ALL = {
     "op1_fingerprints": fingerprints,
@@ -16,6 +16,7 @@ _ALL = {
     "op9_recurrent_lm": recurrent_lm,
     "op10_hilbert_shards": hilbert_shards,
     "op12_merkle_manifest": merkle_manifest,
+    "op13_importance_resampling": importance_resampling,
 }
 
 QUERIES = {name: module.query for name, module in _ALL.items()}
