@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, hilbert_shards, importance_resampling, merkle_manifest, mixing, packing, pii, quality_rules, recurrent_lm, simhash_dedup, toxicity, url_templates
+from . import byte_bpe, fingerprints, hilbert_shards, importance_resampling, merkle_manifest, mixing, packing, pii, quality_rules, recurrent_lm, simhash_dedup, toxicity, url_templates
 
 _ALL = {
     "op1_fingerprints": fingerprints,
@@ -15,6 +15,7 @@ _ALL = {
     "op8_packing": packing,
     "op9_recurrent_lm": recurrent_lm,
     "op10_hilbert_shards": hilbert_shards,
+    "op11_byte_bpe": byte_bpe,
     "op12_merkle_manifest": merkle_manifest,
     "op13_importance_resampling": importance_resampling,
 }
