@@ -37,11 +37,12 @@ def words(text: Column) -> Column:
 def features(of: Column, most: int = MOST) -> Column:
     """Buckets of all runs of 1 to `most` words."""
     bucket = lambda s: F.pmod(F.crc32(s), F.lit(BUCKETS)).cast("smallint")
-    found = F.transform(of, bucket)
-    for n in range(2, most + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(of) >= n, F.sequence(F.lit(1), F.size(of) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        found = F.concat(found, F.transform(starts, lambda i, n=n: bucket(F.array_join(F.slice(of, i, n), " "))))
-    return found
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(of, i, n), " ")))
+
+    return F.concat(F.transform(of, bucket), *map(runs, range(2, most + 1)))
 
 
 def collapse(docs: DataFrame, text: str, most: int = MOST) -> DataFrame:
