@@ -8,9 +8,10 @@ case and the place of digits stay, and a pseudonym passes the same validation. T
 format only, so equal values stay equal across documents, and whoever has the key can undo it (`restore`).
 
 The key comes from the session (KEY_SETTING). Letters outside ASCII are permuted among the letters of their case in their
-block of 256 characters. Dates that name the month before the day (12/31/1999) and identifiers joined to letters are no
+block of 256 characters. A local part of more than PART letters and digits is permuted in parts of that many, forwards and then
+backwards, each part tweaked by a digest of those done before it, so that every character depends on all of them. Dates that name the month before the day (12/31/1999) and identifiers joined to letters are no
 values of these formats and stay.
-Edge cases: null and empty texts stay; values within longer words or numbers are no values; long texts are handled
+Edge cases: null and empty texts stay; values within longer words or numbers are no values; long texts and long addresses are handled
 whole, in time linear in their length; repeated rows get the same pseudonyms; columns of the input that share a result's name are replaced.
 """
 
@@ -33,6 +34,8 @@ from . import common as C
 KEY = b"pseudonyms, round one"
 KEY_SETTING = "spark.helixframe.pseudonym.key"
 ROUNDS = 10
+#: Letters and digits that are permuted as one number, and the longest value whose pseudonym a worker remembers.
+PART, REMEMBERED = 64, 256
 KINDS = ("card", "iban", "ip", "ssn", "phone", "date", "email")
 
 _DIGIT = re.compile(r"[0-9]")
@@ -105,17 +108,39 @@ def _alphabet(c: str) -> tuple[str, str]:
     return "".join(x for x in map(chr, range(max(128, block << 8), block + 1 << 8)) if x.isalnum() and kind(x) == kind(c)), f"[{block}{kind(c)}]"
 
 
-def _characters(text: str, key: bytes, kind: str, back: bool) -> str:
-    """Letters and digits permuted as a mixed-radix number; each keeps its class."""
-    places = [(c, *_alphabet(c)) for c in text if c.isalnum()]
+def _part(characters: str, key: bytes, tweak: str, back: bool) -> str:
+    """Letters and digits permuted as one mixed-radix number; each keeps its class."""
+    places = [(c, *_alphabet(c)) for c in characters]
     x, n = 0, 1
     for c, letters, _ in places:
         x, n = x * len(letters) + letters.index(c), n * len(letters)
-    y, out = _permutation(n, key, kind + "".join(name for _, _, name in places))(x, back), []
+    y, out = _permutation(n, key, tweak + "".join(name for _, _, name in places))(x, back), []
     for _, letters, _ in reversed(places):
         y, d = divmod(y, len(letters))
         out.append(letters[d])
-    return "".join(out.pop() if c.isalnum() else c for c in text)
+    return "".join(reversed(out))
+
+
+def _pass(parts: list[str], key: bytes, tweak: str, back: bool) -> list[str]:
+    """Each part permuted under a digest of the parts before it, as they are once permuted."""
+    out, state = [], b""
+    for part in parts:
+        new = _part(part, key, f"{tweak}:{state.hex()}:", back)
+        out.append(new)
+        state = hashlib.blake2b(state + (part if back else new).encode(), key=key[:64], digest_size=16).digest()
+    return out
+
+
+def _characters(text: str, key: bytes, kind: str, back: bool) -> str:
+    """Letters and digits permuted within their classes, the others kept."""
+    bare = "".join(c for c in text if c.isalnum())
+    if len(bare) <= PART:
+        new = iter(_part(bare, key, kind, back))
+    else:
+        parts = [bare[i : i + PART] for i in range(0, len(bare), PART)]
+        forth, backwards = (lambda x: _pass(x, key, kind + ">", back)), (lambda x: _pass(x[::-1], key, kind + "<", back)[::-1])
+        new = iter("".join(forth(backwards(parts)) if back else backwards(forth(parts))))
+    return "".join(next(new) if c.isalnum() else c for c in text)
 
 
 def _card(v: str, key: bytes, back: bool) -> str | None:
@@ -191,9 +216,13 @@ _BY_KIND = {"card": _card, "iban": _iban, "ip": _ip, "ssn": _ssn, "phone": _phon
 
 
 @lru_cache(maxsize=4096)
+def _remembered(kind: str, value: str, key: bytes, back: bool) -> str | None:
+    return _BY_KIND[kind](value, key, back)
+
+
 def permuted(kind: str, value: str, key: bytes = KEY, back: bool = False) -> str | None:
     """The pseudonym of a value, or None where it isn't valid."""
-    return _BY_KIND[kind](value, key, back)
+    return _remembered(kind, value, key, back) if len(value) <= REMEMBERED else _BY_KIND[kind](value, key, back)
 
 
 def _addresses(text: str) -> list[tuple[int, int]]:
