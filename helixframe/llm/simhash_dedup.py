@@ -37,6 +37,8 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 CHUNK, LEADERS = 1 << 20, 8
 SEED = 4
+#: Parts the two hashes of an id and a text.
+SECOND = 2
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -287,8 +289,11 @@ def clusters(distinct: DataFrame) -> DataFrame:
     return components(C.materialise(edges, "copy-candidates"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, fp (a number for its set of shingles), component_id, where links are similarities of SIMILARITY or more."""
+def near_copies(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, fp (a number for its set of shingles), component_id, where links are similarities of SIMILARITY or more.
+
+    With `carry` also at and also, two hashes of its doc_id and text.
+    """
     C.small_batches(docs.sparkSession)
 
     @F.pandas_udf("fp long, key long, size long, bands array<long>")
@@ -307,8 +312,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def member(keys: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([np.array([k], dtype="<i8").tobytes() + _sketch(t) for k, t in zip(keys, texts)])
 
-    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at"))
-    rows = C.materialise(texts.select("doc_id", "at", of(F.col("text")).alias("s")).select("doc_id", "at", "s.*"), "copies")
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at"), F.xxhash64("text", F.lit(SECOND), "doc_id").alias("also"))
+    rows = C.materialise(texts.select("doc_id", "at", "also", of(F.col("text")).alias("s")).select("doc_id", "at", "also", "s.*"), "copies")
     first = [F.min(c).alias(c) for c in ("at", "fp", "size", "bands")]
     distinct = C.materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), *first), "copies-distinct")
     grouped = C.materialise(distinct.join(clusters(distinct), F.col("key") == F.col("node")).select("key", "at", "size", "root"), "copy-clusters")
@@ -319,19 +324,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))))
     met = sets.groupBy("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("member").alias("members"))
     alike = C.materialise(met.select("members").mapInPandas(_alike, "u long, v long"), "copies-alike")
-    return with_components(rows.select("doc_id", F.col("key").alias("fp")), distinct.select(F.col("key").alias("fp"), "n", "lo"), alike)
+    carried = ["at", "also"] if carry else []
+    return with_components(rows.select("doc_id", F.col("key").alias("fp"), *carried), distinct.select(F.col("key").alias("fp"), "n", "lo"), alike)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each group of near copies the document with the least doc_id, once for each text.
+    """The pipeline's stage: of each group of near copies one document, that of the least doc_id.
 
-    Rows without a doc_id stay, once for each text.
+    Where several texts of a group share that doc_id, the one of the least key stays; rows without a doc_id stay, once for each text.
     """
-    kept = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*docs.columns)
-    rows = named.unionByName(docs.where(F.col("doc_id").isNull()))
+    first, second = C.fresh(docs.columns, "_first"), C.fresh(docs.columns, "_second")
+    # two hashes of 64 bits name a row's id and text, so that no other row is taken for it
+    named = docs.withColumn(first, F.xxhash64("doc_id", "text")).withColumn(second, F.xxhash64("text", F.lit(SECOND), "doc_id"))
+    found = near_copies(docs, carry=True).where(F.col("doc_id") == F.col("component_id"))
+    kept = found.groupBy("component_id").agg(F.min(F.struct("fp", "at", "also")).alias("least")).select(F.col("least.at").alias(first), F.col("least.also").alias(second))
+    rows = named.where(F.col("doc_id").isNotNull()).join(kept, [first, second], "left_semi").unionByName(named.where(F.col("doc_id").isNull()), allowMissingColumns=True)
     # equal rows meet by partial aggregation, so none of them is a group for one task
-    return rows.withColumn("__h", F.xxhash64("doc_id", "text")).dropDuplicates(["__h"]).select(*docs.columns)
+    return rows.dropDuplicates([first, second]).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

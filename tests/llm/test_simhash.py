@@ -172,3 +172,30 @@ def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
     b = " ".join(["x y z"] * 400 + [f"b{i}" for i in range(60)])
     assert S.simhash(a) == S.simhash(b)
     assert _groups(spark, [a, b]) == {frozenset((0,)), frozenset((1,))}
+
+
+def test_stage_keeps_rows_by_text_where_a_doc_id_has_several(spark):
+    """(3, A), (5, A), (5, B): one A and the B stay, whatever the columns are called."""
+    from .conftest import prose
+
+    a, b = prose(80, 61), prose(80, 62)
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, b + " more", "x"), (7, prose(80, 63), "x"), (None, a, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __h string").withColumn("_first", S.F.lit(1)).withColumn("_Second", S.F.lit(2))
+    got = S.stage(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in got.collect())) == sorted([(0, a), (3, a), (5, b), (7, prose(80, 63))]) 
+
+
+def plain_simhash(text):
+    """Bit by bit, from the contract's words."""
+    import xxhash
+
+    w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if x]
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_equal_those_bit_by_bit(docs):
+    for text in [r.text for r in docs.collect()] + ["a b", "A\x0bB\x0cc d", "é É x y", "\xa0a b c d", "x " * 500]:
+        assert S.simhash(text) == plain_simhash(text)
