@@ -66,15 +66,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Left join on key (null joins null) with a small right side of one row per key; a hot key spreads over `salts` tasks."""
-    kept = [c for c in right.columns if c != key]
-    right = right.select(
-        F.col(key).alias("__k"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s"), *[F.col(c).alias(f"__r_{c}") for c in kept]
-    )
-    salted = left.withColumn("__l", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    joined = salted.join(right, salted[key].eqNullSafe(right["__k"]) & (salted["__l"] == right["__s"]), "left")
-    return joined.select(*[salted[c] for c in left.columns], *[right[f"__r_{c}"].alias(c) for c in kept])
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Left join on key (null joins null); right has one row per key, in `n` the left rows that have it (at least).
+
+    Keys with over total / HOT_SHARE rows (at most HOT_SHARE of them) are broadcast, whatever their rows look like; the others
+    go through a shuffle in which no key is large. Columns of any type and name may be on the left.
+    """
+    kept = [c for c in right.columns if c not in (key, n)]
+    at = fresh(left.columns, "_key")
+    named = {c: fresh([*left.columns, at], f"_right_{i}") for i, c in enumerate(kept)}
+    over = F.col(n) > max(1, total // HOT_SHARE)
+    side = lambda rows: rows.select(F.col(key).alias(at), *[F.col(c).alias(x) for c, x in named.items()])
+    hot, cold = side(right.where(over)), side(right.where(~over))
+    same = left[key].eqNullSafe(F.col(at))
+    out = [*[left[c] for c in left.columns], *[F.col(x).alias(c) for c, x in named.items()]]
+    met = left.join(F.broadcast(hot), same).select(*out)
+    rest = left.join(F.broadcast(hot.select(at)), same, "left_anti")
+    same, out = rest[key].eqNullSafe(F.col(at)), [*[rest[c] for c in rest.columns], *out[len(left.columns) :]]
+    return met.unionByName(rest.join(cold, same, "left").select(*out))
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:

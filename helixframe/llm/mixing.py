@@ -99,23 +99,25 @@ def _fly(pdf: pd.DataFrame, block: str, last: bool) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, source, size): doc_id, size, source_size, target, copies."""
-    spark = docs.sparkSession
-    sizes = C.materialise(docs.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("row")), "mix-sizes")
+    """For each row of docs (doc_id, source, size): doc_id, size, source_size, target, copies, and row, a number of its own (that of docs if it has one)."""
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    sizes = C.materialise(docs.select("doc_id", "source", "size", row.alias("row")), "mix-sizes")
     table = C.materialise(targets(sizes), "mix-targets")
-    known = C.salted_join(sizes, table, "source")
+    total = table.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    known = C.spread_join(sizes, table.withColumn("n", F.col("docs")), "source", "n", total)
     m = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     order = F.xxhash64("doc_id", F.lit(SEED))
     # rows of an id that fills a block by itself are told apart by their place in the table; there are few such ids
-    crowded = sizes.groupBy(F.xxhash64("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > BLOCK)
-    crowded = C.materialise(crowded.select("__id", F.lit(True).alias("__crowded")), "mix-crowded")
+    crowded = sizes.groupBy(F.xxhash64("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    crowded = C.materialise(crowded.select("__id", "n", F.lit(True).alias("__crowded")), "mix-crowded")
     if crowded.isEmpty():
         known = known.withColumn("__crowded", F.lit(None).cast("boolean"))
     else:
-        known = C.salted_join(known.withColumn("__id", F.xxhash64("doc_id")), crowded, "__id")
+        known = C.spread_join(known.withColumn("__id", F.xxhash64("doc_id")), crowded, "__id", "n", total)
     order = F.when(F.col("__crowded"), F.xxhash64("doc_id", "row", F.lit(SEED))).otherwise(order)
     rows = known.withColumn("m", m).select(
         "doc_id",
+        "row",
         "size",
         "source_size",
         "target",
@@ -131,7 +133,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rest = first.where(open_).withColumn("block", F.floor(F.col("block") / LANDING))
     rest = rest.groupBy("rank", "block").applyInPandas(lambda pdf: _fly(pdf, "block", True), schema)
     return first.where(~open_).unionByName(rest).select(
-        "doc_id", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies")
+        "doc_id", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies"), "row"
     )
 
 
@@ -139,32 +141,18 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(C.WORD_RE)).cast("long").alias("size"))
 
 
-#: Rows of one key up to which its copies are dealt in order; those of a larger group are drawn, each by a hash.
-IN_ORDER = 1000
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: every document as often as the mix takes it, with the columns of docs.
 
-    Copies come back by a hash of doc_id, source and text, by which texts are shuffled once. Rows that share it are alike, and
-    so are their copies but for one, so a key has their least number and how many rows have one more. Of up to IN_ORDER such
-    rows the first ones get it; each of more rows does with that share as its probability.
+    Rows are written with a number each, by which their copies come back: one rule for groups of equal rows of any size, and
+    a task that runs again deals the same copies. Texts are shuffled once.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
+    row, times, copy = (C.fresh(docs.columns, x) for x in ("_row", "_times", "_copy"))
+    rows = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(C.WORD_RE)).cast("long")
-    mixed = mix(keyed.select(F.col("__key").alias("doc_id"), "source", size.alias("size")))
-    per = mixed.groupBy(F.col("doc_id").alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.min("copies").alias("__least"), F.sum("copies").alias("__sum"))
-    per = per.withColumn("__rows", F.col("__n")).withColumn("__more", F.col("__sum") - F.col("__least") * F.col("__n"))
-    per = C.materialise(per, "mix-copies")
-    total = per.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    joined = C.hot_join(keyed, per, "__key", "__n", total)
-    several = joined.where(F.col("__rows").between(2, IN_ORDER) & (F.col("__more") > 0))
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    others = joined.where(~(F.col("__rows").between(2, IN_ORDER) & (F.col("__more") > 0)))
-    draw = F.pmod(F.xxhash64("__key", F.monotonically_increasing_id()), F.lit(1 << 32)) < F.col("__more") / F.col("__rows") * float(1 << 32)
-    times = lambda more: (F.col("__least") + F.when(more, 1).otherwise(0)).alias("__times")
-    dealt = several.select(*docs.columns, times(turn <= F.col("__more"))).unionByName(others.select(*docs.columns, times(draw)))
-    return dealt.where("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    taken = mix(rows.select(F.xxhash64("doc_id", "source", "text").alias("doc_id"), "source", size.alias("size"), F.col(row).alias("row")))
+    taken = taken.where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
+    return rows.join(taken, row).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,14 +49,15 @@ def _repeat_words(words: Column) -> Column:
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the per-document counts and base_failed."""
     kept = [c for c in docs.columns if c not in (*COUNTS, "base_failed")]
-    df = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    df = df.select(*kept, "__t", C.words(F.col("__t")).alias("__w"), F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, F.lit(C.SPACES)) != "").alias("__l"))
+    t, w, l = (C.fresh(kept, x) for x in ("_text", "_words", "_lines"))  # noqa: E741
+    df = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(t))
+    df = df.select(*kept, t, C.words(F.col(t)).alias(w), F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(C.SPACES)) != "").alias(l))
     counts = F.struct(
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.translate("__t", C.SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("__w")).alias("n_repeat_words"),
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.translate(t, C.SPACES, "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(w)).alias("n_repeat_words"),
     )
     # through a generator, so that a later filter on the counts isn't pushed below and evaluated word by word
     df = df.select(*kept, F.inline(F.array(counts)))
@@ -90,13 +91,16 @@ def host_rates(flags: DataFrame, host: str, failed: str) -> DataFrame:
 
 def judge(docs: DataFrame, flags: DataFrame, host: str) -> DataFrame:
     """docs (with the counts) and `kept`; flags: host and failed of every document."""
-    bad = C.materialise(host_rates(flags, host, "failed").where(F.col("rate") > MAX_HOST_RATE).select(host, F.lit(True).alias("__bad")), "bad-hosts")
-    if bad.count() <= MAX_BROADCAST_HOSTS:
-        keyed = bad.select(F.col(host).alias("__h"), "__bad")
-        joined = docs.join(F.broadcast(keyed), docs[host].eqNullSafe(keyed["__h"]), "left").drop("__h")
-    else:
-        joined = C.salted_join(docs, bad, host)
-    return joined.withColumn("kept", ~fails() & F.col("__bad").isNull()).drop("__bad")
+    at, bad = C.fresh(docs.columns, "_host"), C.fresh(docs.columns, "_bad")
+    rejected = host_rates(flags, host, "failed").where(F.col("rate") > MAX_HOST_RATE).select(F.col(host).alias(at), F.col("n").alias("docs"), F.lit(True).alias(bad))
+    rejected = C.materialise(rejected, "bad-hosts")
+    found = rejected.agg(F.count(F.lit(1)).alias("hosts"), F.sum("docs").alias("docs")).first()
+    if found.hosts <= MAX_BROADCAST_HOSTS:
+        keyed = rejected.drop("docs")
+        joined = docs.join(F.broadcast(keyed), docs[host].eqNullSafe(keyed[at]), "left").drop(at)
+    else:  # the rejected hosts' documents are a part of all, so what is hot among all is hot here
+        joined = C.spread_join(docs, rejected.withColumnRenamed(at, host), host, "docs", found.docs)
+    return joined.withColumn("kept", ~fails() & F.col(bad).isNull()).drop(bad)
 
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

@@ -76,3 +76,15 @@ def test_taken_against_target(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = M.mix(M.sized(df)).groupBy("source_size").agg(M.F.sum(M.F.col("copies") * M.F.col("size")).alias("taken"), M.F.first("target").alias("target"), M.F.max(M.F.col("copies")).alias("most")).collect()
     assert len(got) == 4 and all(abs(r.taken - r.target) <= 400 and r.most <= 2 for r in got)
+
+
+def test_stage_deals_copies_of_many_equal_rows_exactly(spark, tmp_path):
+    """One rule for groups of equal rows of any size: the copies are those that the mix takes, and a rerun's."""
+    rows = [(1, "w " * 9, "en", "hot", 1, 1)] * 1500 + [(i, "w " * (i % 9), "de", "cold", 1, 1) for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _row int, __times int").repartition(6).write.parquet(f"file://{tmp_path}/d")
+    df = spark.read.parquet(f"file://{tmp_path}/d")
+    once, again = (M.stage(spark, df, "").groupBy("doc_id", "text", "source").count().collect() for _ in range(2))
+    assert sorted(map(tuple, once)) == sorted(map(tuple, again))
+    want = M.mix(M.sized(df).where("doc_id = 1 and source = 'hot'").unionByName(M.sized(df).where("not (doc_id = 1 and source = 'hot')")))
+    target = {r.source: r.target for r in M.targets(M.sized(df)).collect()}["hot"]
+    assert abs(sum(r["count"] for r in once if r.source == "hot") * 9 - target) <= 9 and want.count() == len(rows)

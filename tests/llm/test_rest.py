@@ -8,6 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from helixframe.llm import common as C
 from helixframe.llm import hilbert_shards as H
 from helixframe.llm import quality_rules as Q
 from helixframe.llm import recurrent_lm as L
@@ -29,6 +32,25 @@ def test_counts_equal_brute_force(docs, empty):
     assert Q.apply_rules(empty).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    clash = ["__t", "__w", "__l", "__h", "__bad", "_text", "_host", "_bad", "_WORDS"]
+    df = spark.createDataFrame([(1, prose(60, 1), "s", *clash), (2, None, None, *clash)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in clash))
+    for r in Q.apply_rules(df).collect():
+        assert [r[c] for c in clash] == clash
+
+
+def test_spread_join_takes_equal_rows_maps_and_any_name(spark, tmp_path):
+    rows = [("hot", {"a": 1}, "x")] * 3000 + [(None, None, "y")] * 500 + [(f"k{i}", {}, "z") for i in range(50)]
+    left = spark.createDataFrame(rows, "key string, _key map<string,int>, _right_0 string")
+    left.write.parquet(f"file://{tmp_path}/left")
+    left = spark.read.parquet(f"file://{tmp_path}/left")
+    right = left.groupBy("key").count().where("key is null or key != 'k7'").select("key", F.lit(5).alias("_right_0 "), F.concat(F.lit("v"), F.coalesce("key", F.lit("null"))).alias("value"), F.col("count").alias("n"))
+    for total in (0, 3550, 10**9):
+        got = C.spread_join(left, right, "key", "n", total)
+        assert got.columns == ["key", "_key", "_right_0", "_right_0 ", "value"]
+        assert Counter(r.value for r in got.collect()) == {"vhot": 3000, "vnull": 500, None: 1} | {f"vk{i}": 1 for i in range(50) if i != 7}
+
+
 def test_hosts_shrink_towards_the_prior(spark):
     rows = [("good", i % 50 == 0) for i in range(1000)] + [("bad", i % 10 != 0) for i in range(1000)] + [("tiny", True)] + [(None, False)]
     rates = {r.host: r.rate for r in Q.host_rates(spark.createDataFrame(rows, "host string, failed boolean"), "host", "failed").collect()}
@@ -41,10 +63,49 @@ def test_urls(spark, empty_folder):
     assert got[None].host == got[""].host == got["no scheme"].path == ""
     assert (got["HTTP://A.Example.COM/en/1?x=/"].host, got["HTTP://A.Example.COM/en/1?x=/"].rule) == ("a.example.com", "com/en/")
     assert got["http://a.example.com/en/7/x"].verdict == "allow" and got["http://x.example.net/de/8#f"].rule == "example.net/de/8"
-    assert got["http://notcom/en/1"].rule is None and got["ftp://d.com/a/b/c/d/e"].template == "/a/b/c/**"
+    assert got["http://notcom/en/1"].rule is None and got["ftp://d.com/a/b/c/d/e"].template == "/a/b/c/d/e"
     assert U.query(spark, empty_folder).count() == 0
 
 
+def test_templates_of_five_segments_are_told_apart(spark):
+    """Deep paths have templates and verdicts of their own, and wildcards at any depth."""
+    name = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}x"
+    rows = [(f"http://h.com/a/b/c/up/{name(i)}",) for i in range(60)] + [(f"http://h.com/a/b/c/down/{i}",) for i in range(30)] + [("http://h.com/a/b/c/down",)] * 3
+    rows += [(f"http://h.com/en/x/y/z/{name(i)}/last",) for i in range(60)]
+    got = {r.template: r.verdict for r in U.judge(spark.createDataFrame(rows, "url string")).collect()}
+    assert got == {"/a/b/c/up/*": "allow", "/a/b/c/down/*": "allow", "/a/b/c/down": "allow", "/en/x/y/z/*/last": "block"}
+
+
+def brute_templates(urls):
+    """Templates by a tree of dictionaries, a level at a time."""
+    import re
+
+    paths = Counter()
+    for u in urls:
+        parts = [p for p in u.split("://")[1].split("/")[1:] if p]
+        paths[u.split("://")[1].split("/")[0], tuple("*" + re.search(r"(\.[A-Za-z]+)?$", p)[0] if re.search("[0-9]", p) else p for p in parts)] += 1
+    now = {k: k[1] for k in paths}
+    for level in range(max(len(t) for t in now.values())):
+        kids = {}
+        for k, t in now.items():
+            if len(t) > level:
+                at = kids.setdefault((k[0], t[:level]), Counter())
+                at[t[level]] += paths[k]
+        for k, t in list(now.items()):
+            if len(t) > level:
+                at = kids[k[0], t[:level]]
+                if len(at) > U.MAX_CHILDREN and at[t[level]] < U.MIN_SHARE * sum(at.values()) and not t[level].startswith("*"):
+                    now[k] = (*t[:level], "*", *t[level + 1 :])
+    return {"/" + "/".join(t) for t in now.values()}
+
+
+def test_templates_equal_brute_force(spark):
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("abcd") for _ in range(n))
+    urls = [f"http://{draw.choice('hijk')}.com/" + "/".join(word(draw.choice((1, 1, 2, 3))) + draw.choice(("", "", "", "7", "7.html")) for _ in range(draw.randint(0, 5))) for _ in range(900)]
+    assert {r.template for r in U.judge(spark.createDataFrame([(u,) for u in urls], "url string")).select("template").distinct().collect()} == brute_templates(urls)
+
+
 def test_templates_generalise_and_follow_labels(spark):
     rows = [(f"http://h.com/en/{i}",) for i in range(40)] + [(f"http://h.com/tag/name{chr(97 + i % 26)}{chr(97 + i // 26)}x",) for i in range(60)] + [("http://h.com/fr/1",)]
     got = U.judge(spark.createDataFrame(rows, "url string")).collect()
