@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
@@ -17,7 +17,7 @@ def encoded(docs: DataFrame, mapping: str = "simple", text: str = "text") -> Dat
 
 def _encode(mapping: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), mapping)
+        df = encoded(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), mapping)
         return df.select("doc_id", F.length("dna").alias("bases"), F.md5("dna").alias("dna_md5"))
 
     sql = f"SELECT doc_id, length(dna)::INT AS bases, md5(dna) AS dna_md5 FROM (SELECT doc_id, {getattr(Q, mapping)('text')} AS dna FROM documents)"
@@ -26,7 +26,7 @@ def _encode(mapping: str):
 
 def _decode(mapping: str, back: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), mapping)
+        df = encoded(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), mapping)
         df = df.select("doc_id", F.encode("text", "UTF-8").alias("payload"), getattr(D, back)(F.col("dna")).alias("decoded"))
         return df.select(
             "doc_id",
@@ -46,25 +46,31 @@ def _decode(mapping: str, back: str):
 
 def metrics(df: DataFrame, dna: str = "dna") -> DataFrame:
     """df with GC share (six decimals), longest run, and counts of runs by length."""
-    kinds = F.array_join(F.transform("__runs", lambda r: F.least(r, F.lit(5)).cast("string")), "")  # a digit a run, 5 for longer ones
-    df = df.withColumn("__runs", D.runs(F.col(dna))).withColumn("__kinds", kinds)
-    count = lambda lengths: F.length(F.translate("__kinds", "".join(set("12345") - set(lengths)), ""))
+    df = df.withColumn("__runs", D.runs(F.col(dna)))
+
+    def add(so_far: Column, run: Column) -> Column:
+        """Runs of one, two, three, four and more bases, counted in one pass."""
+        return F.struct(*[(so_far[f"c{k}"] + F.when(run == k if k < 5 else run >= k, 1).otherwise(0)).alias(f"c{k}") for k in range(1, 6)])
+
+    counts = F.aggregate("__runs", F.struct(*[F.lit(0).alias(f"c{k}") for k in range(1, 6)]), add)
+    df = df.withColumn("__counts", counts)
+    n = lambda *ks: sum((F.col(f"__counts.c{k}") for k in ks[1:]), F.col(f"__counts.c{ks[0]}"))
     return df.withColumns(
         {
             "gc": F.round(D.gc(F.col(dna)), 6),
             "longest": F.coalesce(F.array_max("__runs"), F.lit(0)),
-            "total_runs": F.length("__kinds"),
-            "runs_ge2": count("2345"),
-            "runs_ge3": count("345"),
-            "runs_ge4": count("45"),
-            **{f"len_{k}": count(str(k)) for k in range(1, 5)},
-            "len_ge5": count("5"),
+            "total_runs": F.size("__runs"),
+            "runs_ge2": n(2, 3, 4, 5),
+            "runs_ge3": n(3, 4, 5),
+            "runs_ge4": n(4, 5),
+            **{f"len_{k}": n(k) for k in range(1, 5)},
+            "len_ge5": n(5),
         }
-    ).drop("__runs", "__kinds")
+    ).drop("__runs", "__counts")
 
 
 def dna_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text", "dna")
+    return metrics(encoded(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))).drop("text", "dna")
 
 
 _COUNT = "len(list_filter(r, lambda x: x {}))::INT AS {}"
@@ -76,7 +82,7 @@ FROM m"""
 
 
 def dna_gc_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = encoded(table(spark, sf_dir, "documents").select("lang", "text"))
+    df = encoded(table(spark, sf_dir, "documents", spread=True).select("lang", "text"))
     return df.groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum(F.length("dna").cast("long")).alias("bases"),
@@ -89,7 +95,7 @@ FROM (SELECT lang, {Q.simple("text")} AS dna FROM documents) GROUP BY lang"""
 
 
 def bits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
+    df = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
     df = df.withColumn("bits", D.bits(F.col("payload")))
     cut = F.substring("bits", F.lit(1), F.greatest(F.length("bits") - 3, F.lit(0)))
     return df.select(
@@ -162,7 +168,7 @@ SELECT item_id, length(bits)::INT AS n_bits, {_crc8_sql("bits")}::INT AS crc, {_
 def crc32_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile packets (payload and CRC-32), and the low 8 and 16 bits of the CRC-32 of the bits as text."""
     payload = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    df = table(spark, sf_dir, "documents").select("doc_id", payload.alias("payload"))
+    df = table(spark, sf_dir, "documents", spread=True).select("doc_id", payload.alias("payload"))
     crc, of_bits = F.crc32("payload"), F.crc32(D.bits(F.col("payload")).cast("binary"))
     return df.select(
         "doc_id",

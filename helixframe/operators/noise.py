@@ -76,7 +76,7 @@ def substitution_noise(df: DataFrame, keys: list[str], sequence: str, rate: floa
 
 def noise_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy sequence and number of changes of each benchmark text."""
-    df = table(spark, sf_dir, "benchmark").select("item_id", D.simple(F.coalesce("text", F.lit(""))).alias("dna"))
+    df = table(spark, sf_dir, "benchmark", spread=True).select("item_id", D.simple(F.coalesce("text", F.lit(""))).alias("dna"))
     out = substitution_noise(df, ["item_id"], "dna")
     changed = _count("places", lambda x: x["changed"]).alias("substituted")
     return out.select("item_id", F.size("places").cast("long").alias("bases"), changed, _joined("places", "base").alias("noisy_dna"))
@@ -220,7 +220,7 @@ def reads(df: DataFrame, keys: list[str], coverage: int = COVERAGE, dropout: flo
 
 
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "benchmark").select("item_id", D.simple(F.coalesce("text", F.lit(""))).alias("dna"))
+    df = table(spark, sf_dir, "benchmark", spread=True).select("item_id", D.simple(F.coalesce("text", F.lit(""))).alias("dna"))
     return S.strands(df)
 
 

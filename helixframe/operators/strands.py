@@ -42,7 +42,7 @@ def strands(df: DataFrame, capacity: int = CAPACITY, dna: str = "dna") -> DataFr
 
 def of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strands of every turn; the message is the pair conv_id, turn."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations", spread=True)
     return strands(turns.select("conv_id", "turn", D.simple(F.coalesce("text", F.lit(""))).alias("dna")))
 
 
@@ -57,7 +57,7 @@ strands AS (SELECT *, length(full_strand)::INT AS total_len, round(length(transl
 
 def strand_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document's sequence, as counts and digests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", D.simple(F.coalesce("text", F.lit(""))).alias("dna"))
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", D.simple(F.coalesce("text", F.lit(""))).alias("dna"))
     return split(docs).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_strands"), F.min(F.length("payload")).alias("shortest"), F.max(F.length("payload")).alias("longest"), F.max_by("payload", "no").alias("last_payload")
     )
@@ -92,7 +92,7 @@ def length_search(lengths: DataFrame, fixed: int = FIXED, low: int = MIN_TOTAL,
 
 
 def strand_length_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return length_search(docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) * 4 + 1).alias("dna_len")))
 
 

@@ -56,7 +56,7 @@ TURN_TOKENS = _tokens_sql("conv_id, turn", "conversations")
 
 
 def tokens_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = tokens(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("token").alias("distinct_tokens"), F.max_by("token", "pos").alias("last_token"), F.sum(F.length("token")).alias("chars"))
 
 
@@ -64,7 +64,7 @@ TOKENS_SQL = f"WITH {DOC_TOKENS} SELECT doc_id, count(*) AS tokens, count(DISTIN
 
 
 def tokens_language_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(table(spark, sf_dir, "documents").select("lang", "text"))
+    t = tokens(table(spark, sf_dir, "documents", spread=True).select("lang", "text"))
     return t.groupBy("lang", language_class(F.col("token")).alias("class")).agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("token").alias("distinct_tokens"))
 
 
@@ -128,11 +128,11 @@ vocab AS (SELECT token_id, token FROM fixed UNION ALL SELECT token_id::INT, toke
 
 
 def _turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    return tokens(table(spark, sf_dir, "conversations", spread=True).select("conv_id", "turn", "text"))
 
 
 def vocab_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary(tokens(table(spark, sf_dir, "documents").select("text")))
+    return vocabulary(tokens(table(spark, sf_dir, "documents", spread=True).select("text")))
 
 
 ORDER = ("special", "punct", "number", "en", "vi", "fr", "zh", "ko")
@@ -277,7 +277,7 @@ def cleanup(text: Column) -> Column:
 
 
 def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", cleanup(F.col("text")).alias("t"))
+    df = table(spark, sf_dir, "documents", spread=True).select("doc_id", cleanup(F.col("text")).alias("t"))
     return df.select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("clean_md5"))
 
 
