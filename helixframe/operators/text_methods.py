@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dna as D
 from ..functions import duck as Q
-from ..sources.scratch import written
+from ..sources.files import read_dna_files, write_dna_files
+from ..sources.scratch import new_path, written
 from ..sources.tables import table
 from . import noise as N
 from . import tokens as T
@@ -212,6 +213,18 @@ def text_method_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(codecs, noisy_at(codecs.packages(turns, KEYS, PLAIN), KEYS), KEYS)
 
 
+def dna_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages written as sequence and metadata files, read again, and decoded from these alone."""
+    turns = _turns(spark, sf_dir)
+    codecs = Codecs(turns)
+    path = new_path(spark, "dna-files")
+    made = codecs.packages(turns, KEYS, PLAIN).select(*KEYS, "method", "tokens", "codec_bits", "codec_dna")
+    write_dna_files(made, path, [*KEYS, "method"], "codec_dna")
+    back = read_dna_files(spark, path, "conv_id long, turn long, method string, tokens int, codec_bits int")
+    text = codecs.decode(F.col("method"), F.col("dna"), F.col("tokens"))
+    return back.select(*KEYS, "method", (F.length("dna") * 2 == F.col("codec_bits")).alias("bits_match"), "whole", F.md5(text).alias("decoded_md5"))
+
+
 _CODED = f"""{T.SPARSE_CTE},
 dense AS (SELECT conv_id, turn, count(*) AS n, string_agg(lpad(bin(coalesce(token_id, 1)), 12, '0'), '' ORDER BY pos) AS bits FROM tokens LEFT JOIN vocab USING (token) GROUP BY conv_id, turn),
 sparse AS (SELECT conv_id, turn, string_agg(lpad(bin(code), {T.CODE_BITS}, '0'), '' ORDER BY pos) AS bits FROM coded GROUP BY conv_id, turn),
@@ -258,5 +271,6 @@ QUERIES = {
     "text_packages": (text_packages, PACKAGES_SQL),
     "text_package_decode": (text_package_decode, DECODE_SQL),
     "text_package_zlib": (text_package_zlib, None),
+    "dna_file_roundtrip": (dna_file_roundtrip, f"SELECT conv_id, turn, method, true AS bits_match, true AS whole, decoded_md5 FROM ({DECODE_SQL})"),
     "text_method_benchmark": (text_method_benchmark, BENCHMARK_SQL),
 }

@@ -87,13 +87,13 @@ def texts(files: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, name: str, by_file: bool) -> DataFrame:
     """rows with their number from 1 as `name`: in their file, or in all files by path, however these are split.
 
-    Only the counts by file and split (a row each) are ordered and broadcast.
+    Only the counts by file and split (a row each) are ordered and joined back.
     """
     placed = rows.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()}).withColumn("__split", F.shiftright("__at", 33))
     splits = placed.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
     order = (Window.partitionBy("__file") if by_file else Window.orderBy("__file")).orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("__file", "__split", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first") + 1).alias("__add"))
-    return placed.join(F.broadcast(splits), ["__file", "__split"]).withColumn(name, F.col("__at") + F.col("__add")).drop("__file", "__split", "__at", "__add")
+    return placed.join(splits, ["__file", "__split"]).withColumn(name, F.col("__at") + F.col("__add")).drop("__file", "__split", "__at", "__add")
 
 
 def strand_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -142,10 +142,41 @@ def strand_table(strands: DataFrame) -> DataFrame:
     return df.select(*[f"`{c}`" for c in STRAND_COLUMNS], *[c for c in df.columns if c not in STRAND_COLUMNS])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Nested columns as JSON."""
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """Nested columns as JSON. bom: every file begins with the mark that has spreadsheets read it as UTF-8."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes]
-    df.select(*flat).write.csv(path, header=True)
+    names = [("\ufeff" if bom and i == 0 else "") + c for i, c in enumerate(df.columns)]
+    df.select(*flat).toDF(*names).write.csv(path, header=True)
+
+
+def write_dna_files(packages: DataFrame, path: str, keys: list[str], dna: str = "dna") -> None:
+    """Sequences and what is needed to read them, apart: lines of key and sequence in `dna`, the other columns as JSON lines in
+    `meta`, with the sequence's length and SHA-256. The key is that of JSON, so any columns may be it."""
+    key = F.to_json(F.struct(*keys))
+    packages.select(F.concat_ws("\t", key, dna).alias("value")).write.text(f"{path}/dna")
+    meta = [F.col(c) for c in packages.columns if c != dna]
+    packages.select(*meta, key.alias("key"), F.length(dna).alias("dna_length"), F.sha2(dna, 256).alias("dna_sha256")).write.json(f"{path}/meta")
+
+
+def read_dna_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of `schema`, dna, and whole: whether the sequence has the length and digest that its metadata names.
+
+    Lower case and whatever isn't a base goes, as in any sequence file; metadata without a sequence has dna null and whole false.
+    """
+    parts = F.split("value", "\t", 2)
+    found = spark.read.text(f"{path}/dna").select(F.get(parts, F.lit(0)).alias("key"), D.bases_only(F.get(parts, F.lit(1))).alias("dna"))
+    meta = spark.read.schema(f"{schema}, key string, dna_length long, dna_sha256 string").json(f"{path}/meta")
+    whole = F.coalesce((F.length("dna") == F.col("dna_length")) & (F.sha2("dna", 256) == F.col("dna_sha256")), F.lit(False))
+    return meta.join(found, "key", "left").withColumn("whole", whole).drop("key", "dna_length", "dna_sha256")
+
+
+def write_reports(path: str, benchmark: DataFrame, inspection: dict[str, DataFrame] | None = None, texts: DataFrame | None = None) -> None:
+    """A benchmark's rows and an inspection's tables as CSV, each in its folder, and texts (name, text) as one file a name's folder."""
+    write_csv(benchmark, f"{path}/benchmark_results", bom=True)
+    for name, rows in (inspection or {}).items():
+        write_csv(rows, f"{path}/{name}", bom=True)
+    if texts is not None:
+        texts.select("name", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("name").text(f"{path}/texts", lineSep="\n")
 
 
 def cluster_lines(read: DataFrame, order: str = "source_no") -> DataFrame:
