@@ -3,16 +3,17 @@
 Documents are dealt over the partitions, and ordered within, by a hash, so that each partition and any stretch of it has
 every source's share, however the input is ordered. A partition tokenises its documents as they come and queues them by
 source. A window of WINDOW tokens is
-filled in turns: every source's deficit grows by its share of the window, and sources with a deficit are served in
-round-robin order, a piece at least PIECE tokens long (or what is left of a document) at a time, so that a source
-with a small share waits until a piece is due. What a source got too much or too little is carried to the next
-window. At the end of a partition the rest that fills no window goes, with the deficits, to a second pass, where the
-rests of up to GATHER partitions are packed on by the same rule; only there a sequence can end short. Sequences are
+filled in turns: every source's deficit grows by its share of the window, and each source in turn gets the tokens that it is
+owed, in one piece where its document has so many. A source is served once it is owed its share of a window, so with shares
+of LEAST tokens and more every window holds every source; a smaller one waits until LEAST tokens or the rest of a document
+are due. What a source got too much or too little is carried to the next window. A partition packs windows while its queues hold
+sources of most of the shares, and hands on the rest (at most REST tokens) with the deficits; in a second pass the rests of up to GATHER
+partitions are packed on by the same rule, with shares of what is left, so that all sources end together; only there a sequence can end short. Sequences are
 gapless, and every token lies in exactly one piece.
 
 Targets are each source's share of the bytes (pass `targets` to ask for others; a source that runs dry leaves its
-share to the rest, since everything is packed). Up to MAX_QUEUES sources have queues of their own, the smaller ones
-share one, so memory is bounded: a partition holds at most HOLD queued tokens and one batch of texts.
+share to the rest, since everything is packed). The MAX_QUEUES largest sources have queues of their own; smaller ones, whose
+shares are under a token a window, share one. So memory is bounded: a partition holds at most HOLD queued tokens and one batch of texts.
 Texts are shuffled once, tokens only in the rests; a recomputed task gives the same pieces.
 
 Edge cases: a null or empty text is its end token only; a null source is a source of its own; a text of any length is cut over
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, PIECE = 1024, 128
+WINDOW, LEAST = 1024, 16
 END = 0
 HOLD = 1 << 18
-GATHER, MAX_QUEUES = 64, 1000
+#: A partition's rest, and the share of the targets whose sources must be at hand to pack windows from no more than that.
+REST, AT_HAND = 1 << 17, 0.9
+GATHER, MAX_QUEUES = 64, WINDOW
 CACHED_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, sequence long, offset long, queue int, rest binary, deficit double"
@@ -133,40 +136,43 @@ class Mixer:
         self.queued += len(ids) // 4
 
     def _take(self, queue: int, most: int, offset: int) -> int:
-        doc_id, start, ids, doc_tokens = self.queues[queue].popleft()
+        docs = self.queues[queue]
+        doc_id, start, ids, doc_tokens = docs[0]
         n = min(most, len(ids) // 4)
-        piece, left = ids[: 4 * n], ids[4 * n :]
-        if left:
-            self.queues[queue].appendleft((doc_id, start + n, left, doc_tokens))
+        piece = ids[: 4 * n]
+        if 4 * n < len(ids):
+            docs[0] = (doc_id, start + n, ids[4 * n :], doc_tokens)
+        else:
+            docs.popleft()
         self.pieces.append((doc_id, start, n, zlib.crc32(piece), doc_tokens, self.sequence, offset))
         self.deficit[queue] -= n
         self.queued -= n
         return n
 
+    def at_hand(self) -> float:
+        """Share of the targets whose sources have something queued."""
+        return sum(self.shares.get(q, 0.0) for q, docs in self.queues.items() if docs)
+
     def window(self) -> None:
         """Fill the next sequence, as far as the queues go."""
         live = [q for q, docs in self.queues.items() if docs]
         whole = sum(self.shares.get(q, 0.0) for q in live)
-        for q in live:
-            self.deficit[q] += WINDOW * (self.shares.get(q, 0.0) / whole if whole else 1 / len(live))
-        at = 0
-        while at < WINDOW and self.queued:
-            served = False
-            for k in range(len(live)):
-                q = live[(self.turn + k) % len(live)]
-                if not self.queues[q]:
-                    continue
-                due = min(PIECE, len(self.queues[q][0][2]) // 4, WINDOW - at)
-                if self.deficit[q] >= due:
-                    at += self._take(q, min(WINDOW - at, max(due, int(self.deficit[q]))), at)
-                    served = True
-                    if at == WINDOW:
-                        break
-            if at < WINDOW and not served:  # nothing is due: who is owed most goes first, and owes it later
-                q = max((q for q in live if self.queues[q]), key=lambda q: self.deficit[q], default=None)
-                if q is None:
-                    break
-                at += self._take(q, min(WINDOW - at, PIECE), at)
+        own = {q: WINDOW * (self.shares.get(q, 0.0) / whole if whole else 1 / len(live)) for q in live}
+        at, n = 0, len(live)
+        for k in range(n):
+            q = live[(self.turn + k) % n]
+            self.deficit[q] += own[q]
+            due, room = round(self.deficit[q]), WINDOW - at
+            if due < min(max(LEAST, int(own[q])), len(self.queues[q][0][2]) // 4):
+                continue
+            if due > room or (k == n - 1 and room - due <= LEAST):  # what rounding has left goes to the last in turn
+                due = room
+            while due > 0 and self.queues[q]:
+                taken = self._take(q, due, at)
+                at, due = at + taken, due - taken
+        while at < WINDOW and self.queued:  # nothing is due: who is owed most goes first, and owes it later
+            q = max((q for q in live if self.queues[q]), key=self.deficit.__getitem__)
+            at += self._take(q, min(WINDOW - at, max(LEAST, int(self.deficit[q]))), at)
         self.turn += 1
         self.sequence += 1
         for q in live:
@@ -205,7 +211,7 @@ def _pack(shares: dict[int, float], queue_of: dict):
                     while mixer.queued > HOLD // 2:
                         mixer.window()
                     yield _frame(mixer, part)
-        while mixer.queued >= WINDOW:
+        while mixer.queued >= REST or (mixer.queued >= WINDOW and mixer.at_hand() >= AT_HAND):
             mixer.window()
         yield _frame(mixer, part)
         yield _rests(mixer, part)
@@ -213,10 +219,11 @@ def _pack(shares: dict[int, float], queue_of: dict):
     return run
 
 
-def _gather(shares: dict[int, float], first: int):
+def _gather(first: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "queue", "offset"], ignore_index=True)
-        mixer, group = Mixer(shares), first + int(pdf["part"].iat[0]) // GATHER
+        left = pdf.groupby("queue")["length"].sum()
+        mixer, group = Mixer((left / max(1, left.sum())).to_dict()), first + int(pdf["part"].iat[0]) // GATHER
         for (_, queue), own in pdf.groupby(["part", "queue"], sort=True):
             mixer.deficit[queue] = mixer.deficit.get(queue, 0.0) + float(own["deficit"].iat[0])
         for r in pdf[pdf["length"] > 0].itertuples():
@@ -250,7 +257,7 @@ def pack(docs: DataFrame, targets: dict | None = None) -> DataFrame:
     first = 1 << 20  # gathered sequences are numbered after every partition's own
     gathered = rest.withColumn("__g", F.floor(F.col("part") / GATHER)).groupBy("__g")
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
-    ends = gathered.applyInPandas(lambda pdf: _gather(shares, first)(pdf[names]), _SCHEMA)
+    ends = gathered.applyInPandas(lambda pdf: _gather(first)(pdf[names]), _SCHEMA)
     done = packed.where(F.col("rest").isNull()).unionByName(ends)
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.shiftleft("part", 32) + F.col("sequence")).alias("sequence_id"), "offset")
 

@@ -55,8 +55,6 @@ def test_windows_hold_the_target_shares():
     for _ in range(300):
         mixer.window()
     got = Counter()
-    for (_, _, n, _, _, _, _), q in zip(mixer.pieces, [None] * len(mixer.pieces)):
-        got[q] += n
     left = {q: sum(len(ids) // 4 for _, _, ids, _ in docs) for q, docs in mixer.queues.items()}
     taken = {q: 200_000 - n for q, n in left.items()}
     assert all(abs(taken[q] / sum(taken.values()) - s) < 0.01 for q, s in mixer.shares.items())
@@ -83,6 +81,21 @@ def test_windows_hold_the_target_shares_of_an_input_sorted_by_source(spark):
     assert mean < 0.06 and most < 0.4
 
 
+def test_twenty_sources_of_long_texts_share_every_window(spark):
+    """Total variation between a full window's shares and the targets, on average."""
+    rows = [(s * 1000 + i, f"s{s:02d}", prose(200 + 37 * (i * (s + 3) % 50), s * 1000 + i)) for s in range(20) for i in range(30)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, source string, text string")
+    packed = P.pack(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    whole, windows = Counter(), {}
+    for r in packed:
+        whole[r.source] += r.length
+        windows.setdefault(r.sequence_id, Counter())[r.source] += r.length
+    total = sum(whole.values())
+    off = [sum(abs(w[s] / P.WINDOW - whole[s] / total) for s in whole) / 2 for w in windows.values() if sum(w.values()) == P.WINDOW]
+    print("mean, largest total variation:", sum(off) / len(off), max(off))
+    assert sum(off) / len(off) < 0.1 and len(off) > 500
+
+
 def test_an_empty_queue_hands_on_what_it_owes():
     mixer = P.Mixer({0: 0.5, 1: 0.5})
     mixer.add(0, 1, 0, b"\1\0\0\0" * 1100, 1100)
