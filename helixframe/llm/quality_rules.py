@@ -111,7 +111,11 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source") -> Da
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: rejected documents go, the others keep their columns."""
-    return apply_rules(docs).where("kept").select(*docs.columns)
+    plain = C.fresh(["text", "source", "kept", "base_failed", *COUNTS], "_row")
+    own = docs.select(F.struct(*docs.columns).alias(plain), F.col("text").alias("text"), F.col("source").alias("source"))
+    counted = C.materialise(with_counts(own).drop("text"), "rule-counts")  # written with their documents, so texts are counted once
+    kept = judge(counted, counted.select("source", fails().alias("failed")), "source").where("kept")
+    return kept.select(*[F.col(plain)[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

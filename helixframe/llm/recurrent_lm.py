@@ -14,6 +14,7 @@ time with another of ROUNDS even parts of the training documents, so every one o
 Documents are scored whole, many at a time in lanes; a document's state is carried across windows to its end. A chunk
 of documents takes memory in proportion to its tokens (CHUNK, or one longer text), not to its longest text times lanes.
 
+What is learnt depends on how the input is parted, since each partition learns by itself; on the same files it is the same.
 Edge cases: null and empty texts are their end token; a null doc_id counts as an empty text in the hash; without
 training documents every token is unknown; repeated rows score alike; an empty table gives an empty result.
 """
@@ -45,8 +46,8 @@ WINDOW, TRAIN_LANES, STEP, DECAY = 32, 256, 0.03, 10
 LANES, SCORE_WINDOW, CHUNK = 512, 64, 2_000_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 1 << 19
-#: Partial averages of the partitions' weights that reach the driver at once.
-AVERAGES = 8
+#: Partial sums of the partitions' weights that a task folds into one, and that reach the driver at once.
+FOLD, AVERAGES = 16, 8
 PROFILE = 64
 SEED = 9
 END = b"\n"
@@ -430,15 +431,23 @@ def _profiles(ending_of):
         total = np.zeros((ENDINGS, PROFILE))
         for pdf in batches:
             total += profile(_coded(pdf), ending_of.value)
-        yield pd.DataFrame({"profile": [total.astype("<f4").tobytes()]})
+        yield pd.DataFrame({"profile": [total.astype("<f8").tobytes()]})
 
     return run
 
 
 def _sum_arrays(df: DataFrame, schema: str, add) -> list:
-    """Rows of `df` folded by `add` (pandas frame to one-row frame) within AVERAGES groups, then sent to the driver."""
-    groups = df.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(AVERAGES))).groupBy("__g")
-    return groups.applyInPandas(add, schema).collect()
+    """Rows of `df`, one a partition, folded by `add` (pandas frame to one-row frame) in a tree of FOLD branches; the driver gets at most AVERAGES."""
+    rows = C.materialise(df.withColumn("__g", F.spark_partition_id().cast("long")), "partial-sums")
+    left = (rows.agg(F.max("__g")).first()[0] or 0) + 1
+
+    def folded(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return add(pdf.drop(columns="__g")).assign(__g=key[0])
+
+    while left > AVERAGES:
+        groups = rows.withColumn("__g", F.floor(F.col("__g") / FOLD)).groupBy("__g")
+        rows, left = groups.applyInPandas(folded, f"{schema}, __g long"), -(-left // FOLD)
+    return rows.drop("__g").collect()
 
 
 def frequent_from(counts: DataFrame) -> int:
@@ -488,10 +497,10 @@ def classes(train: DataFrame, v: Vocabulary) -> np.ndarray:
     shared = train.sparkSession.sparkContext.broadcast(v.endings())
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"profile": [sum(np.frombuffer(p, "<f4") for p in pdf["profile"]).astype("<f4").tobytes()]})
+        return pd.DataFrame({"profile": [sum(np.frombuffer(p, "<f8") for p in pdf["profile"]).tobytes()]})
 
     parts = _sum_arrays(train.select("codes").mapInPandas(_profiles(shared), "profile binary"), "profile binary", add)
-    return class_map(sum((np.frombuffer(r["profile"], "<f4").astype(float) for r in parts), np.zeros(ENDINGS * PROFILE)).reshape(ENDINGS, PROFILE), v.mass)
+    return class_map(sum((np.frombuffer(r["profile"], "<f8") for r in parts), np.zeros(ENDINGS * PROFILE)).reshape(ENDINGS, PROFILE), v.mass)
 
 
 def train_network(train: DataFrame, tables, net: Network) -> Network:
@@ -512,13 +521,13 @@ def train_network(train: DataFrame, tables, net: Network) -> Network:
             if held:
                 learn(docs)
             if n + held:
-                yield pd.DataFrame({"weights": [(_pack(learn.net.w) * np.float32(n + held)).astype("<f4").tobytes()], "n": [n + held]})
+                yield pd.DataFrame({"weights": [(_pack(learn.net.w).astype("<f8") * (n + held)).tobytes()], "n": [n + held]})
 
         return run
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(w, "<f4").astype(np.float64) for w in pdf["weights"])
-        return pd.DataFrame({"weights": [total.astype("<f8").tobytes()], "n": [pdf["n"].sum()]})
+        total = sum(np.frombuffer(w, "<f8") for w in pdf["weights"])
+        return pd.DataFrame({"weights": [total.tobytes()], "n": [pdf["n"].sum()]})
 
     for k in range(ROUNDS):
         part = train.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k)
