@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna as D
 from ..functions import duck as Q
+from ..sources.scratch import written
 from ..sources.tables import table
 from . import strands as S
 
@@ -97,20 +98,21 @@ def mutate(df: DataFrame, keys: list[str], sequence: str, sub: float = SUBSTITUT
     """df with `places`, an array of (pos, base, op: substitution, deletion or null, inserted: a base or null, out: what
     the base becomes), drawn within the row.
 
-    A base is deleted or not, else substituted or not, and a base may be inserted behind it, each by a draw of its own.
+    A base is deleted or not, else substituted or not, and a base may be inserted behind it, each by a draw of its own: the
+    four parts of one digest decide deletion, substitution, insertion, and the new bases.
     """
     k = [F.col(c) for c in keys]
+    part = lambda digest, n: F.substring(digest, 8 * n + 1, 8)
 
     def draw(base: Column, i: Column) -> Column:
-        behind = _digest(seed + 2, k, i)
-        op = F.when(_below(_digest(seed + 1, k, i), dele), "deletion").when(_below(_digest(seed, k, i), sub), "substitution")
-        inserted = F.when(_below(behind, ins), F.substring(F.lit(D.BASES), (_second(behind) % 4 + 1).cast("int"), F.lit(1)))
-        return F.struct((i + 1).alias("pos"), base.alias("base"), op.alias("op"), inserted.alias("inserted"))
+        return F.struct(base.alias("base"), (i + 1).alias("pos"), _digest(seed, k, i).alias("digest"))
 
     def become(p: Column) -> Column:
-        other = _substitute(p["base"], _second(_digest(seed, k, p["pos"] - 1)))
-        kept = F.when(p["op"] == "deletion", "").when(p["op"] == "substitution", other).otherwise(p["base"])
-        return p.withField("out", F.concat(kept, F.coalesce(p["inserted"], F.lit(""))))
+        op = F.when(_below(part(p["digest"], 0), dele), "deletion").when(_below(part(p["digest"], 1), sub), "substitution")
+        new = F.conv(part(p["digest"], 3), 16, 10).cast("long")
+        inserted = F.when(_below(part(p["digest"], 2), ins), F.substring(F.lit(D.BASES), (F.floor(new / 3) % 4 + 1).cast("int"), F.lit(1)))
+        kept = F.when(op == "deletion", "").when(op == "substitution", _substitute(p["base"], new)).otherwise(p["base"])
+        return F.struct(p["pos"].alias("pos"), p["base"].alias("base"), op.alias("op"), inserted.alias("inserted"), F.concat(kept, F.coalesce(inserted, F.lit(""))).alias("out"))
 
     return df.withColumn("places", F.transform(F.transform(_bases(F.col(sequence)), draw), become))
 
@@ -144,9 +146,9 @@ def noise_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _K = "conv_id || '|' || turn || '|' || no || '|' || length(payload) || '|' || pos"
 MUTATED_SQL = f"""{S.STRANDS_SQL},
 b AS (SELECT conv_id, turn, no, payload, pos, substr(full_strand, pos, 1) AS base FROM strands, unnest(range(1, length(full_strand) + 1)) AS u(pos)),
-d AS (SELECT *, {Q.uniform(SEED + 1, _K, 1)} AS du, {Q.uniform(SEED, _K, 1)} AS su, {Q.uniform(SEED, _K, 9)} AS sv, {Q.uniform(SEED + 2, _K, 1)} AS iu, {Q.uniform(SEED + 2, _K, 9)} AS iv FROM b),
+d AS (SELECT *, {Q.uniform(SEED, _K, 1)} AS du, {Q.uniform(SEED, _K, 9)} AS su, {Q.uniform(SEED, _K, 17)} AS iu, {Q.uniform(SEED, _K, 25)} AS sv FROM b),
 o AS (SELECT *, CASE WHEN du < {_bound(DELETION)} THEN 'deletion' WHEN su < {_bound(SUBSTITUTION)} THEN 'substitution' END AS op,
-  CASE WHEN iu < {_bound(INSERTION)} THEN substr('ACGT', (iv % 4 + 1)::INT, 1) END AS inserted,
+  CASE WHEN iu < {_bound(INSERTION)} THEN substr('ACGT', (sv // 3 % 4 + 1)::INT, 1) END AS inserted,
   CASE WHEN pos <= 20 THEN 'FBR' WHEN pos <= 28 THEN 'SI' WHEN pos <= 28 + length(payload) THEN 'Payload' ELSE 'RBR' END AS region FROM d),
 mutated AS (SELECT *, (CASE WHEN op = 'deletion' THEN '' WHEN op = 'substitution' THEN {_SUB.format(b="base", v="sv")} ELSE base END) || coalesce(inserted, '') AS out FROM o)"""
 EVENTS_SQL = f"""{MUTATED_SQL},
@@ -228,6 +230,12 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(_templates(spark, sf_dir), ["item_id", "no"])
 
 
+def _written_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Reads and their templates, drawn once for all that a dataflow does with them."""
+    templates = written(_templates(spark, sf_dir), "templates")
+    return written(reads(templates, ["item_id", "no"]), "reads"), templates
+
+
 def reads_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reads(spark, sf_dir).drop("template")
 
@@ -245,11 +253,11 @@ reads AS (SELECT item_id, no, copy_no, full_strand, string_agg(CASE WHEN u < {_b
 
 def reads_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempted, dropped and lost; errors and their observed rate."""
-    r = _reads(spark, sf_dir)
+    r, templates = _written_reads(spark, sf_dir)
     own = r.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("reads"), F.count_distinct("no").alias("strands_with_reads"), F.sum("n_sub").alias("substitutions"), F.sum(F.length("template")).alias("nt")
     )
-    all_ = _templates(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("input_strands"))
+    all_ = templates.groupBy("item_id").agg(F.count(F.lit(1)).alias("input_strands"))
     z = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return all_.join(own, "item_id", "left").select(
         "item_id",
@@ -287,6 +295,7 @@ def nearest_prefix(read: DataFrame, templates: DataFrame, message: str, limit: i
     own = read.withColumn("rp", F.substring("seq", 1, PREFIX))
     keys = read.columns
     exact = own.join(t.groupBy(message, F.col("prefix").alias("rp")).agg(F.min("assigned").alias("assigned")), [message, "rp"], "left").withColumn("edits", F.when(F.col("assigned").isNotNull(), 0))
+    exact = written(exact, "exact-prefixes")
     off = exact.where("assigned IS NULL").select(*keys, "rp")
 
     def best(pairs: DataFrame, most: int) -> DataFrame:
@@ -298,15 +307,15 @@ def nearest_prefix(read: DataFrame, templates: DataFrame, message: str, limit: i
     part = lambda sequence, h, move: F.struct(F.lit(h).alias("h"), F.substring(sequence, begin + 1 + h * half + move, half).alias("half"))
     halves = t.withColumn("part", F.explode(F.array(*[part("prefix", h, 0) for h in (0, 1)])))
     moved = off.withColumn("part", F.explode(F.array_distinct(F.array(*[part("rp", h, m) for h in (0, 1) for m in (-1, 0, 1)]))))
-    near = best(moved.join(halves, [message, "part"]), 1)
+    near = written(best(moved.join(halves, [message, "part"]), 1), "near-prefixes")
     far = off.join(near.select(*keys), keys, "left_anti")
     other = far.select(*keys).join(best(far.join(t, message), limit), keys, "left")
     return exact.where("assigned IS NOT NULL").select(*keys, "assigned", "edits").unionByName(near).unionByName(other)
 
 
 def cluster_index_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _reads(spark, sf_dir).select("item_id", "no", "copy_no", "seq")
-    return nearest_prefix(r, _templates(spark, sf_dir), "item_id").drop("seq")
+    r, templates = _written_reads(spark, sf_dir)
+    return nearest_prefix(r.select("item_id", "no", "copy_no", "seq"), templates, "item_id").drop("seq")
 
 
 INDEX_AWARE_SQL = f"""{READS_SQL},
@@ -327,9 +336,10 @@ def cluster_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
     Strands are found through shared q-grams other than the primers', which all strands have and which are only
     counted. Strands that share no more than those differ by their sizes alone, so one of each size competes."""
     common = F.array(*[F.lit(g) for p in (D.FORWARD_PRIMER, D.REVERSE_PRIMER) for g in sorted({p[i : i + Q_GRAM] for i in range(len(p) - Q_GRAM + 1)})])
-    r = _reads(spark, sf_dir).select("item_id", "no", "copy_no", q_grams(F.col("seq")).alias("g"), F.length("seq").alias("n"))
+    read_rows, templates = _written_reads(spark, sf_dir)
+    r = read_rows.select("item_id", "no", "copy_no", q_grams(F.col("seq")).alias("g"), F.length("seq").alias("n"))
     r = r.select("item_id", "no", "copy_no", "n", F.size("g").alias("gs"), F.size(F.array_intersect("g", common)).alias("base"), F.array_except("g", common).alias("g"))
-    t = _templates(spark, sf_dir).select("item_id", F.col("no").alias("assigned"), q_grams(F.col("full_strand")).alias("tg"), F.length("full_strand").alias("tn"))
+    t = templates.select("item_id", F.col("no").alias("assigned"), q_grams(F.col("full_strand")).alias("tg"), F.length("full_strand").alias("tn"))
     t = t.select("item_id", "assigned", "tn", F.size("tg").alias("ts"), F.array_except("tg", common).alias("tg"))
     read = ["item_id", "no", "copy_no", "n", "gs", "base"]
     a = r.select(*read, F.explode_outer("g").alias("gram")).where("gram IS NOT NULL")
@@ -391,7 +401,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def consensus_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus(_reads(spark, sf_dir).select("item_id", "no", "seq"), _templates(spark, sf_dir), ["item_id", "no"])
+    r, templates = _written_reads(spark, sf_dir)
+    return consensus(r.select("item_id", "no", "seq"), templates, ["item_id", "no"])
 
 
 CONSENSUS_SQL = f"""{READS_SQL},

@@ -9,15 +9,16 @@ from ..functions import dna as D
 from ..functions import duck as Q
 from ..operators import noise as N
 from ..operators import strands as S
+from ..sources.scratch import written
 from ..sources.tables import table
 
 
 def read_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts: strands, reads, clusters by index, consensus, payload again; byte accuracy of each."""
     texts = table(spark, sf_dir, "benchmark").select("item_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
-    templates = S.strands(texts.select("item_id", D.simple(F.col("payload")).alias("dna")))
-    read = N.reads(templates, ["item_id", "no"])
-    clustered = N.nearest_prefix(read.select("item_id", "no", "copy_no", "seq"), templates, "item_id").where("assigned IS NOT NULL")
+    templates = written(S.strands(texts.select("item_id", D.simple(F.col("payload")).alias("dna"))), "templates")
+    read = written(N.reads(templates, ["item_id", "no"]), "reads")
+    clustered = written(N.nearest_prefix(read.select("item_id", "no", "copy_no", "seq"), templates, "item_id").where("assigned IS NOT NULL"), "clusters")
     made = N.consensus(clustered.select("item_id", F.col("assigned").alias("no"), "seq"), templates, ["item_id", "no"])
     joined = made.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("strands_read"),
