@@ -1,15 +1,16 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Language and source (hashed to cells) and size (logarithmic) are quantised to BITS bits each; a text's copies take the
+Language, source and size are quantised to BITS bits each: values of language and source by their rank in lexical order (beyond
+2**BITS values neighbours share a cell), sizes by their logarithm; a text's copies take the
 cell of the copy with the least doc_id, so equal texts have one index. Rows are sorted by (index, text hash, doc_id) and
-the order is cut into runs of near equal bytes. A cut falls between texts as long as a text's copies hold at most
-LOOSE of a shard; larger groups of copies are cut within, since no shard could stay near its share otherwise.
+the order is cut into runs of near equal bytes. One rule holds for all groups of copies: a cut that falls within a group moves to
+the nearer end of the group if that is at most MOVE of a shard away, otherwise it stays, since no shard could be near its share.
 The law is `bytes`: sizes are near equal.
 
 The sort is a range partitioning by the full key, so a text that is a third of all rows is spread as well. The driver
 gets a row of totals per range (at most MAX_RANGES) and a row per shard.
 Edge cases: a null text has no bytes and equals the empty text; null language and source are values of their own;
-repeated rows are rows of their own; an empty table gives an empty result.
+repeated rows are rows of their own, of any number; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +27,8 @@ from . import common as C
 
 BITS = 5
 SHARDS = 24
-#: Copies of a text stay together while they hold at most this share of a shard.
-LOOSE = 0.005
+#: A cut moves by at most this share of a shard to keep the copies of a text together.
+MOVE = 0.02
 ROWS_A_RANGE, MAX_RANGES = 20_000, 4096
 
 
@@ -79,6 +80,27 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf
 
 
+def shard_of(at: Column, start: Column, end: Column, total_bytes: int, shards: int) -> Column:
+    """Shard of a row by the bytes before it and before and up to the end of its text's copies."""
+    number = lambda x: F.floor(x * F.lit(shards) / F.lit(max(total_bytes, 1)))
+    share = total_bytes / shards
+    low, high, own = number(start), number(end - 1), number(at)
+    before, behind = (low + 1) * share - start, end - high * share  # how far the first cut within lies from the start, the last from the end
+    move = F.lit(MOVE * share)
+    up = (high > low) & (own == low) & (before <= move) & ((high > low + 1) | (before <= behind))
+    down = (high > low) & (own == high) & (behind <= move) & ((high > low + 1) | (behind < before))
+    moved = F.when(up, own + 1).when(down, own - 1).otherwise(own)
+    return F.least(F.lit(shards - 1), F.greatest(F.lit(0), moved)).cast("int")
+
+
+def cells(rows: DataFrame, column: str, total: int) -> DataFrame:
+    """column, n (its rows), cell: the rank of each value, spread over the cells if there are more values; null comes first."""
+    values = C.numbered(C.materialise(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")), "shard-values"), [F.col(column).asc_nulls_first()], "place")
+    values = C.materialise(values, "shard-cells")
+    most = F.lit(max(1 << BITS, values.count()))
+    return values.select(column, "n", F.floor((F.col("place") - 1) * F.lit(1 << BITS) / most).cast("int").alias(f"{column}_cell"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """For each row of docs (doc_id, text, lang, source): doc_id, size, text_crc32, curve, shard, slot."""
     spark = docs.sparkSession
@@ -89,20 +111,24 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.xxhash64(text).alias("g"),
-            *[F.pmod(F.xxhash64(F.coalesce(c, F.lit("\x00"))), F.lit(1 << BITS)).cast("int").alias(c) for c in ("lang", "source")],
+            F.col("lang").cast("string").alias("lang"),
+            F.col("source").cast("string").alias("source"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
+    total, total_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     least = F.struct(F.col("doc_id").isNull(), "doc_id", "lang", "source")
     groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(least).alias("first"), F.min("size").alias("size"))
     log = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2("size") * 1.5)).cast("int")
-    groups = groups.select("g", "n", F.col("first.lang").alias("a"), F.col("first.source").alias("b"), log.alias("c"))
+    groups = C.materialise(groups.select("g", F.col("n").alias("copies"), F.col("first.lang").alias("lang"), F.col("first.source").alias("source"), log.alias("c")), "shard-texts")
+    for column in ("lang", "source"):
+        groups = C.spread_join(groups, cells(rows, column, total), column, "n", total)
+    groups = groups.select("g", F.col("copies").alias("n"), F.col("lang_cell").alias("a"), F.col("source_cell").alias("b"), "c")
     groups = C.materialise(groups.mapInPandas(_curve, "g long, n long, curve long").withColumn("copies", F.col("n")), "shard-groups")
-    whole = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    total, total_bytes = whole
     joined = C.hot_join(rows.drop("lang", "source"), groups, "g", "n", total)
     ranges = max(1, min(MAX_RANGES, total // ROWS_A_RANGE))
-    key = ["curve", "g", "doc_id"]
+    key = ["curve", "g", "doc_id", "row"]  # the row's number parts rows that are equal otherwise
     placed = joined.select(*key, "size", "text_crc32", "copies").repartitionByRange(ranges, *key).sortWithinPartitions(*key)
     schema = T.StructType([*placed.schema.fields, *[T.StructField(c, T.LongType()) for c in ("start", "i", "at")]])
     placed = C.materialise(placed.mapInPandas(_local, schema).withColumn("part", F.spark_partition_id()), "shard-order")
@@ -117,11 +143,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         open_g, rows_before, bytes_before = p["max_g"], rows_before + p["rows"], bytes_before + p["bytes"]
     table = F.broadcast(spark.createDataFrame(offsets, "part int, rows_before long, bytes_before long, carried long"))
     start = F.when(F.col("start") < 0, F.col("carried")).otherwise(F.col("bytes_before") + F.col("start"))
-    loose = F.col("copies") * F.col("size") <= int(LOOSE * total_bytes / shards)
-    at = F.when(loose, start).otherwise(F.col("bytes_before") + F.col("at"))
-    cut = placed.join(table, "part").select(
-        "doc_id", "size", "text_crc32", "curve", F.least(F.lit(shards - 1), F.floor(at * F.lit(shards) / F.lit(max(total_bytes, 1)))).cast("int").alias("shard"), (F.col("rows_before") + F.col("i")).alias("rank")
-    )
+    own, end = F.col("bytes_before") + F.col("at"), start + F.col("copies") * F.col("size")
+    cut = placed.join(table, "part").select("doc_id", "size", "text_crc32", "curve", shard_of(own, start, end, total_bytes, shards).alias("shard"), (F.col("rows_before") + F.col("i")).alias("rank"))
     first = F.broadcast(cut.groupBy("shard").agg(F.min("rank").alias("first")))  # a row per shard
     return cut.join(first, "shard").select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("rank") - F.col("first")).alias("slot"))
 

@@ -137,6 +137,50 @@ def test_shards(spark, docs, empty):
     assert H.shard(empty).count() == 0
 
 
+def test_cuts_equal_brute_force(spark):
+    """Every row's shard from the sorted rows, cut by cut; cells by rank; groups of copies of all sizes, one of them a third of all."""
+    draw = random.Random(12)
+    texts = [prose(draw.randint(1, 60), i) for i in range(150)]
+    rows = [(i, texts[i % 150], draw.choice(("en", "de", None)), f"s{i % 20:02d}") for i in range(200)] + [(1000 + i, texts[3], "en", "s03") for i in range(100)]
+    rows += [(None, texts[5], "en", "s00")] * 40 + [(7, "", "fr", None), (8, None, "fr", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = H.shard(df, 6).collect()
+    langs, sources = [None, "de", "en", "fr"], [None, *(f"s{i:02d}" for i in range(20))]
+    by = {}
+    for i, t, lang, s in rows:
+        by.setdefault(t or "", []).append((i is None, i or 0, lang is not None, lang or "", s is not None, s or "", lang, s))
+    curve = {}
+    for t, own in by.items():
+        first = min(own)
+        size = len(t.encode()) + 8
+        cell = [langs.index(first[6]), sources.index(first[7]), min(31, math.floor(math.log2(size) * 1.5))]
+        curve[zlib.crc32(t.encode())] = int(H.hilbert_index(np.array([cell]))[0])
+    assert all(r.curve == curve[r.text_crc32] for r in got) and len(got) == len(rows)
+    ordered = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in ordered] == sorted(r.curve for r in got)
+    total, at, runs = sum(r.size for r in got), 0, []
+    for r in ordered:
+        if not runs or runs[-1][0] != r.text_crc32:
+            runs.append([r.text_crc32, at, at])
+        at += r.size
+        runs[-1][2] = at
+    assert len(runs) == len(by)  # copies lie side by side
+    cuts = []
+    for k in range(1, 6):
+        c = k * total / 6
+        _, start, end = next(x for x in runs if x[1] <= c < x[2])
+        near, far = (start, end) if c - start <= end - c else (end, start)
+        cuts.append(near if abs(near - c) <= H.MOVE * total / 6 else c)
+    at = 0
+    for r in ordered:
+        assert r.shard == sum(c <= at for c in cuts)
+        at += r.size
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 6 and max(sizes.values()) - min(sizes.values()) < 0.05 * total / 6 + 2 * max(r.size for r in got)
+
+
 def test_toxicity_on_held_out_texts(spark):
     rng = random.Random(5)
     bad = ["numbskull", "blockhead", "nitwit"]
