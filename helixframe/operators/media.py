@@ -10,13 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
 from ..sources.files import wav_bytes, wav_samples
 from ..sources.tables import table
-from .signals import mu_law, similar_frames
+from .signals import mu_law, mu_law_inverse, similar_frames
 
 # The JPEG standard's luminance quantisation table, row by row.
 LUMINANCE = [
@@ -33,6 +33,8 @@ LUMINANCE = [
 DC_BITS, TOKENS, SCALE = 12, 4, 1.5
 LL_STEP, LL_BITS = 16.0, 6
 FACTOR, BASE_BITS = 2, 5
+# Samples of a spectrogram's frame, and from one frame to the next.
+FRAME, HOP = 512, 256
 
 
 def cosine_matrix(n: int = 8) -> np.ndarray:
@@ -242,7 +244,47 @@ def spectrogram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", run("embedding", "following").alias("similarity"))
 
 
+def frame_rows(samples: DataFrame, key: str, place: str, value: str, size: int = FRAME, hop: int = HOP) -> DataFrame:
+    """key, frame, values: overlapping frames of a signal given a sample a row. A sample goes to the frames it lies in, so no
+    signal is put together; frames that a signal's end cuts are left out, but a signal shorter than a frame has one."""
+    last = F.floor(F.col(place) / hop)
+    first = F.greatest(F.lit(0), F.floor((F.col(place) - size) / hop) + 1)
+    rows = samples.select(key, place, value, F.explode(F.sequence(first, last)).alias("frame"))
+    framed = rows.groupBy(key, "frame").agg(F.array_sort(F.collect_list(F.struct(place, value))).alias("v"))  # `size` samples at most
+    return framed.where((F.size("v") == size) | (F.col("frame") == 0)).select(key, "frame", F.transform("v", lambda x: x[value]).alias("values"))
+
+
+def log_spectrum(values: Column, size: int = FRAME) -> Column:
+    """log(1 + magnitude) of a frame's spectrum under a Hann window; a short frame is filled with zeros."""
+
+    @F.pandas_udf("array<double>")
+    def run(frames: pd.Series) -> pd.Series:
+        window = np.hanning(size + 1)[:-1]
+        return pd.Series([np.log1p(np.abs(np.fft.rfft(np.pad(np.array(f, dtype=float), (0, size - len(f))) * window))) for f in frames], dtype=object)
+
+    return run(values)
+
+
+def spectral_likeness(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, frames, likeness: cosine of two signals' spectra over the frames that both have; 1 where both are silent, 0 where one is."""
+    met = a.select(key, "frame", log_spectrum(F.col("values")).alias("x")).join(b.select(key, "frame", log_spectrum(F.col("values")).alias("y")), [key, "frame"])
+    dot = lambda u, v: F.sum(F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x))
+    sums = met.groupBy(key).agg(F.count(F.lit(1)).alias("frames"), dot("x", "y").alias("xy"), dot("x", "x").alias("xx"), dot("y", "y").alias("yy"))
+    silent = F.when((F.col("xx") == 0) & (F.col("yy") == 0), 1.0).when((F.col("xx") == 0) | (F.col("yy") == 0), 0.0)
+    return sums.select(key, "frames", F.round(F.coalesce(silent, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))), 6).alias("likeness"))
+
+
+def spectrogram_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's clips one behind the other, against the same companded to four bits."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", (F.row_number().over(w) - 1).alias("clip"))
+    rows = e.select("label", "clip", F.posexplode("embedding").alias("n", "x")).select("label", (F.col("clip") * 64 + F.col("n")).alias("place"), F.col("x").cast("double").alias("x"))
+    rows = rows.withColumn("y", mu_law_inverse(mu_law(F.col("x"), 4), 4))
+    return spectral_likeness(frame_rows(rows, "label", "place", "x"), frame_rows(rows, "label", "place", "y"), "label")
+
+
 QUERIES = {
+    "spectrogram_frames": (spectrogram_frames, None),
     "image_block_dct": (image_block_dct, None),
     "video_haar_ll": (video_haar_ll, None),
     "image_low_resolution": (image_low_resolution, None),

@@ -196,12 +196,16 @@ d AS (SELECT *, {Q.uniform(SEED, _K3, 1)} AS u, {Q.uniform(SEED, _K3, 9)} AS v F
 SELECT conv_id, turn, no, count(*) FILTER (changed) AS substituted, string_agg(CASE WHEN changed THEN {_SUB.format(b="base", v="v")} ELSE base END, '' ORDER BY pos) AS noisy_payload FROM n GROUP BY conv_id, turn, no"""
 
 
-def reads(df: DataFrame, keys: list[str], coverage: int = COVERAGE, dropout: float = DROPOUT, rate: float = READ_ERROR, ins: float = 0.0, dele: float = 0.0, seed: int = SEED) -> DataFrame:
+def reads(df: DataFrame, keys: list[str], coverage: int = COVERAGE, dropout: float = DROPOUT, rate: float = READ_ERROR, ins: float = 0.0, dele: float = 0.0, seed: int = SEED, spread: bool = False) -> DataFrame:
     """keys, copy_no, template, seq, n_sub, n_ins, n_del of the reads that weren't dropped.
 
+    spread: a strand's number of copies is drawn evenly between half the coverage and half as much again, one at least.
     One draw decides each base: substituted (by any base, also its own), an insertion before it, kept, or deleted.
     """
-    copies = df.select(*keys, "full_strand", F.explode(F.sequence(F.lit(1), F.lit(max(1, coverage)))).alias("copy_no"))
+    drawn, _ = D.hash_uniform(seed + 5, *[F.col(c) for c in keys])
+    low, high = max(1.0, coverage * 0.5), max(1.0, coverage * 1.5)
+    number = F.greatest(F.lit(1), F.bround(F.lit(low) + drawn / F.lit(FULL) * (high - low), 0).cast("int")) if spread else F.lit(max(1, coverage))
+    copies = df.select(*keys, "full_strand", F.explode(F.sequence(F.lit(1), number)).alias("copy_no"))
     k = [F.col(c) for c in (*keys, "copy_no")]
     lost, _ = D.hash_uniform(seed + 3, *k)
     copies = copies.where(lost >= _bound(dropout))
@@ -240,6 +244,11 @@ def reads_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reads(spark, sf_dir).drop("template")
 
 
+def reads_random_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads at a coverage that each strand draws, with all three kinds of errors."""
+    return reads(_templates(spark, sf_dir), ["item_id", "no"], rate=0.01, ins=0.004, dele=0.006, spread=True).drop("template")
+
+
 _B = S.STRANDS_SQL.replace("conv_id, turn", "item_id").replace("conversations", "benchmark")
 _KC = "item_id || '|' || no || '|' || copy_no"
 READS_SQL = f"""{_B},
@@ -251,6 +260,18 @@ reads AS (SELECT item_id, no, copy_no, full_strand, string_agg(CASE WHEN u < {_b
   count(*) FILTER (u < {_bound(READ_ERROR)}) AS n_sub, 0::BIGINT AS n_ins, 0::BIGINT AS n_del FROM d GROUP BY item_id, no, copy_no, full_strand)"""
 
 
+_COPIES = f"greatest(1, round_even({COVERAGE * 0.5} + {Q.uniform(SEED + 5, "item_id || '|' || no", 1)} / {FULL} * {COVERAGE * 1.0}, 0)::INT)"
+_NEW = "substr('ACGT', (v % 4 + 1)::INT, 1)"
+RANDOM_SQL = f"""{_B},
+c AS (SELECT item_id, no, full_strand, copy_no::INT AS copy_no FROM (SELECT *, {_COPIES} AS copies FROM strands), unnest(range(1, copies + 1)) AS u(copy_no)),
+k AS (SELECT * FROM c WHERE {Q.uniform(SEED + 3, _KC, 1)} >= {_bound(DROPOUT)}),
+b AS (SELECT item_id, no, copy_no, pos, substr(full_strand, pos, 1) AS base FROM k, unnest(range(1, length(full_strand) + 1)) AS u(pos)),
+d AS (SELECT *, {Q.uniform(SEED + 4, _KC + " || '|' || pos", 1)} AS u, {Q.uniform(SEED + 4, _KC + " || '|' || pos", 9)} AS v FROM b),
+o AS (SELECT *, CASE WHEN u < {_bound(0.01)} THEN 's' WHEN u < {_bound(0.01 + 0.004)} THEN 'i' WHEN u < {_bound(0.01 + 0.004 + 0.006)} THEN 'd' ELSE 'k' END AS kind FROM d)
+SELECT item_id, no, copy_no, string_agg(CASE kind WHEN 's' THEN {_NEW} WHEN 'i' THEN {_NEW} || base WHEN 'd' THEN '' ELSE base END, '' ORDER BY pos) AS seq,
+count(*) FILTER (kind = 's') AS n_sub, count(*) FILTER (kind = 'i') AS n_ins, count(*) FILTER (kind = 'd') AS n_del FROM o GROUP BY item_id, no, copy_no"""
+
+
 def reads_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempted, dropped and lost; errors and their observed rate."""
     r, templates = _written_reads(spark, sf_dir)
@@ -421,6 +442,7 @@ QUERIES = {
     "noise_strand_rows": (noise_strand_rows, STRAND_ROWS_SQL),
     "noise_region_scope": (noise_scope_payload, SCOPE_SQL),
     "reads_simulate": (reads_simulate, f"{READS_SQL} SELECT item_id, no, copy_no, seq, n_sub, n_ins, n_del FROM reads"),
+    "reads_random_coverage": (reads_random_coverage, RANDOM_SQL),
     "reads_drop_summary": (reads_summary, READS_SUMMARY_SQL),
     "cluster_oracle": (cluster_oracle, f"{READS_SQL} SELECT item_id, no, count(*) AS reads FROM reads GROUP BY item_id, no"),
     "cluster_index_aware": (cluster_index_aware, INDEX_AWARE_SQL),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna as D
 from ..functions import duck as Q
+from ..sources.scratch import written
 from ..sources.tables import table
 from . import strands as S
 from . import tokens as T
@@ -78,17 +79,20 @@ ADMISSIBLE_SQL = f"""WITH {T.DOC_TOKENS}, {T.VOCAB_CTE}
 SELECT token_id, token, token NOT IN ('[PAD]', '[UNK]') AS admissible, token NOT IN ('[PAD]', '[UNK]') AND regexp_matches(token, {_quoted(ENGLISH_PIECE)}) AS admissible_en FROM vocab"""
 
 
-def neighbours(codes: DataFrame, book: DataFrame, language: str = "en", top: int = TOP) -> DataFrame:
-    """noisy, rank, code_id, candidate, class, hamming, score: the `top` codes within two bits of each distinct code of
-    `codes` (noisy), by distance plus a penalty for another language. There are at most 2**CODE_BITS distinct codes."""
+def neighbours(codes: DataFrame, book: DataFrame, language: str | None = None, top: int = TOP) -> DataFrame:
+    """noisy, (language,) rank, code_id, candidate, class, hamming, score: the `top` codes within two bits of each distinct code of
+    `codes` (noisy), by distance plus a penalty for another language: that of the column `language`, else English. There are
+    at most 2**CODE_BITS distinct codes, and a few languages."""
+    keys = ["noisy"] + ([language] if language else [])
+    own = F.col(language) if language else F.lit("en")
     flips = [1 << i for i in range(T.CODE_BITS)]
     masks = [0, *flips, *[a | b for i, a in enumerate(flips) for b in flips[:i]]]
-    probes = codes.select("noisy").distinct().select("noisy", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
-    probes = probes.select("noisy", F.col("noisy").bitwiseXOR(F.col("mask")).alias("probe"), F.bit_count("mask").alias("hamming"))
+    probes = codes.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+    probes = probes.select(*keys, F.col("noisy").bitwiseXOR(F.col("mask")).alias("probe"), F.bit_count("mask").alias("hamming"))
     found = probes.join(F.broadcast(book.select(F.col("code").alias("probe"), "code_id", F.col("token").alias("candidate"), "class")), "probe")
-    found = found.withColumn("score", F.col("hamming") + F.when(F.col("class").isin(language, "special", "punct", "number"), 0).otherwise(LANGUAGE_PENALTY))
-    order = Window.partitionBy("noisy").orderBy("score", "hamming", "code_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("noisy", "rank", "code_id", "candidate", "class", "hamming", "score")
+    found = found.withColumn("score", F.col("hamming") + F.when((F.col("class") == own) | F.col("class").isin("special", "punct", "number"), 0).otherwise(LANGUAGE_PENALTY))
+    order = Window.partitionBy(*keys).orderBy("score", "hamming", "code_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*keys, "rank", "code_id", "candidate", "class", "hamming", "score")
 
 
 def code_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +106,38 @@ ordered AS (SELECT noisy, (row_number() OVER (PARTITION BY noisy ORDER BY score,
 NEIGHBOURS_SQL = f"""WITH {T.SPARSE_CTE}, {T.NOISY_CTE}, {_NEAR_CTE} SELECT * FROM ordered WHERE rank <= {TOP}"""
 
 
+def block_tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row per token of the sentence blocks of a text: the other columns of df, pos (from 0 in the text), token, language of its block."""
+    kept = [c for c in df.columns if c != text]
+    blocks = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "(?<=[.!?。！？])\\s+|\\n+"), lambda b: F.trim(b) != "")
+    of = lambda b: F.transform(F.regexp_extract_all(b["text"], F.lit(T.V.TOKEN), F.lit(0)), lambda t: F.struct(t.alias("token"), b["language"].alias("language")))
+    told = F.transform(blocks, lambda b: F.struct(b.alias("text"), T.block_language(b).alias("language")))
+    return df.select(*kept, F.posexplode(F.flatten(F.transform(told, of))).alias("pos", "t")).select(*kept, "pos", "t.*")
+
+
+def language_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that no token has, with the candidates that the language of the token's sentence block prefers."""
+    turns = table(spark, sf_dir, "conversations", spread=True).select("conv_id", "turn", "text")
+    book = written(T._sparse(spark, sf_dir)[1].select("code", "code_id", "token", "class"), "sparse-book")
+    unknown = book.where("token = '[UNK]'").select(F.col("code").alias("__unk"))  # one row
+    coded = block_tokens(turns).join(F.broadcast(book.select("token", "code")), "token", "left").crossJoin(F.broadcast(unknown))
+    read = T.noisy_codes(coded.withColumn("code", F.coalesce("code", "__unk")).drop("__unk"))
+    wrong = written(read.join(F.broadcast(book.select(F.col("code").alias("noisy"))), "noisy", "left_anti").select("conv_id", "turn", "pos", "language", "noisy"), "invalid-codes")
+    return wrong.join(F.broadcast(neighbours(wrong, book, "language")), ["noisy", "language"])  # rows a code and language at most
+
+
+LANGUAGE_DECODE_SQL = f"""WITH {T.SPARSE_CTE}, l AS ({T.BLOCK_SQL.replace("SELECT conv_id, turn, block_no::INT AS block_no, length(block)::INT AS chars,", "SELECT conv_id, turn, block_no, block,")}),
+bt AS (SELECT conv_id, turn, block_no, language, generate_subscripts(x, 1) AS k, unnest(x) AS token FROM (SELECT conv_id, turn, block_no, language, regexp_extract_all(block, {_quoted(T.V.TOKEN)}) AS x FROM l)),
+bp AS (SELECT conv_id, turn, language, token, row_number() OVER (PARTITION BY conv_id, turn ORDER BY block_no, k) - 1 AS pos FROM bt),
+bc AS (SELECT bp.*, coalesce(book.code, (SELECT code FROM book WHERE token = '[UNK]')) AS code FROM bp LEFT JOIN book ON bp.token = book.token),
+{T.NOISY_CTE.replace("FROM coded)", "FROM bc)").replace("SELECT conv_id, turn, pos, token, xor", "SELECT conv_id, turn, pos, token, language, xor")},
+wrong AS (SELECT conv_id, turn, pos, language, noisy FROM noisy WHERE noisy NOT IN (SELECT code FROM book)),
+near AS (SELECT noisy, language, code_id, token AS candidate, class, bit_count(xor(code, noisy))::INT AS hamming, (bit_count(xor(code, noisy)) + CASE WHEN class = language OR class IN ('special', 'punct', 'number') THEN 0 ELSE {LANGUAGE_PENALTY} END)::INT AS score
+  FROM (SELECT DISTINCT noisy, language FROM wrong) JOIN book ON bit_count(xor(code, noisy)) <= 2),
+ordered AS (SELECT *, (row_number() OVER (PARTITION BY noisy, language ORDER BY score, hamming, code_id))::INT AS rank FROM near)
+SELECT conv_id, turn, pos::INT AS pos, language, noisy, rank, code_id, candidate, class, hamming, score FROM wrong JOIN ordered USING (noisy, language) WHERE rank <= {TOP}"""
+
+
 def status(failed: Column, accepted: Column, masked: Column, original: Column, decoded: Column) -> Column:
     """What became of a place: Repaired, Unresolved or CRC fail where its check failed, else Decoded, Missing or Changed."""
     broken = F.when(accepted, "Repaired").when(masked, "Unresolved").otherwise("CRC fail")
@@ -286,6 +322,7 @@ QUERIES = {
     "token_language_validity": (token_validity, VALIDITY_SQL),
     "repair_admissible": (repair_admissible, ADMISSIBLE_SQL),
     "code_neighbours": (code_neighbours, NEIGHBOURS_SQL),
+    "token_language_decode": (language_decode, LANGUAGE_DECODE_SQL),
     "token_recovery": (token_recovery, RECOVERY_SQL),
     "direct_rows": (direct_rows, DIRECT_SQL),
     "metric_compact": (metric_compact, COMPACT_SQL),
