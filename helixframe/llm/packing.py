@@ -4,7 +4,7 @@ Documents are dealt over the partitions, and ordered within, by a hash, so that
 every source's share, however the input is ordered. A partition tokenises its documents as they come and queues them by
 source. A window of WINDOW tokens is
 filled in turns: every source's deficit grows by its share of the window, and each source in turn gets the tokens that it is
-owed, in one piece where its document has so many. A source is served once it is owed its share of a window, so with shares
+owed, in one piece where its document has so many. A source is served once it is owed most of its share of a window, so with shares
 of LEAST tokens and more every window holds every source; a smaller one waits until LEAST tokens or the rest of a document
 are due. What a source got too much or too little is carried to the next window. A partition packs windows while its queues hold
 sources of most of the shares, and hands on the rest (at most REST tokens) with the deficits; in a second pass the rests of up to GATHER
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, LEAST = 1024, 16
+WINDOW, LEAST = 1024, 32
 END = 0
 HOLD = 1 << 18
 #: A partition's rest, and the share of the targets whose sources must be at hand to pack windows from no more than that.
@@ -163,7 +163,7 @@ class Mixer:
             q = live[(self.turn + k) % n]
             self.deficit[q] += own[q]
             due, room = round(self.deficit[q]), WINDOW - at
-            if due < min(max(LEAST, int(own[q])), len(self.queues[q][0][2]) // 4):
+            if due < min(max(LEAST, int(own[q] * 0.75)), len(self.queues[q][0][2]) // 4):
                 continue
             if due > room or (k == n - 1 and room - due <= LEAST):  # what rounding has left goes to the last in turn
                 due = room
@@ -175,18 +175,27 @@ class Mixer:
             at += self._take(q, min(WINDOW - at, max(LEAST, int(self.deficit[q]))), at)
         self.turn += 1
         self.sequence += 1
+        lost, rest = 0.0, 0.0
         for q in live:
-            if not self.queues[q]:  # an idle queue keeps what it owes, not what it is owed
-                self.deficit[q] = min(self.deficit[q], 0.0)
+            if self.queues[q]:
+                rest += own[q]
+            elif self.deficit[q] > 0:  # an idle queue keeps what it owes; what it is owed goes to those that have served for it
+                lost, self.deficit[q] = lost + self.deficit[q], 0.0
+        if lost and rest:
+            for q in live:
+                if self.queues[q]:
+                    self.deficit[q] += lost * own[q] / rest
 
 
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset"]
 
 
 def _frame(mixer: Mixer, part: int) -> pd.DataFrame:
-    pdf = pd.DataFrame(mixer.pieces, columns=_NAMES)
+    columns = dict(zip(_NAMES, zip(*mixer.pieces))) if mixer.pieces else {c: () for c in _NAMES}
     mixer.pieces = []
-    pdf["doc_id"] = pdf["doc_id"].astype("Int64")
+    ids = columns.pop("doc_id")
+    whole = pd.array(ids, dtype="Int64") if None in ids else np.array(ids, dtype=np.int64)
+    pdf = pd.DataFrame({"doc_id": whole, **{c: np.array(v, dtype=np.int64) for c, v in columns.items()}})
     return pdf.assign(part=part, queue=None, rest=None, deficit=None)[[f.split()[0] for f in _SCHEMA.split(", ")]]
 
 
