@@ -48,25 +48,21 @@ def metrics(df: DataFrame, dna: str = "dna") -> DataFrame:
     """df with GC share (six decimals), longest run, and counts of runs by length."""
     df = df.withColumn("__runs", D.runs(F.col(dna)))
 
-    def add(so_far: Column, run: Column) -> Column:
-        """Runs of one, two, three, four and more bases, counted in one pass."""
-        return F.struct(*[(so_far[f"c{k}"] + F.when(run == k if k < 5 else run >= k, 1).otherwise(0)).alias(f"c{k}") for k in range(1, 6)])
-
-    counts = F.aggregate("__runs", F.struct(*[F.lit(0).alias(f"c{k}") for k in range(1, 6)]), add)
-    df = df.withColumn("__counts", counts)
-    n = lambda *ks: sum((F.col(f"__counts.c{k}") for k in ks[1:]), F.col(f"__counts.c{ks[0]}"))
-    return df.withColumns(
+    def of_length(k: int) -> Column:
+        return F.size(F.filter("__runs", lambda r: r == k))
+
+    counted = df.withColumns({"total_runs": F.size("__runs"), **{f"len_{k}": of_length(k) for k in range(1, 5)}})
+    least = {k: F.col("total_runs") - sum((F.col(f"len_{j}") for j in range(2, k)), F.col("len_1")) for k in range(2, 6)}
+    return counted.withColumns(
         {
             "gc": F.round(D.gc(F.col(dna)), 6),
             "longest": F.coalesce(F.array_max("__runs"), F.lit(0)),
-            "total_runs": F.size("__runs"),
-            "runs_ge2": n(2, 3, 4, 5),
-            "runs_ge3": n(3, 4, 5),
-            "runs_ge4": n(4, 5),
-            **{f"len_{k}": n(k) for k in range(1, 5)},
-            "len_ge5": n(5),
+            "runs_ge2": least[2],
+            "runs_ge3": least[3],
+            "runs_ge4": least[4],
+            "len_ge5": least[5],
         }
-    ).drop("__runs", "__counts")
+    ).drop("__runs")
 
 
 def dna_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
