@@ -164,20 +164,27 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the component's least node) for every node of `edges` (u, v)."""
+    """node, root (the component's least node) for every node of `edges` (u, v).
+
+    A large component's root is the key of as many rows as the component has nodes; common.hot_join spreads them.
+    """
     state, edges = None, edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = C.materialise(edges, "component-links")
+    total = 2 * edges.count()
+    n = F.count(F.lit(1)).alias("n")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), n)
+        large = C.hot_join(both, least, "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = C.materialise(large, "components-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), n)
+        joined = C.hot_join(large, least, "u", "n", total)
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = C.materialise(small.where("u != v").distinct(), "components")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first())
         if now == state:
             break
-        state = now
+        state, total = now, 2 * now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
