@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
+from .scratch import written
 
 # Encodings in the order tried, suffixes of text files, names of a strand's columns in order of preference.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr", "latin-1")
 TEXT_SUFFIXES = ("txt", "md", "csv", "tsv", "log", "json", "xml", "html", "docx")
 SEQUENCE_COLUMNS = ("Error payload", "Payload", "Error full strand", "Full strand")
 STRAND_COLUMNS = ["No.", "FBR", "Strand index", "Payload", "Filler", "RBR", "Full strand"]
+#: Rows of one a file and split that are broadcast.
+MAX_SPLITS = 100_000
 _PARAGRAPH = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -87,13 +90,15 @@ def texts(files: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, name: str, by_file: bool) -> DataFrame:
     """rows with their number from 1 as `name`: in their file, or in all files by path, however these are split.
 
-    Only the counts by file and split (a row each) are ordered and joined back.
+    Only the counts by file and split (a row each) are ordered and joined back, by broadcast if there are at most MAX_SPLITS.
     """
     placed = rows.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()}).withColumn("__split", F.shiftright("__at", 33))
     splits = placed.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
     order = (Window.partitionBy("__file") if by_file else Window.orderBy("__file")).orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("__file", "__split", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first") + 1).alias("__add"))
-    return placed.join(splits, ["__file", "__split"]).withColumn(name, F.col("__at") + F.col("__add")).drop("__file", "__split", "__at", "__add")
+    splits = written(splits, "file-splits")
+    side = F.broadcast(splits) if splits.count() <= MAX_SPLITS else splits
+    return placed.join(side, ["__file", "__split"]).withColumn(name, F.col("__at") + F.col("__add")).drop("__file", "__split", "__at", "__add")
 
 
 def strand_csv(spark: SparkSession, path: str) -> DataFrame:
