@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
-from .scratch import written
 
 # Encodings in the order tried, suffixes of text files, names of a strand's columns in order of preference.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr", "latin-1")
@@ -96,8 +95,8 @@ def numbered(rows: DataFrame, name: str, by_file: bool) -> DataFrame:
     splits = placed.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
     order = (Window.partitionBy("__file") if by_file else Window.orderBy("__file")).orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("__file", "__split", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first") + 1).alias("__add"))
-    splits = written(splits, "file-splits")
-    side = F.broadcast(splits) if splits.count() <= MAX_SPLITS else splits
+    # a row for each file of each partition: at most their numbers together
+    side = F.broadcast(splits) if rows.rdd.getNumPartitions() + len(rows.inputFiles()) <= MAX_SPLITS else splits
     return placed.join(side, ["__file", "__split"]).withColumn(name, F.col("__at") + F.col("__add")).drop("__file", "__split", "__at", "__add")
 
 
