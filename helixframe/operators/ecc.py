@@ -7,7 +7,9 @@ so no task holds more than a message.
 from __future__ import annotations
 
 import difflib
+import functools
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -325,15 +327,27 @@ def allowed(scheme: str, before: str) -> list[str]:
     return [d for d in D.DIMERS if rule(d)]
 
 
+#: What may follow each dimer, and each follower's place among these: two small tables a scheme, made once.
+_CHOICES = {s: {before: allowed(s, before) for before in D.DIMERS} for s in ("r2", "r1", "r0")}
+_PLACES = {s: {before: {d: i for i, d in enumerate(of)} for before, of in own.items()} for s, own in _CHOICES.items()}
+
+
+@functools.cache
+def _fours(base: int) -> list[tuple[int, ...]]:
+    """The four digits of every number that has no more."""
+    return list(itertools.product(range(base), repeat=4))
+
+
 def _to_digits(n: int, base: int) -> list[int]:
     """Digits by halving, which takes quasi-linear instead of quadratic time."""
-    powers = [base]
+    four = _fours(base)
+    powers = [base**4]
     while powers[-1] <= n:
         powers.append(powers[-1] ** 2)
 
     def split(x: int, k: int, out: list[int]) -> None:
         if k < 0:
-            out.append(x)
+            out += four[x]
             return
         high, low = divmod(x, powers[k])
         split(high, k - 1, out)
@@ -356,27 +370,34 @@ def _from_digits(digits: list[int], base: int) -> int:
 def constrained_encode(data: bytes, scheme: str) -> str:
     base = {"r2": 15, "r1": 12, "r0": 9}[scheme]
     n = (1 << 8 * len(data)) | int.from_bytes(data, "big") if data else 2  # the empty payload is the one bit 0
-    before, out = FIRST_DIMER, []
+    choices, out, before = _CHOICES[scheme], [], FIRST_DIMER
     for d in _to_digits(n, base):
-        before = allowed(scheme, before)[d]
+        before = choices[before][d]
         out.append(before)
     return "".join(out)
 
 
 def constrained_decode(dna: str, scheme: str) -> bytes | None:
-    before, digits = FIRST_DIMER, []
+    places, digits, before = _PLACES[scheme], [], FIRST_DIMER
     for at in range(0, len(dna) - 1, 2):
         dimer = dna[at : at + 2]
-        choice = allowed(scheme, before)
-        if dimer not in choice:
+        digit = places[before].get(dimer)
+        if digit is None:
             return None
-        digits.append(choice.index(dimer))
+        digits.append(digit)
         before = dimer
     n = _from_digits(digits, {"r2": 15, "r1": 12, "r0": 9}[scheme])
     bits = n.bit_length() - 1
     return None if bits < 0 else (n - (1 << bits)).to_bytes(-(-bits // 8), "big")
 
 
+def _long_run(dna: str) -> int:
+    """The longest run of one base in a sequence of thousands."""
+    values = np.frombuffer(dna.encode(), dtype=np.uint8)
+    ends = np.flatnonzero(values[1:] != values[:-1])
+    return int(np.diff(np.concatenate([[-1], ends, [len(values) - 1]])).max())
+
+
 def constrained_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations through the constrained codes: bases, longest run, whether they decode to the payload."""
     schema = ", ".join(f"{s}_bases int, {s}_run int, {s}_same boolean" for s in ("r2", "r1", "r0"))
@@ -388,11 +409,11 @@ def constrained_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             data, row = (t or "").encode(), []
             for s in ("r2", "r1", "r0"):
                 dna = constrained_encode(data, s)
-                row += [len(dna), max(len(r[0]) for r in re.finditer("A+|C+|G+|T+", dna)), constrained_decode(dna, s) == (data or b"\0")]
+                row += [len(dna), _long_run(dna), constrained_decode(dna, s) == (data or b"\0")]
             rows.append(row)
         return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", run("text").alias("r")).select("conv_id", "turn", "r.*")
+    return table(spark, sf_dir, "conversations", spread=True).select("conv_id", "turn", run("text").alias("r")).select("conv_id", "turn", "r.*")
 
 
 # Full strand design: hashed searches for unique indices and fillers.
