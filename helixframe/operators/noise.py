@@ -6,10 +6,15 @@ same distribution as drawing one by one, not the same stream.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
+from ..functions import draws as R
 from ..functions import duck as Q
 from ..sources.scratch import written
 from ..sources.tables import table
@@ -19,6 +24,8 @@ SEED = 7
 SUBSTITUTION, INSERTION, DELETION = 0.02, 0.005, 0.005
 COVERAGE, DROPOUT, READ_ERROR = 5, 0.05, 0.01
 MAX_PREFIX_EDIT, Q_GRAM = 6, 5
+#: Bases that a task draws at a time.
+STEP_BASES = 1_000_000
 FULL = float(2**32)
 # Arrays of drawn bases are exploded by explode_outer and a test for null behind it: explode lets the optimizer put a test of
 # the array's size before it, which would draw every base once more.
@@ -94,27 +101,129 @@ SELECT item_id, count(*) AS bases, count(*) FILTER (changed) AS substituted, str
 FROM n GROUP BY item_id"""
 
 
-def mutate(df: DataFrame, keys: list[str], sequence: str, sub: float = SUBSTITUTION, ins: float = INSERTION, dele: float = DELETION, seed: int = SEED) -> DataFrame:
-    """df with `places`, an array of (pos, base, op: substitution, deletion or null, inserted: a base or null, out: what
-    the base becomes), drawn within the row.
+class Mutations:
+    """What becomes of every base of some sequences: gone, changed, inserted (tests), kept and new (bytes, 0 for none).
 
     A base is deleted or not, else substituted or not, and a base may be inserted behind it, each by a draw of its own: the
     four parts of one digest decide deletion, substitution, insertion, and the new bases.
     """
-    k = [F.col(c) for c in keys]
-    part = lambda digest, n: F.substring(digest, 8 * n + 1, 8)
 
-    def draw(base: Column, i: Column) -> Column:
-        return F.struct(base.alias("base"), (i + 1).alias("pos"), _digest(seed, k, i).alias("digest"))
+    def __init__(self, prefixes: list[bytes], bases: np.ndarray, lengths: np.ndarray, sub: float, ins: float, dele: float) -> None:
+        n = len(bases)
+        self.bases, self.starts = bases, np.concatenate([[0], np.cumsum(lengths)])
+        self.seq, self.place = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
+        self.gone, self.changed, self.inserted = (np.empty(n, dtype=bool) for _ in range(3))
+        self.kept, self.new = bases.copy(), np.zeros(n, dtype=np.uint8)
+        at = 0
+        for seq, place, (d, s, i, v) in R.digests(prefixes, lengths):
+            own = slice(at, at + len(seq))
+            self.seq[own], self.place[own] = seq, place
+            self.gone[own] = gone = d < _bound(dele)
+            self.changed[own] = changed = ~gone & (s < _bound(sub))
+            self.inserted[own] = inserted = i < _bound(ins)
+            self.kept[own][changed] = _other(bases[own][changed], v[changed])
+            self.kept[own][gone] = 0
+            self.new[own][inserted] = _LETTERS[v[inserted] // 3 % 4]
+            at = own.stop
+
+    def count(self, test: np.ndarray) -> np.ndarray:
+        """How many bases of each sequence a test holds for."""
+        return np.diff(np.concatenate([[0], np.cumsum(test, dtype=np.int64)])[self.starts])
+
+    def out(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of what the sequences become, and each one's number of bytes."""
+        cells = np.stack([self.kept, self.new], axis=1).ravel()
+        return cells[cells != 0], self.count(self.kept != 0) + self.count(self.new != 0)
+
+    def before(self) -> np.ndarray:
+        """How many bases of the read come before a base of the sequence."""
+        ends = np.cumsum((self.kept != 0).astype(np.int64) + (self.new != 0))
+        begin = np.concatenate([[0], ends])
+        return begin[:-1] - begin[self.starts[self.seq]]
+
+
+_LETTERS = np.frombuffer(D.BASES.encode(), dtype=np.uint8)
+_PLACES = np.full(256, 3, dtype=np.uint32)
+_PLACES[_LETTERS] = np.arange(4)
+
+
+def _other(bases: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Another base than each of these, by a draw."""
+    return _LETTERS[(_PLACES[bases] + 1 + v % 3) % 4]
+
+
+def _by_batch(df: DataFrame, keys: list[str], sequence: str, schema: str, work: Callable, seed: int) -> DataFrame:
+    """work(rows as an Arrow batch, prefixes of their draws, bytes of their sequences, lengths) for some million bases at a time.
+    A null sequence counts as empty."""
+    kept = [c for c in df.columns if c != sequence]
+    prefix = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.lit(""))
+    rows = df.select(*kept, F.coalesce(F.col(sequence), F.lit("")).alias("__sequence"), prefix.alias("__prefix"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(R.strings(batch["__sequence"])[1])
+            at = 0
+            while at < len(batch):  # a row at least
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BASES, side="right")))
+                part = batch.slice(at, stop - at)
+                yield from work(part.select(kept), [p.encode() for p in part["__prefix"].to_pylist()], *R.strings(part["__sequence"]))
+                at = stop
+
+    return rows.mapInArrow(run, schema)
+
+
+def _schema(df: DataFrame, sequence: str, more: str) -> str:
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != sequence)
+    return f"{own}, {more}"
+
 
-    def become(p: Column) -> Column:
-        op = F.when(_below(part(p["digest"], 0), dele), "deletion").when(_below(part(p["digest"], 1), sub), "substitution")
-        new = F.conv(part(p["digest"], 3), 16, 10).cast("long")
-        inserted = F.when(_below(part(p["digest"], 2), ins), F.substring(F.lit(D.BASES), (F.floor(new / 3) % 4 + 1).cast("int"), F.lit(1)))
-        kept = F.when(op == "deletion", "").when(op == "substitution", _substitute(p["base"], new)).otherwise(p["base"])
-        return F.struct(p["pos"].alias("pos"), p["base"].alias("base"), op.alias("op"), inserted.alias("inserted"), F.concat(kept, F.coalesce(inserted, F.lit(""))).alias("out"))
+def _with(part: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, *more.values()], names=[*part.schema.names, *more])
 
-    return df.withColumn("places", F.transform(F.transform(_bases(F.col(sequence)), draw), become))
+
+def substituted(df: DataFrame, keys: list[str], sequence: str, rate: float = SUBSTITUTION, seed: int = SEED) -> DataFrame:
+    """df with `noisy` in the place of the sequence and `substituted`, the number of its changes; draws as in `substitution_noise`."""
+
+    def work(part, prefixes, bases, lengths):
+        noisy, hits, at = bases.copy(), np.empty(len(bases), dtype=bool), 0
+        for seq, _, (u, v, _, _) in R.digests(prefixes, lengths):
+            own = slice(at, at + len(seq))
+            hits[own] = changed = u < _bound(rate)
+            noisy[own][changed] = _other(bases[own][changed], v[changed])
+            at = own.stop
+        counts = np.diff(np.concatenate([[0], np.cumsum(hits, dtype=np.int64)])[np.concatenate([[0], np.cumsum(lengths)])])
+        yield _with(part, noisy=R.to_strings(noisy, lengths), substituted=pa.array(counts))
+
+    return _by_batch(df, keys, sequence, _schema(df, sequence, "noisy string, substituted long"), work, seed)
+
+
+def mutated(df: DataFrame, keys: list[str], sequence: str, sub: float = SUBSTITUTION, ins: float = INSERTION, dele: float = DELETION, seed: int = SEED) -> DataFrame:
+    """df with `out`, what the sequence becomes, in its place, and the numbers of errors, n_sub, n_ins and n_del."""
+
+    def work(part, prefixes, bases, lengths):
+        m = Mutations(prefixes, bases, lengths, sub, ins, dele)
+        yield _with(part, out=R.to_strings(*m.out()), n_sub=pa.array(m.count(m.changed)), n_ins=pa.array(m.count(m.inserted)), n_del=pa.array(m.count(m.gone)))
+
+    return _by_batch(df, keys, sequence, _schema(df, sequence, "out string, n_sub long, n_ins long, n_del long"), work, seed)
+
+
+def mutation_events(df: DataFrame, keys: list[str], sequence: str, sub: float = SUBSTITUTION, ins: float = INSERTION, dele: float = DELETION, seed: int = SEED) -> DataFrame:
+    """A row for each error: the columns of df but the sequence, places in the sequence and in the read, operation, bases before and after."""
+
+    def work(part, prefixes, bases, lengths):
+        m = Mutations(prefixes, bases, lengths, sub, ins, dele)
+        own, new, before = np.flatnonzero(m.gone | m.changed), np.flatnonzero(m.inserted), m.before()
+        read = np.concatenate([before[own] + 1, before[new] + np.where(m.gone[new], 1, 2)]).astype(np.int32)
+        operation = np.concatenate([np.where(m.gone[own], 0, 1), np.full(len(new), 2)])
+        to = np.concatenate([m.kept[own], m.new[new]])
+        at = np.concatenate([own, new])
+        yield _with(
+            part.take(pa.array(m.seq[at])), position_original=pa.array(m.place[at] + np.int32(1)), position_read=pa.array(read),
+            operation=pa.array(["deletion", "substitution", "insertion"]).take(pa.array(operation)),
+            from_base=R.to_strings(bases[own], np.concatenate([np.ones(len(own)), np.zeros(len(new))])), to_base=R.to_strings(to[to != 0], to != 0),
+        )
+
+    return _by_batch(df, keys, sequence, _schema(df, sequence, "position_original int, position_read int, operation string, from_base string, to_base string"), work, seed)
 
 
 def region_of(pos: Column, payload_len: Column) -> Column:
@@ -122,25 +231,18 @@ def region_of(pos: Column, payload_len: Column) -> Column:
     return F.when(pos <= a, "FBR").when(pos <= PREFIX, "SI").when(pos <= payload_len + PREFIX, "Payload").otherwise("RBR")
 
 
-def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = S.of_conversations(spark, sf_dir).select("conv_id", "turn", "no", "full_strand", F.length("payload").alias("payload_len"))
-    return mutate(s, ["conv_id", "turn", "no", "payload_len"], "full_strand").drop("full_strand")
+_STRAND = ["conv_id", "turn", "no", "payload_len"]
+
+
+def _payload_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.of_conversations(spark, sf_dir).select("conv_id", "turn", "no", F.length("payload").alias("payload_len"), "full_strand")
 
 
 def noise_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per error: place in strand and read, region, operation, bases before and after."""
-    hit = F.filter("places", lambda p: p["op"].isNotNull() | p["inserted"].isNotNull())
-    rows = _mutated(spark, sf_dir).select("conv_id", "turn", "no", "payload_len", hit.alias("hits"))
-    # bases that come before a place in the read: its place in the strand, moved by the insertions and deletions before it
-    move = lambda n, p: n + F.length(p["out"]) - 1
-    at = lambda p, k: p.withField("before", p["pos"] - 1 + F.aggregate(F.slice("hits", F.lit(1), k), F.lit(0), move))
-    rows = rows.select("conv_id", "turn", "no", "payload_len", F.explode_outer(F.transform("hits", at)).alias("p")).where("p IS NOT NULL")
-    rows = rows.select("conv_id", "turn", "no", F.col("p.pos").alias("position_original"), region_of(F.col("p.pos"), F.col("payload_len")).alias("region"), "p.*")
-    gone = F.col("op") == "deletion"
-    own = F.struct((F.col("before") + 1).alias("position_read"), F.col("op").alias("operation"), F.col("base").alias("from_base"), F.when(gone, "").otherwise(F.substring("out", 1, 1)).alias("to_base"))
-    inserted = F.struct((F.col("before") + F.when(gone, 0).otherwise(1) + 1).alias("position_read"), F.lit("insertion").alias("operation"), F.lit("").alias("from_base"), F.col("inserted").alias("to_base"))
-    events = F.filter(F.array(F.when(F.col("op").isNotNull(), own), F.when(F.col("inserted").isNotNull(), inserted)), lambda e: e.isNotNull())
-    return rows.select("conv_id", "turn", "no", "position_original", "region", F.explode(events).alias("e")).select("conv_id", "turn", "no", "position_original", "region", "e.*")
+    rows = mutation_events(_payload_strands(spark, sf_dir), _STRAND, "full_strand")
+    region = region_of(F.col("position_original"), F.col("payload_len")).alias("region")
+    return rows.select("conv_id", "turn", "no", "position_original", region, "position_read", "operation", "from_base", "to_base")
 
 
 _K = "conv_id || '|' || turn || '|' || no || '|' || length(payload) || '|' || pos"
@@ -163,17 +265,8 @@ def noise_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_strand_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error strand, the fixed-place payload slice of it, and error counts of every strand."""
-    rows = _mutated(spark, sf_dir).select(
-        "conv_id",
-        "turn",
-        "no",
-        "payload_len",
-        _joined("places", "out").alias("error_full"),
-        _count("places", lambda p: p["op"] == "substitution").alias("n_sub"),
-        _count("places", lambda p: p["inserted"].isNotNull()).alias("n_ins"),
-        _count("places", lambda p: p["op"] == "deletion").alias("n_del"),
-    )
-    return rows.withColumn("error_payload", F.substring("error_full", F.lit(PREFIX + 1), F.col("payload_len"))).drop("payload_len")
+    rows = mutated(_payload_strands(spark, sf_dir), _STRAND, "full_strand")
+    return rows.select("conv_id", "turn", "no", F.col("out").alias("error_full"), "n_sub", "n_ins", "n_del", F.substring("out", F.lit(PREFIX + 1), F.col("payload_len")).alias("error_payload"))
 
 
 STRAND_ROWS_SQL = f"""{MUTATED_SQL},
@@ -184,9 +277,8 @@ SELECT conv_id, turn, no, error_full, n_sub, n_ins, n_del, substr(error_full, {P
 def noise_scope_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substitutions in the payload only; the rest of the strand stays."""
     s = S.of_conversations(spark, sf_dir).select("conv_id", "turn", "no", "payload").where("payload <> ''")
-    out = substitution_noise(s, ["conv_id", "turn", "no"], "payload")
-    changed = _count("places", lambda x: x["changed"]).alias("substituted")
-    return out.select("conv_id", "turn", "no", changed, _joined("places", "base").alias("noisy_payload"))
+    out = substituted(s, ["conv_id", "turn", "no"], "payload")
+    return out.select("conv_id", "turn", "no", "substituted", F.col("noisy").alias("noisy_payload"))
 
 
 _K3 = "conv_id || '|' || turn || '|' || no || '|' || pos"
