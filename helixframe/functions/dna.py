@@ -27,6 +27,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double at so many decimals as SQL engines of binary arithmetic say: the product with 10**digits decides, not the
+    shortest decimal number that reads as the double (41 / 40 is below 1.025, so it is 1.02)."""
+    return F.round(value * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def _digits(payload: Column) -> Column:
     """Two digits a nibble: its high bits plus 4, its low bits."""
     return F.hex(F.translate(F.hex(payload.cast("binary")), HEX, _PAIRS))

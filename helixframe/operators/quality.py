@@ -9,6 +9,7 @@ import lzma
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ WORD_ERROR = 0.05
 
 
 def percent(share: Column) -> Column:
-    return F.concat(F.format_string("%.2f", F.round(share * 100, 2)), F.lit("%"))
+    return F.concat(F.format_string("%.2f", D.rounded(share * 100, 2)), F.lit("%"))
 
 
 def scientific(value: Column) -> Column:
@@ -48,19 +49,32 @@ def rows_of(df: DataFrame, keys: list[str], stage: str, metrics: dict[str, Colum
     return df.select(*keys, F.explode(F.filter(each, lambda x: x["value"].isNotNull())).alias("m")).select(*keys, "m.*")
 
 
+def _counted(a: Column, b: Column, count) -> Column:
+    """count(bytes of a, bytes of b) over the length that both have; null where a side is."""
+
+    @F.pandas_udf("long")
+    def counted(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x, y):
+            if x is None or y is None:
+                return None
+            n = min(len(x), len(y))
+            return int(count(np.frombuffer(x, np.uint8, n), np.frombuffer(y, np.uint8, n))) if n else 0
+
+        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="Int64")
+
+    return counted(a, b)
+
+
 def byte_accuracy(a: Column, b: Column) -> Column:
     """Share of places with the same byte; a gap in length counts as errors, two empty payloads as equal."""
-    parts = lambda x: F.regexp_extract_all(F.hex(x), F.lit("[0-9A-F]{2}"), F.lit(0))
-    same = F.aggregate(F.zip_with(parts(a), parts(b), lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    same = _counted(a, b, lambda x, y: np.count_nonzero(x == y))
     n = F.greatest(F.octet_length(a), F.octet_length(b))
     return F.when(n == 0, 1.0).otherwise(same / n)
 
 
 def bit_error_rate(a: Column, b: Column) -> Column:
     """Share of bits that differ; a gap in length counts in full."""
-    least = F.least(F.octet_length(a), F.octet_length(b))
-    pairs = F.zip_with(F.split(D.bits(F.substring(a, F.lit(1), least)), ""), F.split(D.bits(F.substring(b, F.lit(1), least)), ""), lambda x, y: F.when(x == y, 0).otherwise(1))
-    errors = F.aggregate(pairs, F.lit(0), lambda s, x: s + x) + F.abs(F.octet_length(a) - F.octet_length(b)) * 8
+    errors = _counted(a, b, lambda x, y: np.bitwise_count(x ^ y).sum(dtype=np.int64)) + F.abs(F.octet_length(a) - F.octet_length(b)) * 8
     n = F.greatest(F.octet_length(a), F.octet_length(b)) * 8
     return F.when(n == 0, 0.0).otherwise(errors / n)
 
@@ -83,8 +97,8 @@ def integrity_rows(df: DataFrame, keys: list[str], stored: str, recovered: str)
 def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns behind the Simple mapping, read back through substitutions. A changed header base leaves nothing to read."""
     turns = table(spark, sf_dir, "conversations", spread=True).select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("stored"))
-    noisy = N.substitution_noise(turns.withColumn("dna", D.simple(F.col("stored"))), ["conv_id", "turn"], "dna", 0.002)
-    back = noisy.select("conv_id", "turn", "stored", D.unsimple(N._joined("places", "base")).alias("recovered"))
+    noisy = N.substituted(turns.withColumn("dna", D.simple(F.col("stored"))), ["conv_id", "turn"], "dna", 0.002)
+    back = noisy.select("conv_id", "turn", "stored", D.unsimple(F.col("noisy")).alias("recovered"))
     return integrity_rows(back, ["conv_id", "turn"], "stored", "recovered")
 
 
@@ -124,7 +138,7 @@ def method_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "Original data": bytes_text(original),
             "Payload size": bytes_text(stored),
             "Estimated DNA length": F.format_string("%,d nt", (stored * 4).cast("long")),
-            "Compression ratio": F.when(original > 0, F.format_string("%.2fx", F.round(original / F.greatest(stored, F.lit(1)), 2))),
+            "Compression ratio": F.when(original > 0, F.format_string("%.2fx", D.rounded(original / F.greatest(stored, F.lit(1)), 2))),
             "Size reduction": saved,
         },
     )

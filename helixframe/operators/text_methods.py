@@ -93,8 +93,8 @@ class Codecs:
         raw = F.octet_length("text") * 4
         return rows.select(
             *keys, "text", "method", "tokens", dna.alias("codec_dna"), (2 * F.length(dna)).alias("codec_bits"), D.unbits(dna_bits(dna)).alias("payload"),
-            raw.alias("raw_bases"), F.round(F.length(dna) / F.greatest(raw, F.lit(1)), 6).alias("ratio_to_raw"),
-            F.round((1 - F.length(dna) / F.greatest(raw, F.lit(1))) * 100, 4).alias("reduction_percent"),
+            raw.alias("raw_bases"), D.rounded(F.length(dna) / F.greatest(raw, F.lit(1)), 6).alias("ratio_to_raw"),
+            D.rounded((1 - F.length(dna) / F.greatest(raw, F.lit(1))) * 100, 4).alias("reduction_percent"),
         )
 
     def units(self, method: Column, dna: Column, tokens: Column) -> Column:
@@ -167,9 +167,9 @@ def compared(codecs: Codecs, noisy: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("units").alias("units"), F.sum("right").alias("right_units"), F.sum("unknown").alias("unknown_units"), F.count_if(F.col("right") == F.col("units")).alias("same_texts"),
     )
     return by.select(
-        "method", "error_rate", "texts", "dna_bases", "substituted_bases", F.round(F.col("substituted_bases") / F.greatest("dna_bases", F.lit(1)), 6).alias("actual_rate"),
-        F.round(F.col("dna_bases") / F.greatest("raw", F.lit(1)), 6).alias("ratio_to_raw"), F.round((1 - F.col("dna_bases") / F.greatest("raw", F.lit(1))) * 100, 4).alias("reduction_percent"),
-        "units", "right_units", "unknown_units", "same_texts", F.round(F.col("right_units") / F.greatest("units", F.lit(1)), 6).alias("unit_accuracy"),
+        "method", "error_rate", "texts", "dna_bases", "substituted_bases", D.rounded(F.col("substituted_bases") / F.greatest("dna_bases", F.lit(1)), 6).alias("actual_rate"),
+        D.rounded(F.col("dna_bases") / F.greatest("raw", F.lit(1)), 6).alias("ratio_to_raw"), D.rounded((1 - F.col("dna_bases") / F.greatest("raw", F.lit(1))) * 100, 4).alias("reduction_percent"),
+        "units", "right_units", "unknown_units", "same_texts", D.rounded(F.col("right_units") / F.greatest("units", F.lit(1)), 6).alias("unit_accuracy"),
     )
 
 

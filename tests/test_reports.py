@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import dna as D
 from helixframe.operators import contexts as C
 from helixframe.operators import frames as R
 from helixframe.operators import quality as Y
@@ -90,6 +91,21 @@ def test_byte_accuracy_and_bit_errors(spark):
         assert r.y == pytest.approx((sum((x ^ y).bit_count() for x, y in zip(a, b)) + abs(len(a) - len(b)) * 8) / (8 * n) if n else 0)
 
 
+def test_ratios_round_as_the_sql_does(spark):
+    """Ratios such as 41 / 40, whose shortest decimal number is a tie and whose double is below it."""
+    import duckdb
+
+    pairs = [(o, s) for o in (41, 51, 641, 651, 2078) for s in range(1, 700)]
+    o, s = F.col("o"), F.col("s")
+    df = spark.createDataFrame(pairs, "o long, s long")
+    got = df.select("o", "s", D.rounded(o / s, 2).alias("x"), D.rounded(o / s, 6).alias("y"), Y.percent(1 - s / o).alias("p")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (o BIGINT, s BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", pairs)
+    want = con.execute("SELECT o, s, round(o / s, 2), round(o / s, 6), printf('%.2f', round((1 - s / o) * 100, 2)) || '%' FROM t").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and {(r.o, r.s): r.x for r in got}[41, 40] == 1.02
+
+
 def test_integrity_rows_of_nothing(spark):
     df = spark.createDataFrame([(1, bytearray(b""), None), (2, bytearray(b"abc"), None), (3, bytearray(b"abc"), bytearray(b"abc"))], "k int, a binary, b binary")
     got = {(r.k, r.metric): r.value for r in Y.integrity_rows(df, ["k"], "a", "b").collect()}
