@@ -182,7 +182,8 @@ def word_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["conv_id", "turn"]
     turns = table(spark, sf_dir, "conversations", spread=True).select(*keys, "text")
     codecs = X.Codecs(turns)
-    noisy = X.noisy_at(codecs.packages(turns, keys, ("D_SPARSE_SEMANTIC",)), keys, (WORD_ERROR,))
+    made = codecs.packages(turns, keys, ("D_SPARSE_SEMANTIC",)).select(*keys, "text", "method", "tokens", "codec_dna")
+    noisy = X.noisy_at(made, keys, (WORD_ERROR,))
     back = written(noisy.select(*keys, "text", codecs.decode(F.col("method"), F.col("noisy_dna"), F.col("tokens")).alias("decoded")), "decoded-turns")
     likeness = back.select(*keys, F.round(position_accuracy(F.col("text"), F.col("decoded")), 6).alias("position_accuracy"))
     return word_metrics(word_pairs(back, keys, "text", "decoded"), keys).join(likeness, keys)

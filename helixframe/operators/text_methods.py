@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
+from ..functions import draws as R
 from ..functions import duck as Q
 from ..sources.files import read_dna_files, write_dna_files
 from ..sources.scratch import new_path, written
@@ -27,6 +30,8 @@ RATES = (0.01, 0.02, 0.05, 0.10)
 #: What SQL can say as well.
 PLAIN = ("A_RAW_UTF8", "C_DENSE_TOKEN", "D_SPARSE_SEMANTIC")
 UNKNOWN = "[UNK]"
+_TWO_BITS = np.zeros(256, dtype=np.int64)
+_TWO_BITS[list(D.BASES.encode())] = range(4)
 
 
 def dna_bits(dna: Column) -> Column:
@@ -54,6 +59,11 @@ class Codecs:
         tokens = {r.token_id: r.token for r in rows}
         codes = {r.code: r.token for r in rows}
         self.unknown = next((r.token_id, r.code) for r in rows if r.token == UNKNOWN)
+        #: numbers as they are where they have a token, else the unknown one's
+        self.known = {
+            "C_DENSE_TOKEN": np.array([i if tokens.get(i) else self.unknown[0] for i in range(1 << WIDTHS["C_DENSE_TOKEN"])]),
+            "D_SPARSE_SEMANTIC": np.array([i if codes.get(i) else self.unknown[1] for i in range(1 << T.CODE_BITS)]),
+        }
         self.by_id = self._literal([tokens.get(i) for i in range(1 << WIDTHS["C_DENSE_TOKEN"])])
         self.by_code = self._literal([codes.get(i) for i in range(1 << T.CODE_BITS)])
 
@@ -109,6 +119,31 @@ class Codecs:
         out = out.when(method == "C_DENSE_TOKEN", D.let(bits, lambda b: listed(WIDTHS["C_DENSE_TOKEN"], b, at(self.by_id))))
         return out.when(method == "D_SPARSE_SEMANTIC", D.let(bits, lambda b: listed(T.CODE_BITS, b, at(self.by_code))))
 
+    def right_units(self, method: Column, sent: Column, got: Column, tokens: Column) -> Column:
+        """Struct (units, right, unknown): the units of a sequence, those that another of its length says as well, and the latter's
+        unknown tokens (of the sparse method); numbers of no token are the unknown one. Null for zlib, which has no units."""
+        widths, known, unknown = WIDTHS, self.known, self.unknown[1]
+
+        def numbers(dna: str, n: int, width: int) -> np.ndarray:
+            two = _TWO_BITS[np.frombuffer(dna.encode(), dtype=np.uint8)]
+            bits = np.stack([two >> 1, two & 1], axis=1).reshape(-1)[: n * width].reshape(n, width)
+            return bits @ (1 << np.arange(width - 1, -1, -1))
+
+        def one(m: str, a: str, b: str, n: int) -> tuple:
+            if not widths[m]:
+                return None, None, None
+            n = len(a) // 4 if m == "A_RAW_UTF8" else n
+            x, y = (numbers(dna, n, widths[m]) for dna in (a, b))
+            if m in known:
+                x, y = known[m][x], known[m][y]
+            return n, int(np.count_nonzero(x == y)), int(np.count_nonzero(y == unknown)) if m == "D_SPARSE_SEMANTIC" else 0
+
+        @F.pandas_udf("units int, right int, unknown int")
+        def right(m: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([one(*row) for row in zip(m, a, b, n)], columns=["units", "right", "unknown"], dtype="Int32")
+
+        return right(method, sent, got, tokens)
+
     def decode(self, method: Column, dna: Column, tokens: Column) -> Column:
         """Text of a codec sequence; bytes that aren't UTF-8 become the replacement character, a broken zlib stream null."""
 
@@ -137,31 +172,32 @@ def restored(packages: DataFrame) -> DataFrame:
 
 def noisy_at(packages: DataFrame, keys: list[str], rates: tuple[float, ...] = RATES) -> DataFrame:
     """packages at each error_rate: noisy_dna, substituted. One draw a base serves all rates, so errors at a rate are among those at a higher one."""
-    k = [F.col(c) for c in keys] + [F.col("method")]
-
-    def draw(base: Column, i: Column) -> Column:
-        digest = N._digest(N.SEED, k, i)
-        hit = N._below(digest, max(rates))
-        return F.when(hit, F.struct(base.alias("base"), F.substring(digest, 1, 8).alias("u"), N._substitute(base, N._second(digest)).alias("other"))).otherwise(F.struct(base.alias("base"), F.lit("g").alias("u"), base.alias("other")))
 
-    drawn = packages.withColumn("draws", F.transform(N._bases(F.col("codec_dna")), draw))
-    rate = F.explode(F.array(*[F.struct(F.lit(r).alias("error_rate"), F.lit(f"{N._bound(r) - 1:08x}").alias("bound")) for r in rates]))
-    rows = drawn.withColumn("rate", rate)
-    hit = lambda x: x["u"] <= F.col("rate.bound")
-    noisy = F.array_join(F.transform("draws", lambda x: F.when(hit(x), x["other"]).otherwise(x["base"])), "")
-    return rows.select(*packages.columns, "rate.error_rate", noisy.alias("noisy_dna"), F.size(F.filter("draws", hit)).alias("substituted"))
+    def work(part, prefixes, bases, lengths):
+        u, other, at = np.empty(len(bases), dtype=np.uint32), bases.copy(), 0
+        for seq, _, (first, second, _, _) in R.digests(prefixes, lengths):
+            own = slice(at, at + len(seq))
+            u[own] = first
+            hit = first < N._bound(max(rates))
+            other[own][hit] = N._other(bases[own][hit], second[hit])
+            at = own.stop
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        for rate in rates:
+            hit = u < N._bound(rate)
+            counts = np.diff(np.concatenate([[0], np.cumsum(hit)])[starts]).astype(np.int32)
+            yield N._with(part, error_rate=pa.array(np.full(len(part), rate)), noisy_dna=R.to_strings(np.where(hit, other, bases), lengths), substituted=pa.array(counts))
+
+    drawn = packages.withColumn("__drawn", F.col("codec_dna"))
+    schema = N._schema(drawn, "__drawn", "error_rate double, noisy_dna string, substituted int")
+    return N._by_batch(drawn, [*keys, "method"], "__drawn", schema, work, N.SEED)
 
 
 def compared(codecs: Codecs, noisy: DataFrame, keys: list[str]) -> DataFrame:
     """method, error_rate and the sums of the benchmark: bases, substitutions, units and those that come back right."""
-    n = F.col("tokens")
     rows = noisy.select(
         "method", "error_rate", "substituted", F.length("codec_dna").cast("long").alias("bases"), "raw_bases",
-        codecs.units(F.col("method"), F.col("codec_dna"), n).alias("sent"), codecs.units(F.col("method"), F.col("noisy_dna"), n).alias("got"),
-    )
-    same = F.aggregate(F.zip_with("sent", "got", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    unknown = F.when(F.col("method") == "D_SPARSE_SEMANTIC", F.size(F.filter("got", lambda x: x == UNKNOWN))).otherwise(0)
-    rows = rows.select("*", F.size("sent").alias("units"), same.alias("right"), unknown.alias("unknown"))
+        codecs.right_units(F.col("method"), F.col("codec_dna"), F.col("noisy_dna"), F.col("tokens")).alias("u"),
+    ).select("*", "u.*")
     by = rows.groupBy("method", "error_rate").agg(
         F.count(F.lit(1)).alias("texts"), F.sum("bases").alias("dna_bases"), F.sum("substituted").alias("substituted_bases"), F.sum("raw_bases").alias("raw"),
         F.sum("units").alias("units"), F.sum("right").alias("right_units"), F.sum("unknown").alias("unknown_units"), F.count_if(F.col("right") == F.col("units")).alias("same_texts"),
@@ -210,7 +246,8 @@ def text_method_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Method by error rate over the conversations' turns."""
     turns = _turns(spark, sf_dir)
     codecs = Codecs(turns)
-    return compared(codecs, noisy_at(codecs.packages(turns, KEYS, PLAIN), KEYS), KEYS)
+    made = codecs.packages(turns, KEYS, PLAIN).select(*KEYS, "method", "tokens", "codec_dna", "raw_bases")
+    return compared(codecs, noisy_at(made, KEYS), KEYS)
 
 
 def dna_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

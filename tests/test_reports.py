@@ -50,6 +50,21 @@ def test_benchmark_of_no_noise_is_right(turns):
             assert r.unit_accuracy < 0.6 and 0.3 < r.actual_rate < 0.5
 
 
+def test_right_units_are_those_of_the_decoded_units(turns):
+    """Counted from the bits, as the decoded units say; and no base is drawn by an expression of its own."""
+    codecs = X.Codecs(turns)
+    noisy = X.noisy_at(codecs.packages(turns, ["conv_id", "turn"]), ["conv_id", "turn"], (0.02, 0.3))
+    assert "md5" not in noisy._jdf.queryExecution().optimizedPlan().toString()
+    m, n = F.col("method"), F.col("tokens")
+    right = codecs.right_units(m, F.col("codec_dna"), F.col("noisy_dna"), n).alias("r")
+    for r in noisy.select("method", right, codecs.units(m, F.col("codec_dna"), n).alias("a"), codecs.units(m, F.col("noisy_dna"), n).alias("b")).collect():
+        if r.method == "B_ZLIB":
+            assert r.a is None and tuple(r.r) == (None, None, None)
+        else:
+            assert tuple(r.r)[:2] == (len(r.a), sum(x == y for x, y in zip(r.a, r.b)))
+            assert r.r.unknown == (sum(y == X.UNKNOWN for y in r.b) if r.method == "D_SPARSE_SEMANTIC" else 0)
+
+
 def test_dna_files(spark, turns, tmp_path):
     codecs = X.Codecs(turns)
     made = codecs.packages(turns, ["conv_id", "turn"], ("A_RAW_UTF8",)).select("conv_id", "turn", "tokens", F.col("codec_dna").alias("dna"))
