@@ -56,16 +56,23 @@ TURN_TOKENS = _tokens_sql("conv_id, turn", "conversations")
 
 
 def tokens_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))
-    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("token").alias("distinct_tokens"), F.max_by("token", "pos").alias("last_token"), F.sum(F.length("token")).alias("chars"))
+    """Counted within the row; rows of one doc_id meet with a text's distinct tokens only."""
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(V.TOKEN), F.lit(0)).alias("l"))
+    own = docs.select(
+        "doc_id", F.size("l").cast("long").alias("tokens"), F.array_distinct("l").alias("own"), F.try_element_at("l", F.lit(-1)).alias("last"), F.length(F.array_join("l", "")).cast("long").alias("chars")
+    )
+    distinct = F.array_distinct(F.flatten(F.collect_list("own")))  # the tokens of one document
+    return own.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.size(distinct).cast("long").alias("distinct_tokens"), F.max_by("last", "tokens").alias("last_token"), F.sum("chars").alias("chars")).where("tokens > 0")
 
 
 TOKENS_SQL = f"WITH {DOC_TOKENS} SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens, arg_max(token, pos) AS last_token, sum(length(token))::BIGINT AS chars FROM tokens GROUP BY doc_id"
 
 
 def tokens_language_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language's equal tokens are counted first, so each distinct one is classified once."""
     t = tokens(table(spark, sf_dir, "documents", spread=True).select("lang", "text"))
-    return t.groupBy("lang", language_class(F.col("token")).alias("class")).agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("token").alias("distinct_tokens"))
+    counted = t.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("lang", language_class(F.col("token")).alias("class")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct_tokens"))
 
 
 CLASS_SQL = f"WITH {DOC_TOKENS} SELECT lang, {_CLASS_SQL} AS class, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens FROM tokens JOIN documents USING (doc_id) GROUP BY ALL"
