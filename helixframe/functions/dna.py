@@ -64,7 +64,7 @@ def _nibbles(digits: Column) -> Column:
 
 def unplain(dna: Column) -> Column:
     """Binary of a header-less sequence of an even number of dimers; null where it isn't one."""
-    return F.when((F.length(dna) % 4 == 0) & (F.translate(dna, BASES, "") == ""), _nibbles(F.translate(dna, BASES, "4567")))
+    return F.when((F.length(dna) % 4 == 0) & ~F.rlike(dna, F.lit("[^ACGT]")), _nibbles(F.translate(dna, BASES, "4567")))
 
 
 def unsimple(dna: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,17 +50,29 @@ def _decode(mapping: str, back: str):
 
 def metrics(df: DataFrame, dna: str = "dna") -> DataFrame:
     """df with GC share (six decimals), longest run, and counts of runs by length."""
-    df = df.withColumn("__runs", D.runs(F.col(dna)))
-
-    def of_length(k: int) -> Column:
-        return F.size(F.filter("__runs", lambda r: r == k))
-
-    counted = df.withColumns({"total_runs": F.size("__runs"), **{f"len_{k}": of_length(k) for k in range(1, 5)}})
-    least = {k: F.col("total_runs") - sum((F.col(f"len_{j}") for j in range(2, k)), F.col("len_1")) for k in range(2, 6)}
-    return counted.withColumns(
+    names = ("total_runs", "len_1", "len_2", "len_3", "len_4", "longest")
+
+    def one(sequence: str | None) -> tuple:
+        if sequence is None:
+            return (None,) * len(names)
+        values = np.frombuffer(sequence.encode(), dtype=np.uint8)
+        ends = np.flatnonzero(np.concatenate([values[1:] != values[:-1], [True]])) if len(values) else np.empty(0, dtype=np.int64)
+        runs = np.diff(ends, prepend=-1)[_BASE[values[ends]]]  # of bases only
+        counts = np.bincount(np.minimum(runs, 5), minlength=5)
+        return len(runs), *(int(c) for c in counts[1:5]), int(runs.max(initial=0))
+
+    @F.pandas_udf(", ".join(f"{n} int" for n in names))
+    def counted(sequences: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(s) for s in sequences], columns=list(names), dtype="Int32")
+
+    runs = lambda n: F.col("__runs")[n]
+    df = df.withColumn("__runs", counted(dna))
+    least = {k: runs("total_runs") - sum((runs(f"len_{j}") for j in range(2, k)), runs("len_1")) for k in range(2, 6)}
+    return df.withColumns(
         {
+            **{n: runs(n) for n in names[:-1]},
             "gc": F.round(D.gc(F.col(dna)), 6),
-            "longest": F.coalesce(F.array_max("__runs"), F.lit(0)),
+            "longest": F.coalesce(runs("longest"), F.lit(0)),
             "runs_ge2": least[2],
             "runs_ge3": least[3],
             "runs_ge4": least[4],
@@ -65,6 +81,10 @@ def metrics(df: DataFrame, dna: str = "dna") -> DataFrame:
     ).drop("__runs")
 
 
+_BASE = np.zeros(256, dtype=bool)
+_BASE[list(D.BASES.encode())] = True
+
+
 def dna_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(encoded(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))).drop("text", "dna")
 
@@ -90,19 +110,27 @@ GC_BY_LANG_SQL = f"""SELECT lang, count(*) AS docs, sum(length(dna))::BIGINT AS
 FROM (SELECT lang, {Q.simple("text")} AS dna FROM documents) GROUP BY lang"""
 
 
+def bits_report(payload: Column) -> Column:
+    """Bits of each payload: their number, ones and digest as text, whether they make the payload again, and the bytes that all but the
+    last three make, padded and cut. A payload's bits stay in the task."""
+
+    def one(raw: bytes) -> tuple:
+        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8))
+        cut = bits[: max(len(bits) - 3, 0)]
+        whole = cut[: len(cut) // 8 * 8]
+        digest = hashlib.md5((bits + np.uint8(48)).tobytes()).hexdigest()
+        return len(bits), int(np.count_nonzero(bits)), digest, np.packbits(bits).tobytes() == raw, len(np.packbits(cut)), len(np.packbits(whole))
+
+    @F.pandas_udf("n_bits int, ones int, bits_md5 string, same boolean, padded_bytes int, whole_bytes int")
+    def report(payloads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(bytes(p)) for p in payloads], columns=["n_bits", "ones", "bits_md5", "same", "padded_bytes", "whole_bytes"])
+
+    return report(payload)
+
+
 def bits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
-    df = df.withColumn("bits", D.bits(F.col("payload")))
-    cut = F.substring("bits", F.lit(1), F.greatest(F.length("bits") - 3, F.lit(0)))
-    return df.select(
-        "doc_id",
-        F.length("bits").alias("n_bits"),
-        F.length(F.replace("bits", F.lit("0"), F.lit(""))).alias("ones"),
-        F.md5("bits").alias("bits_md5"),
-        (D.unbits(F.col("bits")) == F.col("payload")).alias("same"),
-        F.octet_length(D.unbits(cut)).alias("padded_bytes"),
-        F.octet_length(D.unbits(cut, pad=False)).alias("whole_bytes"),
-    )
+    return df.select("doc_id", bits_report("payload").alias("r")).select("doc_id", "r.*")
 
 
 BITS_SQL = f"""SELECT doc_id, length(b)::INT AS n_bits, length(replace(b, '0', ''))::INT AS ones, md5(b) AS bits_md5, true AS same,
