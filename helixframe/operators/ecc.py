@@ -16,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
+from ..functions import draws as R
 from ..functions.galois import field, reed_solomon
 from ..sources.tables import table
 from . import noise as N
@@ -30,6 +32,8 @@ INDEX, PAYLOAD, PARITY = 4, 16, 8
 DATA, SPARE, OUTER = 10, 2, 6
 # Fixed values of the matrix code: rows, bases of index and symbol, percentage of parity columns.
 ROWS, NT, REDUNDANCY = 14, 8, 15.0
+#: Bytes of payloads, and strands, that a task codes at a time.
+SLICE, STRANDS = 1 << 20, 1 << 15
 # Fixed values of the block code: output table, order of bases, data symbols, check symbols, state symbols, error budgets.
 STEP = np.array([[1, 2, 3, 0], [0, 1, 3, 2], [2, 3, 1, 0], [3, 0, 2, 1]])
 BLOCK_BASES, BLOCK, CHECK, STATE, BUDGETS, CANDIDATES = "ATGC", 70, 4, 3, (0, 1, 2, 3), 128
@@ -96,11 +100,20 @@ def concatenated_recover(found: dict[int, list[int]]) -> np.ndarray | None:
     return field(14).matmul(m, np.array([found[s] for s in have]))
 
 
+def _slices(sizes, most: int) -> Iterator[slice]:
+    """Runs of items that begin within `most` of each other, by the sum of their sizes."""
+    sizes = np.asarray(sizes, dtype=np.int64)
+    step = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(sizes)]
+    return (slice(a, z) for a, z in zip(cuts, cuts[1:]) if z > a)
+
+
 def _encode_frame(encode, key: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, *row) for k, p in zip(pdf[key], pdf["payload"]) for row in encode(bytes(p))]
-            yield pd.DataFrame(rows, columns=[key, "grp", "no", "core"])
+            for own in _slices(pdf["payload"].map(len), SLICE):
+                rows = [(k, *row) for k, p in zip(pdf[key][own], pdf["payload"][own]) for row in encode(bytes(p))]
+                yield pd.DataFrame(rows, columns=[key, "grp", "no", "core"])
 
     return run
 
@@ -160,50 +173,125 @@ def parity_columns(columns: int, percent: float = REDUNDANCY) -> int:
     return max(1, math.ceil(columns * r / (1 - r))) if r > 0 else 0
 
 
+def _matrix(data: bytes) -> np.ndarray:
+    """Columns of a payload, with zero bytes behind it."""
+    columns = max(1, -(-len(data) // (2 * ROWS)))
+    return np.frombuffer(data.ljust(columns * 2 * ROWS, b"\0"), ">u2").reshape(columns, ROWS)
+
+
+def _matrix_words(payloads: list[bytes], percent: float) -> Iterator[tuple[list[int], np.ndarray]]:
+    """For payloads of as many columns each: their places, and index and symbols of every strand (payload, column, symbol)."""
+    f, alike = field(16), {}
+    for i, p in enumerate(payloads):
+        alike.setdefault(-(-len(p) // (2 * ROWS)), []).append(i)
+    for own in alike.values():
+        data = np.stack([_matrix(payloads[i]) for i in own], axis=1).astype(np.int64)
+        columns = len(data)
+        xs = f.power(np.arange(columns + parity_columns(columns, percent)))
+        words = np.empty((len(own), len(xs), 1 + ROWS), dtype=np.int64)
+        words[:, :, 0] = np.arange(len(xs))
+        words[:, :columns, 1:] = data.swapaxes(0, 1)
+        words[:, columns:, 1:] = f.interpolated(xs[:columns], xs[columns:], data).swapaxes(0, 1)
+        yield own, words
+
+
+@functools.lru_cache(maxsize=None)
+def _word_bases() -> np.ndarray:
+    """The eight bases of each 16-bit symbol."""
+    return np.frombuffer(D.BASES.encode(), dtype=np.uint8)[np.arange(1 << 16)[:, None] >> np.arange(2 * NT - 2, -2, -2) & 3]
+
+
+def _base_words(flat: np.ndarray) -> np.ndarray:
+    """16-bit symbols of bases, strand by strand."""
+    two = np.zeros(256, dtype=np.int32)
+    two[list(D.BASES.encode())] = range(4)
+    return (two[flat].reshape(-1, NT) @ (1 << np.arange(2 * NT - 2, -2, -2, dtype=np.int32))).reshape(-1, 1 + ROWS)
+
+
 def matrix_encode(data: bytes, percent: float = REDUNDANCY) -> list[tuple[int, int, str]]:
     """(0, column, strand of 120 bases)."""
-    symbols = np.frombuffer(data + b"\0" * (len(data) % 2), ">u2").astype(np.int64) if data else np.zeros(1, dtype=np.int64)
-    columns = -(-len(symbols) // ROWS)
-    matrix = np.concatenate([symbols, np.zeros(columns * ROWS - len(symbols), dtype=np.int64)]).reshape(columns, ROWS)
-    f, extra = field(16), parity_columns(columns, percent)
-    if extra:
-        xs = f.power(np.arange(columns + extra))
-        matrix = np.concatenate([matrix, f.matmul(f.interpolation(xs[:columns], xs[columns:]), matrix)])
-    return [(0, c, _letters(_regroup(np.concatenate([[c], own]), 16, 2))) for c, own in enumerate(matrix)]
+    ((_, words),) = _matrix_words([data], percent)
+    return [(0, c, bases.tobytes().decode()) for c, bases in enumerate(_word_bases()[words[0] & 0xFFFF])]
+
+
+def matrix_strands(df: DataFrame, key: str, percent: float = REDUNDANCY) -> DataFrame:
+    """key, grp, no, core of each payload as matrix_encode has them; payloads of as many columns are coded together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, payloads = batch.column(0), batch.column(1).to_pylist()
+            for part in _slices([len(p) for p in payloads], SLICE):
+                for own, words in _matrix_words(payloads[part], percent):
+                    n, columns = words.shape[:2]
+                    of = pa.array(np.repeat(np.array(own) + part.start, columns))
+                    core = R.to_strings(_word_bases()[words & 0xFFFF].reshape(-1), np.full(n * columns, NT * (1 + ROWS)))
+                    no = np.tile(np.arange(columns, dtype=np.int32), n)
+                    yield pa.RecordBatch.from_arrays([keys.take(of), pa.array(np.zeros(len(no), dtype=np.int32)), pa.array(no), core], names=[key, "grp", "no", "core"])
+
+    return df.select(F.col(key).cast("long").alias(key), "payload").mapInArrow(run, f"{key} long, grp int, no int, core string")
+
+
+def _matrix_recover(words: np.ndarray, of: np.ndarray, sizes: list[int], percent: float) -> list[bytes | None]:
+    """Payloads of so many bytes from the words of their strands (index, symbols); of: each strand's payload, in rising order.
+
+    As many columns as a payload has are enough; erasures only, the first strand of a column counts. Payloads that lack the same
+    columns are recovered together.
+    """
+    f, alike, out = field(16), {}, [None] * len(sizes)
+    columns = np.array([max(1, -(-n // (2 * ROWS))) for n in sizes], dtype=np.int64)
+    total = np.array([c + parity_columns(c, percent) for c in columns.tolist()], dtype=np.int64)
+    known = np.flatnonzero(words[:, 0] < total[of])
+    _, first = np.unique(of[known] << 16 | words[known, 0], return_index=True)
+    known = known[first]  # by payload and column
+    bounds = np.searchsorted(of[known], np.arange(len(sizes) + 1)).tolist()
+    for i, (a, z) in enumerate(zip(bounds, bounds[1:])):
+        have = words[known[a:z], 0]
+        if len(have) >= columns[i]:
+            alike.setdefault((int(columns[i]), have[: columns[i]].tobytes()), []).append(i)
+    for (n, _), own in alike.items():
+        rows = known[np.array([bounds[i] for i in own])[:, None] + np.arange(n)]
+        use = words[rows[0], 0]
+        missing = np.setdiff1d(np.arange(n), use)
+        values, matrix = words[rows, 1:].swapaxes(0, 1), np.empty((n, len(own), ROWS), dtype=np.int64)
+        matrix[use[use < n]] = values[use < n]
+        if len(missing):
+            matrix[missing] = f.interpolated(f.power(use), f.power(missing), values)
+        for i, m in zip(own, matrix.swapaxes(0, 1).astype(">u2")):
+            out[i] = m.tobytes()[: sizes[i]]
+    return out
 
 
 def matrix_decode(strands: list[str], size: int, percent: float = REDUNDANCY) -> bytes | None:
     """Payload of so many bytes from as many columns as it has; erasures only, the first strand of a column counts."""
-    columns = max(1, -(-max(1, -(-size // 2)) // ROWS))
-    total, found = columns + parity_columns(columns, percent), {}
-    for s in strands:
-        values = _regroup(_digits(s), 2, 16)
-        if values[0] < total:
-            found.setdefault(int(values[0]), values[1:])
-    if len(found) < columns:
-        return None
-    f, have = field(16), sorted(found)
-    missing = [c for c in range(columns) if c not in found]
-    xs = f.power(np.arange(total))
-    if missing:
-        use = have[:columns]
-        values = f.matmul(f.interpolation(xs[use], xs[missing]), np.array([found[c] for c in use]))
-        found |= dict(zip(missing, values))
-    return np.concatenate([found[c] for c in range(columns)]).astype(">u2").tobytes()[:size]
+    words = np.array([_regroup(_digits(s), 2, 16) for s in strands], dtype=np.int64).reshape(-1, 1 + ROWS)
+    return _matrix_recover(words, np.zeros(len(words), dtype=np.int64), [size], percent)[0]
 
 
-def matrix_rs_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns through the matrix code with every tenth column lost (a lone data column keeps its spare)."""
-    df = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg"), F.encode("text", "UTF-8").alias("payload"))
+def matrix_payload(cores: Column, size: Column, percent: float = REDUNDANCY) -> Column:
+    """Binary of size bytes from an array of strands, as matrix_decode has it; a strand of another length counts as lost."""
+
+    @F.arrow_udf("binary")
+    def decoded(listed: pa.Array, sizes: pa.Array) -> pa.Array:
+        counts, sizes, out = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), sizes.to_pylist(), []
+        for part in _slices(counts, STRANDS):
+            flat, lengths = R.strings(listed[part].flatten())
+            of = np.repeat(np.arange(part.stop - part.start), counts[part])
+            whole = lengths == NT * (1 + ROWS)
+            words = _base_words(flat[np.repeat(whole, lengths)])
+            out += _matrix_recover(words, of[whole], sizes[part], percent)
+        return pa.array(out, type=pa.binary())
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf["bytes"].iat[0])
-        return pd.DataFrame({"msg": [pdf["msg"].iat[0]], "bytes": [size], "columns": [len(pdf)], "decoded": [matrix_decode(pdf.sort_values("no")["core"].tolist(), size)]})
+    return decoded(cores, size)
 
-    strands = df.mapInPandas(_encode_frame(matrix_encode, "msg"), "msg long, grp int, no int, core string")
-    read = strands.where(F.col("no") % 10 != 3).join(df.select("msg", F.octet_length("payload").alias("bytes")), "msg")
-    out = read.groupBy("msg").applyInPandas(decode, "msg long, bytes int, columns int, decoded binary")
-    return out.join(df, "msg").select("msg", "bytes", "columns", F.coalesce(F.col("decoded") == F.col("payload"), F.lit(False)).alias("same"))
+
+def matrix_rs_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns through the matrix code with every tenth column lost (a lone data column keeps its spare)."""
+    df = table(spark, sf_dir, "conversations", spread=True).select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
+    read = matrix_strands(df, "msg").where(F.col("no") % 10 != 3)
+    listed = read.groupBy("msg").agg(F.array_sort(F.collect_list(F.struct("no", "core"))).alias("l"))  # a message's strands, no more
+    met = listed.join(df, "msg").select("msg", F.octet_length("payload").alias("bytes"), "l", "payload")
+    decoded = matrix_payload(F.transform("l", lambda x: x["core"]), F.col("bytes"))
+    return met.select("msg", "bytes", F.size("l").alias("columns"), F.coalesce(decoded == F.col("payload"), F.lit(False)).alias("same"))
 
 
 # Block code: three chained four-state machines, a CRC-8 and the final states in every block.

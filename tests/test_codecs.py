@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import tracemalloc
 import zipfile
 
 import numpy as np
@@ -107,6 +108,33 @@ def test_concatenated_and_matrix_codes(data):
     assert all(len(s) == 120 for s in strands)
 
 
+def test_matrix_code_of_many_messages(spark, tmp_path):
+    """Together they are coded as one by one, whatever is lost, and no product of matrices is there as a whole."""
+    rng = np.random.default_rng(3)
+    data = {k: rng.bytes(n) for k, n in enumerate([0, 1, 28, 29, 56, 300, 300, 301, 2000])}
+    df = spark.createDataFrame(list(data.items()), "msg long, payload binary").coalesce(1)
+    made = {}
+    for r in ecc.matrix_strands(df, "msg").collect():
+        made.setdefault(r.msg, []).append((r.grp, r.no, r.core))
+    assert {k: sorted(v) for k, v in made.items()} == {k: ecc.matrix_encode(d) for k, d in data.items()}
+    rows = []
+    for k, d in data.items():
+        for lost in (0, 0.05, 0.12, 0.3, 1):
+            kept = [core for _, _, core in made[k] if rng.random() >= lost]
+            rng.shuffle(kept)
+            rows.append((len(d), [*kept, *kept[:2]], ecc.matrix_decode(kept, len(d))))
+    got = spark.createDataFrame(rows, "size int, l array<string>, want binary").select("want", ecc.matrix_payload(F.col("l"), F.col("size")).alias("got")).collect()
+    assert len(got) == len(rows) and all(r.want == r.got for r in got) and any(r.got is None for r in got)
+    spark.createDataFrame([(1, 1, "a" * 99), (1, 2, None), (2, 1, "")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted((r.msg, r.bytes, r.columns, r.same) for r in ecc.matrix_rs_erasure(spark, str(tmp_path)).collect()) == [(1001, 99, 4, True), (1002, 0, 2, True), (2001, 0, 2, True)]
+    a, b = rng.integers(0, 1 << 16, (100, 1000)), rng.integers(0, 1 << 16, (1000, 14))
+    tracemalloc.start()
+    product = field(16).matmul(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000 and (product[7] == np.bitwise_xor.reduce(field(16).mul(a[7][:, None], b), axis=0)).all()
+
+
 def test_block_code():
     data = bytes(range(40))
     blocks = ecc.block_encode(data)
