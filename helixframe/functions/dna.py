@@ -67,6 +67,11 @@ def unplain(dna: Column) -> Column:
     return F.when((F.length(dna) % 4 == 0) & ~F.rlike(dna, F.lit("[^ACGT]")), _nibbles(F.translate(dna, BASES, "4567")))
 
 
+def whole_bytes(dna: Column) -> Column:
+    """Binary of a header-less sequence of any length, with bases of 0 behind it up to a whole byte."""
+    return unplain(F.rpad(dna, (F.ceil(F.length(dna) / 4) * 4).cast("int"), F.lit(BASES[0])))
+
+
 def unsimple(dna: Column) -> Column:
     """Binary behind a Simple header; CA is one zero byte, other headers and odd lengths are null."""
     return F.when(dna == "CA", F.unhex(F.lit("00"))).when(F.startswith(dna, F.lit("A")), unplain(F.substring(dna, F.lit(2), F.length(dna))))

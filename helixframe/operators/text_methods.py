@@ -7,7 +7,9 @@ once and bounded by its limit, so decoding looks ids up in one array of literals
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,12 +48,22 @@ def bits_dna(bits: Column) -> Column:
     return D.bit_pairs(F.concat(bits, F.repeat(F.lit("0"), F.length(bits) % 2)), D.BASES)
 
 
+def _bits(dna: str) -> np.ndarray:
+    two = _TWO_BITS[np.frombuffer(dna.encode(), dtype=np.uint8)]
+    return np.stack([two >> 1, two & 1], axis=1).reshape(-1)
+
+
+def _numbers(dna: str, n: int, width: int) -> np.ndarray:
+    """The first n numbers of so many bits."""
+    return _bits(dna)[: n * width].reshape(n, width) @ (1 << np.arange(width - 1, -1, -1))
+
+
 class Codecs:
     """The four methods over one table's vocabulary."""
 
     def __init__(self, texts: DataFrame, text: str = "text", limit: int = T.VOCABULARY) -> None:
         spark = texts.sparkSession
-        dense = T.vocabulary(T.tokens(texts.select(text), text), limit)
+        dense = written(T.vocabulary(T.tokens(texts.select(text), text), limit), "vocabulary")
         sparse = T.semantic_ids(dense).join(T.parity_codebook(spark, ""), "code_id")
         self.text = text
         self.book = written(dense.join(sparse.select("token", "code"), "token"), "codec-book")
@@ -64,22 +76,26 @@ class Codecs:
             "C_DENSE_TOKEN": np.array([i if tokens.get(i) else self.unknown[0] for i in range(1 << WIDTHS["C_DENSE_TOKEN"])]),
             "D_SPARSE_SEMANTIC": np.array([i if codes.get(i) else self.unknown[1] for i in range(1 << T.CODE_BITS)]),
         }
-        self.by_id = self._literal([tokens.get(i) for i in range(1 << WIDTHS["C_DENSE_TOKEN"])])
-        self.by_code = self._literal([codes.get(i) for i in range(1 << T.CODE_BITS)])
+        numbered = {"C_DENSE_TOKEN": [tokens.get(i) for i in range(1 << WIDTHS["C_DENSE_TOKEN"])], "D_SPARSE_SEMANTIC": [codes.get(i) for i in range(1 << T.CODE_BITS)]}
+        self.by_id, self.by_code = map(self._literal, numbered.values())
+        self.words = {m: [t or UNKNOWN for t in own] for m, own in numbered.items()}
 
     @staticmethod
     def _literal(tokens: list[str | None]) -> Column:
         """Tokens at their numbers; the empty string, which is no token, where there is none."""
         return F.split(F.lit("\x00".join(t or "" for t in tokens)), "\x00")
 
-    def _token_bits(self, texts: DataFrame, keys: list[str]) -> DataFrame:
-        """keys, tokens, dense, sparse: the two methods' bits, from one pass over the tokens."""
-        coded = T.tokens(texts.select(*keys, self.text), self.text).join(F.broadcast(self.book), "token", "left")
-        bits = lambda c, unknown, width: F.lpad(F.bin(F.coalesce(c, F.lit(unknown))), width, "0")
-        one = F.struct("pos", bits("token_id", self.unknown[0], WIDTHS["C_DENSE_TOKEN"]).alias("dense"), bits("code", self.unknown[1], T.CODE_BITS).alias("sparse"))
+    def _token_dna(self, texts: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, tokens, dense, sparse: the two methods' sequences, from one pass over the tokens; their units are made once a word."""
+        unit = lambda c, width: F.lpad(F.bin(c), width, "0")
+        units = lambda i, code: (bits_dna(unit(i, WIDTHS["C_DENSE_TOKEN"])).alias("dense"), unit(code, T.CODE_BITS).alias("sparse"))
+        book = self.book.select("token", F.struct(*units(F.col("token_id"), F.col("code"))).alias("unit"))
+        unknown = F.struct(*units(*map(F.lit, self.unknown)))
+        coded = T.tokens(texts.select(*keys, self.text), self.text).join(F.broadcast(book), "token", "left")
+        one = F.struct("pos", F.coalesce("unit", unknown).alias("unit"))
         listed = coded.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("l"))  # a text's tokens, no more
-        join = lambda f: F.array_join(F.transform("l", lambda x: x[f]), "").alias(f)
-        return listed.select(*keys, F.size("l").alias("tokens"), join("dense"), join("sparse"))
+        join = lambda f: F.array_join(F.transform("l", lambda x: x["unit"][f]), "")
+        return listed.select(*keys, F.size("l").alias("tokens"), join("dense").alias("dense"), bits_dna(join("sparse")).alias("sparse"))
 
     def packages(self, texts: DataFrame, keys: list[str], methods: tuple[str, ...] = tuple(WIDTHS)) -> DataFrame:
         """keys, text, method, tokens, codec_dna, codec_bits (their number), payload, and the sizes; a row a text and method."""
@@ -92,19 +108,20 @@ class Codecs:
         # as many tasks as there are cores at least: what follows costs more than a partition's size tells
         n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.sparkSession.sparkContext.defaultParallelism)
         rows = texts.select(*keys, text.alias("text")).repartition(n, *keys)
-        rows = rows.join(self._token_bits(rows.withColumnRenamed("text", self.text), keys), keys, "left")
-        bits = {"A_RAW_UTF8": D.bits(F.col("text")), "C_DENSE_TOKEN": F.coalesce("dense", F.lit("")), "D_SPARSE_SEMANTIC": F.coalesce("sparse", F.lit(""))}
+        rows = rows.join(self._token_dna(rows.withColumnRenamed("text", self.text), keys), keys, "left")
+        of = lambda dna: (dna, D.whole_bytes(dna))
+        raw, dense, sparse = F.col("text").cast("binary"), F.coalesce("dense", F.lit("")), F.coalesce("sparse", F.lit(""))
+        stored = {"A_RAW_UTF8": (D.plain(raw), raw), "C_DENSE_TOKEN": of(dense), "D_SPARSE_SEMANTIC": of(sparse)}
         if "B_ZLIB" in methods:
             rows = rows.withColumn("packed", packed("text"))
-            bits["B_ZLIB"] = D.bits(F.col("packed"))
-        each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), bits[m].alias("bits")) for m in methods]))
+            stored["B_ZLIB"] = D.plain(F.col("packed")), F.col("packed")
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), stored[m][0].alias("codec_dna"), stored[m][1].alias("payload")) for m in methods]))
         rows = rows.select(*keys, "text", F.coalesce("tokens", F.lit(0)).alias("tokens"), each.alias("m")).select(*keys, "text", "tokens", "m.*")
-        dna = bits_dna(F.col("bits"))
-        raw = F.octet_length("text") * 4
+        bases, raw = F.length("codec_dna"), F.octet_length("text") * 4
         return rows.select(
-            *keys, "text", "method", "tokens", dna.alias("codec_dna"), (2 * F.length(dna)).alias("codec_bits"), D.unbits(dna_bits(dna)).alias("payload"),
-            raw.alias("raw_bases"), D.rounded(F.length(dna) / F.greatest(raw, F.lit(1)), 6).alias("ratio_to_raw"),
-            D.rounded((1 - F.length(dna) / F.greatest(raw, F.lit(1))) * 100, 4).alias("reduction_percent"),
+            *keys, "text", "method", "tokens", "codec_dna", (2 * bases).alias("codec_bits"), "payload",
+            raw.alias("raw_bases"), D.rounded(bases / F.greatest(raw, F.lit(1)), 6).alias("ratio_to_raw"),
+            D.rounded((1 - bases / F.greatest(raw, F.lit(1))) * 100, 4).alias("reduction_percent"),
         )
 
     def units(self, method: Column, dna: Column, tokens: Column) -> Column:
@@ -115,7 +132,7 @@ class Codecs:
 
         at = lambda book: lambda b: F.coalesce(F.nullif(F.get(book, F.conv(b, 2, 10).cast("int")), F.lit("")), F.lit(UNKNOWN))
         bits = dna_bits(dna)
-        out = F.when(method == "A_RAW_UTF8", F.regexp_extract_all(F.hex(D.unbits(bits)), F.lit("[0-9A-F]{2}"), F.lit(0)))
+        out = F.when(method == "A_RAW_UTF8", F.regexp_extract_all(F.hex(D.whole_bytes(dna)), F.lit("[0-9A-F]{2}"), F.lit(0)))
         out = out.when(method == "C_DENSE_TOKEN", D.let(bits, lambda b: listed(WIDTHS["C_DENSE_TOKEN"], b, at(self.by_id))))
         return out.when(method == "D_SPARSE_SEMANTIC", D.let(bits, lambda b: listed(T.CODE_BITS, b, at(self.by_code))))
 
@@ -124,16 +141,11 @@ class Codecs:
         unknown tokens (of the sparse method); numbers of no token are the unknown one. Null for zlib, which has no units."""
         widths, known, unknown = WIDTHS, self.known, self.unknown[1]
 
-        def numbers(dna: str, n: int, width: int) -> np.ndarray:
-            two = _TWO_BITS[np.frombuffer(dna.encode(), dtype=np.uint8)]
-            bits = np.stack([two >> 1, two & 1], axis=1).reshape(-1)[: n * width].reshape(n, width)
-            return bits @ (1 << np.arange(width - 1, -1, -1))
-
         def one(m: str, a: str, b: str, n: int) -> tuple:
             if not widths[m]:
                 return None, None, None
             n = len(a) // 4 if m == "A_RAW_UTF8" else n
-            x, y = (numbers(dna, n, widths[m]) for dna in (a, b))
+            x, y = (_numbers(dna, n, widths[m]) for dna in (a, b))
             if m in known:
                 x, y = known[m][x], known[m][y]
             return n, int(np.count_nonzero(x == y)), int(np.count_nonzero(y == unknown)) if m == "D_SPARSE_SEMANTIC" else 0
@@ -157,17 +169,56 @@ class Codecs:
 
             return payloads.map(one, na_action="ignore")
 
-        payload = D.unbits(dna_bits(dna))
-        units = self.units(method, dna, tokens)
+        payload = D.whole_bytes(dna)
         out = F.when(method == "A_RAW_UTF8", F.make_valid_utf8(payload.cast("string")))
-        return out.when(method == "B_ZLIB", inflated(F.when(method == "B_ZLIB", payload))).otherwise(T.detokenize(units))
+        return out.when(method == "B_ZLIB", inflated(F.when(method == "B_ZLIB", payload))).otherwise(self._said(method, dna, tokens))
+
+    def _said(self, method: Column, dna: Column, tokens: Column) -> Column:
+        """Text of a token method's sequence, as `tokens.detokenize` puts its units together; null for the other methods.
+
+        A sequence's numbers are read, and its words joined, at once: a substring or concatenation for each token would go over
+        the whole text every time. Tokens behind the sequence's end are unknown, one that it breaks off has the bits that are there.
+        """
+        widths, words = {m: WIDTHS[m] for m in self.words}, self.words
+
+        def one(table: dict, m: str, dna: str | None, n: int) -> str | None:
+            if m not in widths:
+                return None
+            plain, spaced, closing, glue, unknown = table[m]
+            dna, n, width = dna or "", max(0, int(n)), widths[m]
+            whole = min(n, 2 * len(dna) // width)
+            at = _numbers(dna, whole, width)
+            if whole < n:
+                rest = _bits(dna)[whole * width :]
+                cut = [int(rest @ (1 << np.arange(len(rest))[::-1]))] if len(rest) else []
+                at = np.concatenate([at, cut, np.full(n - whole - len(cut), unknown)]).astype(np.int64)
+            space = ~closing[at]
+            space[:1] = False
+            space[1:] &= ~glue[at[:-1]]
+            return "".join(np.where(space, spaced[at], plain[at])).strip(" ")
+
+        def tables() -> dict:
+            out = {}
+            for m, own in words.items():
+                own = [*own, UNKNOWN]  # the last one is that of no number
+                closing, glue = (np.array([bool(re.search(p, t)) for t in own]) for p in (r"^[.,;:!?)\]}]$", r"^[(\[{]$|[一-鿿]"))
+                out[m] = np.array(own, dtype=object), np.array([" " + t for t in own], dtype=object), closing, glue, len(own) - 1
+            return out
+
+        @F.pandas_udf("string")
+        def said(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            table = tables()
+            for m, dna, n in batches:
+                yield pd.Series([one(table, *row) for row in zip(m, dna, n)], dtype=object)
+
+        return said(method, F.when(method.isin(*widths), dna), F.coalesce(tokens, F.lit(0)))
 
 
 def restored(packages: DataFrame) -> DataFrame:
     """packages with mapped_dna (the payload behind the Simple mapping) and restored_dna, the codec sequence that comes back from it."""
     mapped = packages.withColumn("mapped_dna", D.simple(F.col("payload")))
     bytes_ = F.substring(D.unsimple(F.col("mapped_dna")), F.lit(1), F.octet_length("payload"))  # the empty payload comes back as a byte
-    return mapped.withColumn("restored_dna", bits_dna(F.substring(D.bits(bytes_), F.lit(1), F.col("codec_bits"))))
+    return mapped.withColumn("restored_dna", F.substring(D.plain(bytes_), F.lit(1), (F.col("codec_bits") / 2).cast("int")))
 
 
 def noisy_at(packages: DataFrame, keys: list[str], rates: tuple[float, ...] = RATES) -> DataFrame:

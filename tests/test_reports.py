@@ -14,6 +14,7 @@ from helixframe.operators import contexts as C
 from helixframe.operators import frames as R
 from helixframe.operators import quality as Y
 from helixframe.operators import text_methods as X
+from helixframe.operators import tokens as T
 from helixframe.sources import files, scratch
 
 
@@ -65,6 +66,20 @@ def test_right_units_are_those_of_the_decoded_units(turns):
             assert r.r.unknown == (sum(y == X.UNKNOWN for y in r.b) if r.method == "D_SPARSE_SEMANTIC" else 0)
 
 
+def test_decoded_texts_are_those_of_the_units(turns):
+    """As the units put together by `detokenize` say, from broken sequences and none too, and no expression walks over the tokens."""
+    codecs = X.Codecs(turns)
+    made = codecs.packages(turns, ["conv_id", "turn"], ("C_DENSE_TOKEN", "D_SPARSE_SEMANTIC")).select("method", "tokens", "codec_dna")
+    odd = [("C_DENSE_TOKEN", 3, None), ("D_SPARSE_SEMANTIC", 2, ""), ("D_SPARSE_SEMANTIC", 3, "ACGTACGTAC"), ("C_DENSE_TOKEN", 4, "AAAAACAAC"), ("C_DENSE_TOKEN", None, "ACGT")]
+    rows = made.union(X.noisy_at(made, ["tokens"], (0.3,)).select("method", "tokens", "noisy_dna")).union(turns.sparkSession.createDataFrame(odd, "method string, tokens int, codec_dna string"))
+    m, dna, n = (F.col(c) for c in rows.columns[:1] + ["codec_dna", "tokens"])
+    text = codecs.decode(m, dna, n)
+    got = rows.select(T.detokenize(codecs.units(m, dna, n)).alias("want"), text.alias("got")).collect()
+    assert len(got) == 25 and all(r.want == r.got for r in got) and any("[UNK]" in r.got for r in got)
+    plan = rows.select(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "transform(sequence" not in plan
+
+
 def test_dna_files(spark, turns, tmp_path):
     codecs = X.Codecs(turns)
     made = codecs.packages(turns, ["conv_id", "turn"], ("A_RAW_UTF8",)).select("conv_id", "turn", "tokens", F.col("codec_dna").alias("dna"))
