@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dna as D
 from ..functions import duck as Q
 from ..functions import words as V
+from ..sources.scratch import written
 from ..sources.tables import table
 
 # Tokens of the vocabulary, bits of a sparse code, candidates kept, and the penalty of another language.
@@ -201,9 +202,9 @@ CODEBOOK_SQL = f"SELECT (row_number() OVER (ORDER BY code) - 1)::INT AS code_id,
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Tokens with their sparse codes, and the codebook with its tokens."""
+    """Tokens with their sparse codes, and the codebook with its tokens, which is used several times and so written once."""
     t = _turn_tokens(spark, sf_dir)
-    book = semantic_ids(vocabulary(t)).join(parity_codebook(spark, sf_dir), "code_id")
+    book = written(semantic_ids(vocabulary(t)).join(parity_codebook(spark, sf_dir), "code_id"), "sparse-book")
     unknown = book.where("token = '[UNK]'").select(F.col("code").alias("__unk"))
     coded = t.join(F.broadcast(book.select("token", "code")), "token", "left").crossJoin(F.broadcast(unknown))
     return coded.withColumn("code", F.coalesce("code", "__unk")).drop("__unk"), book
@@ -251,16 +252,23 @@ def candidates(invalid: DataFrame, book: DataFrame, keys: list[str], top: int =
     """The `top` nearest codes of each invalid one, by distance plus the penalty of a language other than English.
 
     An odd-parity code lies 1 or 3 bits from its nearest valid ones. The 13 neighbours at one bit come from probes of
-    the codebook; where penalties let codes at three bits in, those 286 do too. No scan of the codebook.
+    the codebook; where penalties let codes at three bits in, those 286 do too. No scan of the codebook. What is nearest
+    depends on the code alone, so it is worked out once for each of the 2**CODE_BITS codes and broadcast; of the invalid
+    rows only their keys and codes are shuffled, not their candidates.
     """
+    spark = invalid.sparkSession
     flips = [1 << i for i in range(CODE_BITS)]
     triples = [a | b | c for i, a in enumerate(flips) for j, b in enumerate(flips[:i]) for c in flips[:j]]
-    rows = invalid.sparkSession.createDataFrame([(m, m.bit_count()) for m in flips + triples], "mask int, hamming int")
-    near = invalid.crossJoin(F.broadcast(rows)).withColumn("probe", F.col("noisy").bitwiseXOR(F.col("mask")))
+    rows = spark.createDataFrame([(m, m.bit_count()) for m in flips + triples], "mask int, hamming int")
+    codes = spark.range(1 << CODE_BITS).select(F.col("id").cast("int").alias("noisy")).repartition("noisy")
+    near = codes.crossJoin(F.broadcast(rows)).withColumn("probe", F.col("noisy").bitwiseXOR(F.col("mask")))
     found = near.join(F.broadcast(book.select(F.col("code").alias("probe"), "code_id", F.col("token").alias("candidate"), "class")), "probe")
     score = F.col("hamming") + F.when(F.col("class").isin("en", "special", "punct", "number"), 0).otherwise(PENALTY)
-    order = Window.partitionBy(*keys).orderBy("score", "hamming", "code_id")
-    return found.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*keys, "rank", "code_id", "candidate", "class", "hamming", "score")
+    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("score", "hamming", "code_id"))).where(F.col("rank") <= top)
+    best = ranked(found.withColumn("score", score), "noisy").select("noisy", "code_id", "candidate", "class", "hamming", "score")
+    # keys that occur twice share their ranks; the rows are where their keys are ranked before they get candidates
+    met = invalid.select(*keys, "noisy").repartition(*keys).join(F.broadcast(best), "noisy")
+    return ranked(met, *keys).select(*keys, "rank", "code_id", "candidate", "class", "hamming", "score")
 
 
 def hamming_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,3 +303,24 @@ def test_nearest_prefix_equals_comparing_all(spark):
         want[i] = (least[2], least[0]) if least[0] <= 10 else (None, None)
     out = noise.nearest_prefix(spark.createDataFrame(found, "i int, m int, seq string"), spark.createDataFrame(templates, "m int, no int, full_strand string"), "m")
     assert {r.i: (r.assigned, r.edits) for r in out.select("i", "assigned", F.col("edits").cast("int")).collect()} == want
+
+
+def test_candidates_are_worked_out_once_a_code(spark):
+    """The nearest codes by all distances; keys that occur twice share their ranks; only keys and codes are shuffled, once."""
+    words = ["the", "le", "数据", ".", "12", "data", "les", "cat", "저장", "(", "dog", "có", "[PAD]", "[UNK]", "a", "b", "c"]
+    vocab = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "token_id int, token string")
+    book = tokens.semantic_ids(vocab).join(tokens.parity_codebook(spark, ""), "code_id")
+    given = [(1, 0, 1), (1, 1, 7), (1, 2, 32), (2, 0, 7), (2, 0, 4), (3, 0, 8191)]
+    invalid = spark.createDataFrame(given, "conv_id long, pos int, noisy int")
+    found = tokens.candidates(invalid, book, ["conv_id", "pos"])
+    want = set()
+    for key in {g[:2] for g in given}:
+        near = []
+        for *own, noisy in given:
+            if tuple(own) == key:
+                near += [(d + (0 if b["class"] in ("en", "special", "punct", "number") else tokens.PENALTY), d, b.code_id, b.token) for b in book.collect() if (d := (noisy ^ b.code).bit_count()) in (1, 3)]
+        want |= {(*key, k + 1, x[3], x[1], x[0]) for k, x in enumerate(sorted(near)[: tokens.TOP])}
+    got = {(r.conv_id, r.pos, r["rank"], r.candidate, r.hamming, r.score) for r in found.collect()}
+    assert {x[:3] + x[4:] for x in got} == {x[:3] + x[4:] for x in want} and {x for x in want if x[0] != 2} <= got
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("RepartitionByExpression")  # no row of a candidate is dealt out behind it
