@@ -49,6 +49,8 @@ COUNTED = 1 << 19
 #: Partial sums of the partitions' weights that a task folds into one, and that reach the driver at once.
 FOLD, AVERAGES = 16, 8
 PROFILE = 64
+#: Documents whose counts by ending are in memory at once.
+PROFILED = 256
 SEED = 9
 END = b"\n"
 _RARE = 0xFFFF
@@ -306,21 +308,25 @@ def gradients(net: Network, inputs: np.ndarray, fresh: np.ndarray, y: np.ndarray
         states[a:z] = h
     grads = {k: np.zeros_like(a) for k, a in net.w.items() if k != "input"}
     _, dhs = net.log_probs(states, y, grads)
-    later, di = np.zeros((0, HIDDEN), dtype=h.dtype), np.empty_like(inputs)
-    back = net.w["state"].T.copy()
-    for (a, z), (before, (zg, r, n, an)) in zip(reversed(steps), reversed(kept)):
-        dh = dhs[a:z]
+    # what the slopes are multiplied by, for the whole window; only the sum of later slopes goes step by step
+    before, zg, r, n, an = (np.concatenate(x) for x in zip(*((b, *cache) for b, cache in kept)))
+    by_n, by_z, by_r = (1 - zg) * (1 - n * n), (before - n) * zg * (1 - zg), an * r * (1 - r)
+    later, da = np.zeros((0, HIDDEN), dtype=h.dtype), np.empty_like(inputs)
+    back, starts = net.w["state"].T.copy(), np.add.reduceat(fresh, cuts[:-1], dtype=np.int64).tolist()
+    for (a, z), any_fresh in zip(reversed(steps), reversed(starts)):
+        dh, own = dhs[a:z], da[a:z]
         dh[: len(later)] += later
-        dn = dh * (1 - zg) * (1 - n * n)
-        d = di[a:z]
-        d[:, :HIDDEN] = dh * (before - n) * zg * (1 - zg)
-        d[:, HIDDEN : 2 * HIDDEN] = dn * an * r * (1 - r)
-        d[:, 2 * HIDDEN :] = dn
-        da = d.copy()
-        da[:, 2 * HIDDEN :] *= r
-        grads["state"] += before.T @ da
-        later = dh * zg + da @ back
-        later[fresh[a:z]] = 0
+        dn = dh * by_n[a:z]
+        np.multiply(dh, by_z[a:z], out=own[:, :HIDDEN])
+        np.multiply(dn, by_r[a:z], out=own[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[a:z], out=own[:, 2 * HIDDEN :])
+        later = own @ back
+        later += dh * zg[a:z]
+        if any_fresh:
+            later[fresh[a:z]] = 0
+    grads["state"] += before.T @ da
+    di = da
+    di[:, 2 * HIDDEN :] = dhs * by_n
     grads["input"] = di
     return grads, h
 
@@ -414,11 +420,12 @@ def profile(docs: list[np.ndarray], ending_of: np.ndarray) -> np.ndarray:
     size = np.array([len(d) for d in docs], dtype=np.int64)
     if not size.sum():
         return out
-    e, d = ending_of[np.concatenate(docs)], np.repeat(np.arange(len(docs)), size)
-    folded = np.bincount(d * PROFILE + e % PROFILE, minlength=len(docs) * PROFILE).reshape(-1, PROFILE) / np.maximum(size, 1)[:, None]
-    order = np.argsort(e, kind="stable")
-    used, first = np.unique(e[order], return_index=True)
-    out[used] = np.add.reduceat(folded.astype(np.float32)[d[order]], first, axis=0)
+    for at in range(0, len(docs), PROFILED):
+        own = slice(at, at + PROFILED)
+        e, d = ending_of[np.concatenate(docs[own])], np.repeat(np.arange(len(size[own])), size[own])
+        folded = np.bincount(d * PROFILE + e % PROFILE, minlength=len(size[own]) * PROFILE).reshape(-1, PROFILE) / np.maximum(size[own], 1)[:, None]
+        counts = np.bincount(e * len(size[own]) + d, minlength=ENDINGS * len(size[own])).reshape(ENDINGS, -1)
+        out += counts.astype(np.float32) @ folded.astype(np.float32)
     return out
 
 

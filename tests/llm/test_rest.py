@@ -389,3 +389,23 @@ def test_ratios_and_scores_in_plain_python():
             assert k1 + k0 >= X.MIN_TEXTS and (weights[slot] > 0) == (ratio > 0)
     for t, s in zip(texts, X.score_texts(texts, weights, b)):
         assert s == pytest.approx(1 / (1 + math.exp(-(b + sum(float(weights[k]) for k in brute_slots(t))))), abs=1e-6)
+
+
+def test_profiles_of_endings_take_no_row_a_token():
+    """Counts of endings by the shares of their documents, within memory that doesn't grow with the tokens."""
+    import tracemalloc
+
+    from helixframe.llm import recurrent_lm as L
+
+    rng = np.random.default_rng(4)
+    docs, ending_of = [rng.integers(0, 6000, n) for n in [*[1000] * 300, 0, 1, 7]], rng.integers(0, L.ENDINGS, 6000)
+    tracemalloc.start()
+    got = L.profile(docs, ending_of)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros((L.ENDINGS, L.PROFILE))
+    for d in docs:
+        e = ending_of[d]
+        np.add.at(want, e, np.bincount(e % L.PROFILE, minlength=L.PROFILE) / max(len(d), 1))
+    assert np.allclose(got, want, rtol=1e-5) and peak < 50_000_000
+    assert not L.profile([], ending_of).any() and not L.profile(docs[300:301], ending_of).any()
