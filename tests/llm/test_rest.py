@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -393,10 +394,6 @@ def test_ratios_and_scores_in_plain_python():
 
 def test_profiles_of_endings_take_no_row_a_token():
     """Counts of endings by the shares of their documents, within memory that doesn't grow with the tokens."""
-    import tracemalloc
-
-    from helixframe.llm import recurrent_lm as L
-
     rng = np.random.default_rng(4)
     docs, ending_of = [rng.integers(0, 6000, n) for n in [*[1000] * 300, 0, 1, 7]], rng.integers(0, L.ENDINGS, 6000)
     tracemalloc.start()
