@@ -54,9 +54,9 @@ PROFILED = 256
 SEED = 9
 END = b"\n"
 _RARE = 0xFFFF
-#: Rows of a softmax at a time.
+#: Tokens of a softmax at a time.
 BLOCK = 1024
-_ROWS, _ONES = np.arange(BLOCK), {c: np.ones(BLOCK, dtype=c) for c in "fd"}
+_PLACES, _ONES = np.arange(BLOCK), {c: np.ones(BLOCK, dtype=c) for c in "fd"}
 
 
 def ending(word: bytes) -> int:
@@ -68,11 +68,6 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def _hash(word: bytes) -> int:
-    x = xxhash.xxh64_intdigest(word, 42)
-    return x - (1 << 64) if x >> 63 else x
-
-
 @dataclass
 class Vocabulary:
     """What is known of the counts: frequent words, and totals by ending."""
@@ -93,26 +88,18 @@ class Vocabulary:
 
 
 class Encoder:
-    """Words to codes; one per task."""
+    """Words to codes; one per task. Rare words hardly come twice in a task, so nothing is kept of them."""
 
     def __init__(self, words: list[bytes]) -> None:
         self.get, self.first = dict(zip(words, range(len(words)))).get, len(words)
-        self.rare: dict[bytes, tuple[int, int]] = {}
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and the hashes of the rare words in order."""
         codes = np.fromiter(map(self.get, words, repeat(_RARE)), dtype=np.uint16, count=len(words))
-        hashes = []
-        for i in np.flatnonzero(codes == _RARE).tolist():
-            word = words[i]
-            known = self.rare.get(word)
-            if known is None:
-                known = (self.first + ending(word), _hash(word))
-                if len(self.rare) < COUNTED:
-                    self.rare[word] = known
-            codes[i] = known[0]
-            hashes.append(known[1])
-        return codes, hashes
+        places = np.flatnonzero(codes == _RARE)
+        rare = [words[i] for i in places.tolist()]
+        codes[places] = self.first + np.fromiter(map(ending, rare), dtype=np.int64, count=len(rare))
+        return codes, np.fromiter(map(xxhash.xxh64_intdigest, rare, repeat(42)), dtype=np.uint64, count=len(rare)).view(np.int64)
 
 
 class Tables:
@@ -146,10 +133,14 @@ class Tables:
 
 
 class Network:
-    """Gated recurrent unit with a two-level softmax; weights are float32 arrays by name."""
+    """Gated recurrent unit with a two-level softmax; weights are float32 arrays by name.
+
+    Rows are tokens, but features come first in memory: what is done to one feature of all tokens runs over contiguous
+    numbers, while rows of 16 or 32 numbers cost numpy more for each row than for its numbers.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
-        self.w = weights
+        self.w = {**weights, "input": np.asfortranarray(weights["input"])}
 
     @staticmethod
     def initial(t: Tables) -> Network:
@@ -168,72 +159,84 @@ class Network:
             }
         )
 
-    def step(self, i: np.ndarray, h: np.ndarray):
-        """State after the inputs (rows of `input`), and what backpropagation needs."""
-        a = h @ self.w["state"]
-        gates = i[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """Rows of `input`; all x are within it, and numpy gathers faster where it needn't check."""
+        return self.w["input"].T.take(x.astype(np.intp), axis=1, mode="clip").T
+
+    def step(self, i: np.ndarray, h: np.ndarray, out: np.ndarray | None = None):
+        """State after the inputs (rows of `input`), and what backpropagation needs (features first)."""
+        i, h = i.T, h.T
+        a = self.w["state"].T @ h
+        gates = i[: 2 * HIDDEN] + a[: 2 * HIDDEN]
         gates *= 0.5  # the logistic function, by the hyperbolic tangent
         np.tanh(gates, out=gates)
         gates += 1
         gates *= 0.5
-        z, r, an = gates[:, :HIDDEN], gates[:, HIDDEN:], a[:, 2 * HIDDEN :]
+        z, r, an = gates[:HIDDEN], gates[HIDDEN:], a[2 * HIDDEN :]
         n = r * an
-        n += i[:, 2 * HIDDEN :]
+        n += i[2 * HIDDEN :]
         np.tanh(n, out=n)
-        out = h - n
+        out = np.subtract(h, n, out=None if out is None else out.T)
         out *= z
         out += n
-        return out, (z, r, n, an)
-
-    @staticmethod
-    def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, bound: float, s: np.ndarray):
-        """Log probability of the choices s, and exp of the logits with their sums.
-
-        States lie within (-1, 1), which bounds the logits, so no maximum by row is needed unless that bound is loose.
-        """
-        logits = h @ w
-        logits += bias - h.dtype.type(bound)
-        if bound - float(bias.max()) > 40:
-            logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[_ROWS[: len(s)], s]
-        e = np.exp(logits, out=logits)
-        total = e @ _ONES[e.dtype.char][: e.shape[1]]
-        return picked - np.log(total), e, total
+        return out.T, (z, r, n, an)
 
     @staticmethod
-    def _slopes(h: np.ndarray, w: np.ndarray, e: np.ndarray, total: np.ndarray, s: np.ndarray, dw: np.ndarray, db: np.ndarray) -> np.ndarray:
-        """Gradients of a softmax added to dw and db; the one of h is returned."""
-        e *= (-1 / total)[:, None]
-        e[_ROWS[: len(s)], s] += 1
-        dw += h.T @ e
-        db += _ONES[e.dtype.char][: len(s)] @ e
-        return e @ w.T
+    def _choices(h: np.ndarray, w: np.ndarray, parts: list[tuple[int, int, int]], loose: bool, s: np.ndarray, dw: np.ndarray | None):
+        """Log probability of the choices s after the states h (features first, then ones) by weights w[k], whose last row is the
+        bias, in each part (k, from, to); with dw, the gradient is added to it, and d/dh comes second."""
+        e, at = np.empty((w.shape[-1], len(s)), dtype=h.dtype), s * len(s) + _PLACES[: len(s)]
+        for k, a, z in parts:
+            np.matmul(w[k].T, h[:, a:z], out=e[:, a:z])
+        if loose:
+            e -= e.max(axis=0)
+        flat = e.reshape(-1)
+        picked = flat.take(at)
+        np.exp(e, out=e)
+        total = _ONES[e.dtype.char][: len(e)] @ e
+        logs = picked - np.log(total)
+        if dw is None:
+            return logs, None
+        flat[at] -= total
+        by = -1 / total
+        scaled, dh = h * by, np.empty((HIDDEN, len(s)), dtype=h.dtype)
+        for k, a, z in parts:
+            dw[k] += scaled[:, a:z] @ e[:, a:z].T
+            np.matmul(w[k, :HIDDEN], e[:, a:z], out=dh[:, a:z])
+        dh *= by
+        return logs, dh
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None):
-        """Natural log probability of the slots y after the states h; with grads, these are added to, and d/dh comes second."""
+        """Natural log probability of the slots y after the states h; with grads, these are added to, and d/dh comes second.
+
+        States lie within (-1, 1), which bounds the logits, so no maximum by token is needed unless that bound is loose.
+        """
         order = np.argsort((y // SLOTS).astype(np.int16), kind="stable")
-        h, c, s = h[order], y[order] // SLOTS, y[order] % SLOTS
-        out, dh = np.empty(len(y), dtype=h.dtype), None if grads is None else np.empty_like(h)
-        w, bias = self.w["class"], self.w["class_bias"]
-        bound = float((np.abs(w).sum(axis=0) + bias).max())
-        for a in range(0, len(y), BLOCK):  # small blocks stay in the cache
-            own = slice(a, min(a + BLOCK, len(y)))
-            out[own], e, total = self._softmax(h[own], w, bias, bound, c[own])
-            if grads is not None:
-                dh[own] = self._slopes(h[own], w, e, total, c[own], grads["class"], grads["class_bias"])
-        w, bias = self.w["slot"], self.w["slot_bias"]
-        bound = (np.abs(w).sum(axis=1) + bias).max(axis=1).tolist()
+        c, s = (a.astype(np.intp) for a in divmod(y[order], SLOTS))
+        states = np.ones((HIDDEN + 1, len(y)), dtype=h.dtype)
+        np.take(h.T, order, axis=1, out=states[:HIDDEN], mode="clip")
+        out, dh = np.zeros(len(y), dtype=h.dtype), None if grads is None else np.zeros((HIDDEN, len(y)), dtype=h.dtype)
         bounds = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
-        for k in range(CLASSES):
-            for a in range(bounds[k], bounds[k + 1], BLOCK):
-                own = slice(a, min(a + BLOCK, bounds[k + 1]))
-                logs, e, total = self._softmax(h[own], w[k], bias[k], bound[k], s[own])
-                out[own] += logs
+        for name, chosen in (("class", c), ("slot", s)):
+            w, bias = (self.w[x].reshape(-1, *self.w[x].shape[-d:]) for x, d in ((name, 2), (f"{name}_bias", 1)))
+            bound = (np.abs(w).sum(axis=1) + bias).max(axis=1, keepdims=True)
+            loose = bool((bound[:, 0] - bias.max(axis=1) > 40).any())
+            w = np.concatenate([w, (bias - bound)[:, None]], axis=1)
+            dw = None if grads is None else np.zeros_like(w)
+            for a in range(0, len(y), BLOCK):  # small blocks stay in the cache
+                z = min(a + BLOCK, len(y))
+                own = range(c[a], c[z - 1] + 1)
+                parts = [(0, 0, z - a)] if name == "class" else [(k, max(bounds[k] - a, 0), min(bounds[k + 1], z) - a) for k in own if bounds[k] < bounds[k + 1]]
+                logs, slopes = self._choices(states[:, a:z], w, parts, loose, chosen[a:z], dw)
+                out[a:z] += logs
                 if grads is not None:
-                    dh[own] += self._slopes(h[own], w[k], e, total, s[own], grads["slot"][k], grads["slot_bias"][k])
+                    dh[:, a:z] += slopes
+            if grads is not None:
+                grads[name] += dw[:, :HIDDEN].reshape(grads[name].shape)
+                grads[f"{name}_bias"] += dw[:, HIDDEN].reshape(grads[f"{name}_bias"].shape)
         back = np.empty_like(order)
         back[order] = np.arange(len(y))
-        return out[back], None if dh is None else dh[back]
+        return out[back], None if grads is None else dh.take(back, axis=1, mode="clip").T
 
 
 def _lanes(length: np.ndarray, lanes: int) -> tuple[list[list[int]], np.ndarray]:
@@ -278,56 +281,60 @@ class Streams:
             yield np.concatenate([self.start[:k] + u for u, k in zip(t, active)]), np.concatenate([[0], np.cumsum(active)])
 
 
+def _started(h: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """States before a step: none where a document starts."""
+    return np.where(fresh, h.dtype.type(0), h.T).T if fresh.any() else h
+
+
 def score_slots(net: Network, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log probability of each document's slots."""
     out = np.zeros(len(docs))
     s = Streams(docs, LANES, end)
     h = np.zeros((len(s.length), HIDDEN), dtype=np.float32)
     for place, cuts in s.windows(SCORE_WINDOW):
-        inputs, fresh = net.w["input"][s.x[place]], s.fresh[place]
-        states = np.empty((len(place), HIDDEN), dtype=np.float32)
+        x, fresh = s.x[place], s.fresh[place]
+        states = np.empty((HIDDEN, len(place)), dtype=np.float32)
         for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
-            h = h[: z - a]
-            if fresh[a:z].any():
-                h = np.where(fresh[a:z, None], np.float32(0), h)
-            h, _ = net.step(inputs[a:z], h)
-            states[a:z] = h
-        logs, _ = net.log_probs(states, s.y[place])
+            h, _ = net.step(net.inputs(x[a:z]), _started(h[: z - a], fresh[a:z]), states[:, a:z].T)
+        logs, _ = net.log_probs(states.T, s.y[place])
         out += np.bincount(s.doc[place], weights=logs, minlength=len(docs))
     return out
 
 
 def gradients(net: Network, inputs: np.ndarray, fresh: np.ndarray, y: np.ndarray, cuts: np.ndarray, h: np.ndarray):
     """Of one window from the states h: gradients of the summed log probability (those of `input` by token), and the states after it."""
-    kept, states = [], np.empty((len(y), HIDDEN), dtype=h.dtype)
+    states, before, by_n = (np.empty((HIDDEN, len(y)), dtype=h.dtype) for _ in range(3))
+    factors = np.empty((4, HIDDEN, len(y)), dtype=h.dtype)
     steps = list(zip(cuts.tolist(), cuts[1:].tolist()))
     for a, z in steps:
-        before = np.where(fresh[a:z, None], h.dtype.type(0), h[: z - a])
-        h, cache = net.step(inputs[a:z], before)
-        kept.append((before, cache))
-        states[a:z] = h
+        h = _started(h[: z - a], fresh[a:z])
+        before[:, a:z] = h.T
+        h, (zg, r, n, an) = net.step(inputs[a:z], h, states[:, a:z].T)
+        # what slopes are multiplied by, worked out for all lanes here; only the sum of later slopes waits for the way back
+        own, keep, slope = factors[:, :, a:z], 1 - zg, n * n
+        np.subtract(1, slope, out=slope)
+        slope *= keep
+        by_n[:, a:z] = slope
+        np.multiply(slope, r, out=own[2])
+        np.multiply(own[2], an, out=own[1])
+        own[1] *= 1 - r
+        keep *= h.T - n
+        own[0], own[3] = keep, zg
     grads = {k: np.zeros_like(a) for k, a in net.w.items() if k != "input"}
-    _, dhs = net.log_probs(states, y, grads)
-    # what the slopes are multiplied by, for the whole window; only the sum of later slopes goes step by step
-    before, zg, r, n, an = (np.concatenate(x) for x in zip(*((b, *cache) for b, cache in kept)))
-    by_n, by_z, by_r = (1 - zg) * (1 - n * n), (before - n) * zg * (1 - zg), an * r * (1 - r)
-    later, da = np.zeros((0, HIDDEN), dtype=h.dtype), np.empty_like(inputs)
-    back, starts = net.w["state"].T.copy(), np.add.reduceat(fresh, cuts[:-1], dtype=np.int64).tolist()
+    dhs = net.log_probs(states.T, y, grads)[1].T
+    later, di = np.zeros((HIDDEN, 0), dtype=h.dtype), factors[:3].reshape(3 * HIDDEN, -1)
+    starts = np.add.reduceat(fresh, cuts[:-1], dtype=np.int64).tolist()
     for (a, z), any_fresh in zip(reversed(steps), reversed(starts)):
-        dh, own = dhs[a:z], da[a:z]
-        dh[: len(later)] += later
-        dn = dh * by_n[a:z]
-        np.multiply(dh, by_z[a:z], out=own[:, :HIDDEN])
-        np.multiply(dn, by_r[a:z], out=own[:, HIDDEN : 2 * HIDDEN])
-        np.multiply(dn, r[a:z], out=own[:, 2 * HIDDEN :])
-        later = own @ back
-        later += dh * zg[a:z]
+        dh, own = dhs[:, a:z], factors[:, :, a:z]
+        dh[:, : later.shape[1]] += later
+        own *= dh  # the factors become the slopes
+        later = net.w["state"] @ di[:, a:z]
+        later += own[3]
         if any_fresh:
-            later[fresh[a:z]] = 0
-    grads["state"] += before.T @ da
-    di = da
-    di[:, 2 * HIDDEN :] = dhs * by_n
-    grads["input"] = di
+            later[:, fresh[a:z]] = 0
+    grads["state"] += before @ di.T
+    np.multiply(dhs, by_n, out=di[2 * HIDDEN :])
+    grads["input"] = di.T
     return grads, h
 
 
@@ -335,7 +342,7 @@ class Trainer:
     """Truncated backpropagation with Adam; its moments are carried from chunk to chunk."""
 
     def __init__(self, net: Network, end: int) -> None:
-        self.net, self.end, self.number = Network({k: v.copy() for k, v in net.w.items()}), end, 0
+        self.net, self.end, self.number = Network({k: v.copy(order="K") for k, v in net.w.items()}), end, 0
         self.m, self.v = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(2))
         self.closed = net.w["slot_bias"] < -20  # slots without a word stay without probability
 
@@ -344,23 +351,28 @@ class Trainer:
         s, w = Streams(docs, TRAIN_LANES, self.end), self.net.w
         h = np.zeros((len(s.length), HIDDEN), dtype=np.float32)
         for place, cuts in s.windows(WINDOW):
-            x = s.x[place]
-            grads, h = gradients(self.net, w["input"][x], s.fresh[place], s.y[place], cuts, h)
-            order = np.argsort(x, kind="stable")
-            used, first = np.unique(x[order], return_index=True)
-            whole = np.zeros_like(w["input"])
-            whole[used] = np.add.reduceat(grads["input"][order], first, axis=0)
-            grads["input"] = whole
+            x = s.x[place].astype(np.intp)
+            grads, h = gradients(self.net, self.net.inputs(x), s.fresh[place], s.y[place], cuts, h)
+            grads["input"] = np.array([np.bincount(x, weights=g, minlength=len(w["input"])) for g in grads["input"].T], dtype=np.float32).T
             grads["slot_bias"][self.closed] = 0
             self.number += 1
             fade_m, fade_v = 1 - 0.9**self.number, 1 - 0.99**self.number
             step = STEP / (1 + self.number / DECAY) ** 0.5
             for k, a in w.items():
-                g = grads[k] / np.float32(len(place))
-                m, v = self.m[k], self.v[k]
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                a += np.float32(step / fade_m) * m / (np.sqrt(v / np.float32(fade_v)) + np.float32(1e-6))
+                g, m, v = grads[k], self.m[k], self.v[k]
+                g /= np.float32(len(place))
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                g *= g
+                g *= np.float32(0.01)
+                v *= np.float32(0.99)
+                v += g
+                np.divide(v, np.float32(fade_v), out=g)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-6)
+                np.divide(m, g, out=g)
+                g *= np.float32(step / fade_m)
+                a += g
 
 
 def _pack(weights: dict[str, np.ndarray]) -> np.ndarray:

@@ -406,3 +406,28 @@ def test_profiles_of_endings_take_no_row_a_token():
         np.add.at(want, e, np.bincount(e % L.PROFILE, minlength=L.PROFILE) / max(len(d), 1))
     assert np.allclose(got, want, rtol=1e-5) and peak < 50_000_000
     assert not L.profile([], ending_of).any() and not L.profile(docs[300:301], ending_of).any()
+
+
+def test_a_softmax_is_worked_out_by_blocks_of_tokens_not_by_classes(monkeypatch):
+    """Against plain softmaxes of one token each; and the work has no call for every class of a window."""
+    net, rng = random_network()
+    n = 2 * L.BLOCK + 5
+    h, y = rng.uniform(-1, 1, (n, L.HIDDEN)), rng.integers(0, L.CLASSES * L.SLOTS, n)
+    calls, whole = [], L.Network._choices
+    monkeypatch.setattr(L.Network, "_choices", staticmethod(lambda *a: calls.append(1) or whole(*a)))
+    got, _ = net.log_probs(h, y)
+    log = lambda a, k: a[k] - np.log(np.exp(a).sum())
+    w, c, s = net.w, y // L.SLOTS, y % L.SLOTS
+    want = [log(h[i] @ w["class"] + w["class_bias"], c[i]) + log(h[i] @ w["slot"][c[i]] + w["slot_bias"][c[i]], s[i]) for i in range(n)]
+    assert np.allclose(got, want) and len(calls) == 6
+
+
+def test_an_encoder_keeps_nothing_of_rare_words():
+    encode = L.Encoder([b"a", L.END])
+    words = [b"a", *[b"%d" % i for i in range(1000)], L.END]
+    held = lambda: sum(len(x) for x in vars(encode).values() if hasattr(x, "__len__"))
+    before = held()
+    codes, hashes = encode(words)
+    assert held() == before
+    assert codes.tolist() == [0, *[2 + L.ending(w) for w in words[1:-1]], 1]
+    assert [h % (1 << 64) for h in hashes.tolist()] == [L.xxhash.xxh64_intdigest(w, 42) for w in words[1:-1]]
