@@ -313,13 +313,12 @@ def gradients(net: Network, inputs: np.ndarray, fresh: np.ndarray, y: np.ndarray
         # what slopes are multiplied by, worked out for all lanes here; only the sum of later slopes waits for the way back
         own, keep, slope = factors[:, :, a:z], 1 - zg, n * n
         np.subtract(1, slope, out=slope)
-        slope *= keep
-        by_n[:, a:z] = slope
-        np.multiply(slope, r, out=own[2])
+        np.multiply(slope, keep, out=by_n[:, a:z])
+        np.multiply(by_n[:, a:z], r, out=own[2])
         np.multiply(own[2], an, out=own[1])
         own[1] *= 1 - r
-        keep *= h.T - n
-        own[0], own[3] = keep, zg
+        np.multiply(h.T - n, keep, out=own[0])
+        own[3] = zg
     grads = {k: np.zeros_like(a) for k, a in net.w.items() if k != "input"}
     dhs = net.log_probs(states.T, y, grads)[1].T
     later, di = np.zeros((HIDDEN, 0), dtype=h.dtype), factors[:3].reshape(3 * HIDDEN, -1)
